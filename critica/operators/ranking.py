@@ -88,10 +88,10 @@ def top_sentence(sents: DataFrame, keys, score_col: str = "centrality",
 def carry_heading(lines: DataFrame, file_col: str, pos_col: str, heading_col: str, out_col: str) -> DataFrame:
     """Forward-fill the last non-null heading over the following lines.
 
-    Lines of one file are ordered by position; files are independent.
+    Lines of one file are ordered by position; files are independent.  A
+    large file is split over partitions (see ``distributed_ffill``).
     """
-    w = Window.partitionBy(file_col).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(out_col, F.last(heading_col, ignorenulls=True).over(w))
+    return distributed_ffill(lines, [file_col], [pos_col], heading_col, out_col)
 
 
 def canonical_labels(df: DataFrame, keys, comp_col: str = "component", id_col: str = "review_id",
@@ -108,3 +108,34 @@ def canonical_labels(df: DataFrame, keys, comp_col: str = "component", id_col: s
     ranked = comps.withColumn(out_col, (F.dense_rank().over(w) - 1).cast("int")).drop("_min_id")
     return (df.join(ranked, keys + [comp_col], "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(-1)).cast("int")))
+
+
+def distributed_ffill(df: DataFrame, keys, order, value_col: str, out_col: str,
+                      num_partitions: int | None = None) -> DataFrame:
+    """Last non-null ``value_col`` at or before each row, per group (E6 at scale).
+
+    Range-partitioned like ``distributed_rank``: each partition fills its
+    own run of a group with a bounded window, and the value carried in from
+    earlier partitions comes from a (group, partition) table.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    local = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+             .withColumn("_pid", F.spark_partition_id()))
+    w = (Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, 0))
+    local = local.withColumn("_fill", F.last(value_col, ignorenulls=True).over(w))
+    last_per = (local.where(F.col(value_col).isNotNull()).groupBy(*keys, "_pid")
+                .agg(F.max_by(F.col(value_col), F.struct(*order_cols)).alias("_last")))
+    # The carry into a partition is the value of the latest earlier partition
+    # that has one; both sides hold at most one row per (group, partition).
+    pids = local.select(*keys, "_pid").distinct()
+    carry = (pids.join(last_per.select(*keys, F.col("_pid").alias("_src"), "_last"), keys)
+             .where(F.col("_src") < F.col("_pid"))
+             .groupBy(*keys, "_pid").agg(F.max_by("_last", "_src").alias("_carry")))
+    return (local.join(carry, keys + ["_pid"], "left")
+            .withColumn(out_col, F.coalesce(F.col("_fill"), F.col("_carry")))
+            .drop("_pid", "_fill", "_carry"))

@@ -273,4 +273,9 @@ UNION ALL SELECT review_id, 'test', 'cross_app' FROM labelled WHERE app = 'src0'
 def q_leave_one_app_out(spark, sf):
     l = TD.labelled(spark, sf).withColumn("dataset", F.concat_ws(".", "app", "ori_lang"))
     return SP.leave_one_app_out(l, LABELS, "src0", 0.2, 0.0, seed=3).select("review_id", "split", "eval_set")
+
+
 FLAGSHIP = "category_counts"
+
+# Importing the other catalogue modules registers their queries.
+from critica.plans import catalog_text  # noqa: E402,F401
