@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from critica.session import cut_lineage
+
 
 def distributed_rank(df: DataFrame, keys, order, rank_col: str = "rank",
                      num_partitions: int | None = None) -> DataFrame:
@@ -33,10 +35,16 @@ def distributed_rank(df: DataFrame, keys, order, rank_col: str = "rank",
     # After the range shuffle and a sort inside each partition, the row
     # position inside the partition is deterministic and increasing; it is
     # read off monotonically_increasing_id (partition index in the high bits).
-    local = (df.repartitionByRange(n, *key_cols, *order_cols)
-             .sortWithinPartitions(*key_cols, *order_cols)
-             .withColumn("_pid", F.spark_partition_id())
-             .withColumn("_pos", F.monotonically_increasing_id()))
+    #
+    # The partition-tagged rows are read by two branches (counts and the
+    # join back).  Column pruning makes the two range shuffles differ, and a
+    # re-sampled range partitioner may place rows differently, so the tagged
+    # rows are written once to the shared checkpoint folder and both
+    # branches read that copy (this also survives executor loss).
+    local = cut_lineage(df.repartitionByRange(n, *key_cols, *order_cols)
+                        .sortWithinPartitions(*key_cols, *order_cols)
+                        .withColumn("_pid", F.spark_partition_id())
+                        .withColumn("_pos", F.monotonically_increasing_id()))
     counts = local.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_cnt"),
                                               F.min("_pos").alias("_first"))
     # One row per (group, partition): a window over it is bounded by the
@@ -123,8 +131,9 @@ def distributed_ffill(df: DataFrame, keys, order, value_col: str, out_col: str,
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    local = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
-             .withColumn("_pid", F.spark_partition_id()))
+    # Written once so that every branch sees the same partition ids.
+    local = cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+                        .withColumn("_pid", F.spark_partition_id()))
     w = (Window.partitionBy("_pid", *keys).orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, 0))
     local = local.withColumn("_fill", F.last(value_col, ignorenulls=True).over(w))
