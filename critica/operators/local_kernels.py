@@ -1,0 +1,134 @@
+"""Numpy kernels for one bounded group inside a grouped task.
+
+Used only for groups whose size was checked to be at most the local bound
+(``local_max`` points); larger groups take the distributed path.  Memory is
+O(n · dim + block · n); nothing quadratic is materialised.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def _dist_row(x: np.ndarray, i: int) -> np.ndarray:
+    d = x - x[i]
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
+
+
+def prim_mst(x: np.ndarray, ids: np.ndarray):
+    """Exact Euclidean MST; ties broken by (w, min id, max id). Returns lo, hi, w."""
+    n = len(x)
+    if n < 2:
+        return np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([], dtype=float)
+    in_tree = np.zeros(n, dtype=bool)
+    best = np.full(n, np.inf)
+    frm = np.full(n, -1, dtype=np.int64)
+    in_tree[0] = True
+    d = _dist_row(x, 0)
+    best[:] = d
+    frm[:] = 0
+    best[0] = np.inf
+    lo, hi, w = [], [], []
+    for _ in range(n - 1):
+        cand = np.flatnonzero(~in_tree)
+        m = best[cand].min()
+        tied = cand[best[cand] == m]
+        if len(tied) > 1:
+            a = np.minimum(ids[tied], ids[frm[tied]])
+            b = np.maximum(ids[tied], ids[frm[tied]])
+            v = tied[np.lexsort((b, a))[0]]
+        else:
+            v = tied[0]
+        u = frm[v]
+        lo.append(min(ids[u], ids[v]))
+        hi.append(max(ids[u], ids[v]))
+        w.append(m)
+        in_tree[v] = True
+        best[v] = np.inf
+        dv = _dist_row(x, v)
+        out = ~in_tree
+        better = out & (dv < best)
+        tie = out & (dv == best)
+        if tie.any():
+            t = np.flatnonzero(tie)
+            new_pair = (np.minimum(ids[t], ids[v]), np.maximum(ids[t], ids[v]))
+            old_pair = (np.minimum(ids[t], ids[frm[t]]), np.maximum(ids[t], ids[frm[t]]))
+            smaller = (new_pair[0] < old_pair[0]) | ((new_pair[0] == old_pair[0]) & (new_pair[1] < old_pair[1]))
+            better[t[smaller]] = True
+        best[better] = dv[better]
+        frm[better] = v
+    return np.array(lo, dtype=np.int64), np.array(hi, dtype=np.int64), np.array(w, dtype=float)
+
+
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    parent = np.arange(n)
+
+    def find(i):
+        r = i
+        while parent[r] != r:
+            r = parent[r]
+        while parent[i] != r:
+            parent[i], i = r, parent[i]
+        return r
+
+    for i, j in zip(a, b):
+        ri, rj = find(i), find(j)
+        if ri != rj:
+            if ri < rj:
+                parent[rj] = ri
+            else:
+                parent[ri] = rj
+    return np.array([find(i) for i in range(n)])
+
+
+def dbscan_local(x: np.ndarray, ids: np.ndarray, eps: float, min_samples: int, block: int = 1024):
+    """DBSCAN labels (component = smallest core id, -1 noise) and core flags.
+
+    Components of the core graph are those of the core points' MST with
+    edges > eps removed (single linkage at eps).
+    """
+    n = len(x)
+    counts = np.zeros(n, dtype=np.int64)
+    for s in range(0, n, block):
+        blk = x[s:s + block]
+        d2 = (blk * blk).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * blk @ x.T
+        dist = np.sqrt(np.maximum(d2, 0.0))
+        # exact re-check near the boundary
+        near = np.abs(dist - eps) < 1e-9 * max(1.0, eps)
+        if near.any():
+            r, c = np.nonzero(near)
+            exact = np.sqrt(((x[s + r] - x[c]) ** 2).sum(1))
+            dist[r, c] = exact
+        counts[s:s + block] = (dist <= eps).sum(1)
+    core = counts >= min_samples
+    comp_label = np.full(n, -1, dtype=np.int64)
+    ci = np.flatnonzero(core)
+    if len(ci):
+        lo, hi, w = prim_mst(x[ci], ids[ci])
+        pos = {int(v): k for k, v in enumerate(ids[ci])}
+        keep = w <= eps
+        a = np.array([pos[int(v)] for v in lo[keep]], dtype=np.int64)
+        b = np.array([pos[int(v)] for v in hi[keep]], dtype=np.int64)
+        root = _components(len(ci), a, b)
+        # component id = smallest core id in the component
+        min_id = {}
+        for k, r in enumerate(root):
+            min_id[r] = min(min_id.get(r, ids[ci[k]]), ids[ci[k]])
+        comp_label[ci] = [min_id[r] for r in root]
+        # border points: smallest component among core neighbours
+        nc = np.flatnonzero(~core)
+        xc = x[ci]
+        for s in range(0, len(nc), block):
+            rows = nc[s:s + block]
+            d = np.sqrt(np.maximum((x[rows] ** 2).sum(1)[:, None] + (xc ** 2).sum(1)[None, :]
+                                   - 2.0 * x[rows] @ xc.T, 0.0))
+            near = np.abs(d - eps) < 1e-9 * max(1.0, eps)
+            if near.any():
+                r, c = np.nonzero(near)
+                d[r, c] = np.sqrt(((x[rows[r]] - xc[c]) ** 2).sum(1))
+            within = d <= eps
+            labs = np.where(within, comp_label[ci][None, :], np.iinfo(np.int64).max)
+            m = labs.min(1)
+            has = within.any(1)
+            comp_label[rows[has]] = m[has]
+    return comp_label, core

@@ -103,15 +103,18 @@ def carry_heading(lines: DataFrame, file_col: str, pos_col: str, heading_col: st
 
 
 def canonical_labels(df: DataFrame, keys, comp_col: str = "component", id_col: str = "review_id",
-                     out_col: str = "clusters") -> DataFrame:
+                     out_col: str = "clusters", by_component: bool = False) -> DataFrame:
     """Contiguous 0..k-1 labels per group, ordered by each component's smallest id.
 
     Components are first reduced to one row each, ranked, and joined back;
     rows with a null component get -1 (noise).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    # ``by_component``: the component value already is the order key (e.g.
+    # DBSCAN's smallest core id, the discovery order of a scan by id).
+    order = F.col(comp_col) if by_component else F.min(id_col)
     comps = (df.where(F.col(comp_col).isNotNull()).groupBy(*keys, comp_col)
-             .agg(F.min(id_col).alias("_min_id")))
+             .agg(order.alias("_min_id")))
     w = Window.partitionBy(*keys).orderBy("_min_id")
     ranked = comps.withColumn(out_col, (F.dense_rank().over(w) - 1).cast("int")).drop("_min_id")
     return (df.join(ranked, keys + [comp_col], "left")

@@ -280,3 +280,4 @@ FLAGSHIP = "category_counts"
 # Importing the other catalogue modules registers their queries.
 from critica.plans import catalog_text  # noqa: E402,F401
 from critica.plans import catalog_eval  # noqa: E402,F401
+from critica.plans import catalog_cluster  # noqa: E402,F401
