@@ -275,9 +275,10 @@ def q_leave_one_app_out(spark, sf):
     return SP.leave_one_app_out(l, LABELS, "src0", 0.2, 0.0, seed=3).select("review_id", "split", "eval_set")
 
 
-FLAGSHIP = "category_counts"
+FLAGSHIP = "review_report"
 
 # Importing the other catalogue modules registers their queries.
 from critica.plans import catalog_text  # noqa: E402,F401
 from critica.plans import catalog_eval  # noqa: E402,F401
 from critica.plans import catalog_cluster  # noqa: E402,F401
+from critica.plans import catalog_pipeline  # noqa: E402,F401
