@@ -31,6 +31,8 @@ def nmi(df: DataFrame, truth: str = "ground_truth", pred: str = "clusters", keys
     ordinary cluster (Q12).
     """
     keys = _keys(keys)
+    if not keys:  # one population: a constant group key, dropped at the end
+        return nmi(df.withColumn("_g", F.lit(0)), truth, pred, ["_g"]).drop("_g")
     c, a, b = _contingency(df, keys, truth, pred)
     n = a.groupBy(*keys).agg(F.sum("ai").alias("N"), F.count(F.lit(1)).alias("n_truth"))
     nb = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"))
@@ -54,6 +56,8 @@ def nmi(df: DataFrame, truth: str = "ground_truth", pred: str = "clusters", keys
 def adjusted_rand(df: DataFrame, truth: str = "ground_truth", pred: str = "clusters", keys=None) -> DataFrame:
     """Adjusted Rand index from pair counts in double precision."""
     keys = _keys(keys)
+    if not keys:  # one population: a constant group key, dropped at the end
+        return adjusted_rand(df.withColumn("_g", F.lit(0)), truth, pred, ["_g"]).drop("_g")
     c, a, b = _contingency(df, keys, truth, pred)
     s = c.groupBy(*keys).agg(F.sum(F.col("nij") * F.col("nij")).alias("sq"), F.sum("nij").alias("N"))
     sa = a.groupBy(*keys).agg(F.sum(F.col("ai") * F.col("ai")).alias("sa"))
@@ -165,6 +169,8 @@ def likert_means(marks: DataFrame, keys=("lang",), digits: int = 2) -> DataFrame
     ``marks``: lang, dimension, rating (0 when unmarked).
     """
     keys = _keys(keys)
+    if not keys:
+        return likert_means(marks.withColumn("_g", F.lit(0)), ["_g"], digits).drop("_g")
     per = marks.groupBy(*keys, "dimension").agg(F.sum("rating").alias("rating_sum"),
                                                 F.count(F.lit(1)).alias("rows"))
     total = per.groupBy(*keys).agg(F.sum("rows").alias("all_rows"))
