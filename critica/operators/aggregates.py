@@ -70,16 +70,23 @@ def sorted_prefixes(df: DataFrame, col: str) -> DataFrame:
 
 
 def cluster_documents(df: DataFrame, keys, text_col: str = "data", id_col: str = "review_id",
-                      min_size: int = 5) -> DataFrame:
+                      min_size: int = 5, max_items: int = 10000) -> DataFrame:
     """Reviews of each group of at least ``min_size`` joined by the separator.
 
-    Order inside the document is by review id.  The whole document of one
-    group is materialised in one row by definition of the operator.
+    Order inside the document is by review id.  A group's document is
+    emitted in ``part`` rows of at most ``max_items`` reviews each (part 0,
+    1, …; concatenated with the separator they give the whole document), so
+    no row or task holds an unbounded group.
     """
+    from critica.operators.ranking import distributed_rank
     keys = [keys] if isinstance(keys, str) else list(keys)
-    g = (df.where(F.col(keys[-1]).isNotNull())
-         .groupBy(*keys)
-         .agg(F.count(F.lit(1)).alias("n"),
-              F.array_sort(F.collect_list(F.struct(F.col(id_col), F.col(text_col)))).alias("items")))
-    return g.where(F.col("n") >= min_size).select(
-        *keys, "n", TX.join_document(F.transform("items", lambda x: x[text_col])).alias("document"))
+    d = df.where(F.col(keys[-1]).isNotNull())
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
+    big = d.join(sizes, keys).select(*keys, "n", id_col, text_col)
+    ranked = distributed_rank(big, keys, [id_col], "_item")
+    parts = ranked.withColumn("part", F.floor((F.col("_item") - 1) / max_items).cast("int"))
+    g = parts.groupBy(*keys, "part").agg(
+        F.first("n").alias("n"),
+        F.array_sort(F.collect_list(F.struct(F.col("_item"), F.col(text_col)))).alias("items"))
+    return g.select(*keys, "part", "n",
+                    TX.join_document(F.transform("items", lambda x: x[text_col])).alias("document"))

@@ -15,20 +15,27 @@ from pyspark.sql import functions as F
 from critica.session import cut_lineage
 
 
-def _pointer_jump(parent: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _jump(parent: DataFrame) -> DataFrame:
+    """One pointer-doubling step: every node points to its grand-parent."""
+    return parent.alias("a").join(parent.alias("b"), F.col("a.parent") == F.col("b.node")).select(
+        F.col("a.node").alias("node"), F.col("b.parent").alias("parent"))
+
+
+def _pointer_jump(parent: DataFrame, max_rounds: int = 32, hops: int = 3) -> DataFrame:
     """Resolve a forest of parent pointers (node, parent) to (node, root).
 
-    Roots point to themselves.  Each round replaces a pointer by its
-    grand-parent, so depth halves per round.
+    Roots point to themselves.  Each round chains ``hops`` doubling steps in
+    one plan (depth shrinks by 2^hops), writes the result once, and stops
+    when every node points at a root.
     """
     for _ in range(max_rounds):
-        gp = parent.alias("a").join(parent.alias("b"), F.col("a.parent") == F.col("b.node")).select(
-            F.col("a.node").alias("node"), F.col("b.parent").alias("parent"))
-        gp = cut_lineage(gp)
-        changed = gp.alias("n").join(parent.alias("o"), "node").where(
-            F.col("n.parent") != F.col("o.parent")).limit(1).count()
-        parent = gp
-        if not changed:
+        nxt = parent
+        for _ in range(hops):
+            nxt = _jump(nxt)
+        parent = cut_lineage(nxt)
+        pending = parent.alias("a").join(parent.alias("b"), F.col("a.parent") == F.col("b.node")).where(
+            F.col("b.parent") != F.col("b.node")).limit(1).count()
+        if not pending:
             return parent
     raise RuntimeError("pointer jumping did not converge")
 
@@ -51,10 +58,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
             .groupBy("a").agg(F.min("lb").alias("m"))
         prop = labels.join(nb.withColumnRenamed("a", "node"), "node", "left").select(
             "node", F.least(F.col("label"), F.coalesce(F.col("m"), F.col("label"))).alias("label"))
-        # Shortcut: adopt the label of the current label.
-        jumped = prop.alias("p").join(prop.alias("q"), F.col("p.label") == F.col("q.node"), "left").select(
-            F.col("p.node").alias("node"),
-            F.least(F.col("p.label"), F.coalesce(F.col("q.label"), F.col("p.label"))).alias("label"))
+        # Shortcuts: adopt the label of the current label, twice per round.
+        jumped = prop
+        for _ in range(2):
+            jumped = jumped.alias("p").join(jumped.alias("q"), F.col("p.label") == F.col("q.node"), "left").select(
+                F.col("p.node").alias("node"),
+                F.least(F.col("p.label"), F.coalesce(F.col("q.label"), F.col("p.label"))).alias("label"))
         jumped = cut_lineage(jumped)
         changed = jumped.alias("n").join(labels.alias("o"), "node").where(
             F.col("n.label") != F.col("o.label")).limit(1).count()
@@ -88,7 +97,6 @@ def boruvka(edges: DataFrame, comp: DataFrame, max_rounds: int = 64):
         best = cand.groupBy("c").agg(F.min(F.struct("w", "lo", "hi", "o")).alias("b")).select(
             "c", F.col("b.w").alias("w"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"),
             F.col("b.o").alias("o"))
-        best = cut_lineage(best)
         chosen = best.select("lo", "hi", "w").distinct()
         selected = chosen if selected is None else selected.unionByName(chosen)
         # Hook every component to the partner of its best edge; a mutual

@@ -1,12 +1,12 @@
 """Ordered and per-group positional operators (§2.E, §2.F).
 
-Two kinds of per-group ordering appear:
-
-* groups that are small by construction (the clusters of one category:
-  at most n/5 rows after aggregation) use ordinary window functions;
-* groups of reviews, where one group may hold a third of all rows, use
-  ``distributed_rank``: a range-partitioned sort plus per-partition
-  offsets, so no task ever holds a whole group.
+Any group here may hold a third of all rows (reviews of one app, clusters
+of one category), so positions inside a group come from
+``distributed_rank`` (a range-partitioned sort plus per-partition offsets)
+and carry-forward from ``distributed_ffill``: no task ever holds a whole
+group.  Windows remain only over tables with one row per (group,
+partition) and in ``top_k``, which Spark plans as a per-partition
+WindowGroupLimit before the shuffle.
 """
 
 from __future__ import annotations
@@ -59,10 +59,12 @@ def distributed_rank(df: DataFrame, keys, order, rank_col: str = "rank",
 def rank_clusters(importance: DataFrame, keys=("app", "category"), cluster_col: str = "clusters") -> DataFrame:
     """Clusters by importance, descending; ties by cluster id.
 
-    One row per cluster, so the per-category window is bounded.
+    One row per cluster; a category may still hold very many clusters, so
+    the rank is a ``distributed_rank`` rather than a per-category window.
     """
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("importance"), F.col(cluster_col))
-    return importance.withColumn("cluster_rank", F.row_number().over(w))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    r = distributed_rank(importance, keys, [F.desc_nulls_last("importance"), F.col(cluster_col)], "cluster_rank")
+    return r.withColumn("cluster_rank", F.col("cluster_rank").cast("int"))
 
 
 def top_k(df: DataFrame, keys, order, k: int, rank_col: str = "rank") -> DataFrame:
@@ -106,19 +108,23 @@ def canonical_labels(df: DataFrame, keys, comp_col: str = "component", id_col: s
                      out_col: str = "clusters", by_component: bool = False) -> DataFrame:
     """Contiguous 0..k-1 labels per group, ordered by each component's smallest id.
 
-    Components are first reduced to one row each, ranked, and joined back;
-    rows with a null component get -1 (noise).
+    Components are first reduced to one row each, ranked (distributed, a
+    group may hold very many components), and joined back; rows with a null
+    component get -1 (noise).  ``by_component``: the component value already
+    is the order key (e.g. DBSCAN's smallest core id, the discovery order of
+    a scan by id).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    # ``by_component``: the component value already is the order key (e.g.
-    # DBSCAN's smallest core id, the discovery order of a scan by id).
+    drop = []
+    if not keys:
+        df, keys, drop = df.withColumn("_cg", F.lit(0)), ["_cg"], ["_cg"]
     order = F.col(comp_col) if by_component else F.min(id_col)
     comps = (df.where(F.col(comp_col).isNotNull()).groupBy(*keys, comp_col)
              .agg(order.alias("_min_id")))
-    w = Window.partitionBy(*keys).orderBy("_min_id")
-    ranked = comps.withColumn(out_col, (F.dense_rank().over(w) - 1).cast("int")).drop("_min_id")
+    ranked = distributed_rank(comps, keys, ["_min_id", comp_col], "_rk")
+    ranked = ranked.select(*keys, comp_col, (F.col("_rk") - 1).cast("int").alias(out_col))
     return (df.join(ranked, keys + [comp_col], "left")
-            .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(-1)).cast("int")))
+            .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(-1)).cast("int")).drop(*drop))
 
 
 def distributed_ffill(df: DataFrame, keys, order, value_col: str, out_col: str,

@@ -209,13 +209,13 @@ def q_large_groups_semi(spark, sf):
 
 
 @register("cluster_documents", TD.with_views(TD.CLUSTERED_SQL, """
-SELECT app, clusters, CAST(count(*) AS BIGINT) AS n,
+SELECT app, clusters, 0 AS part, CAST(count(*) AS BIGINT) AS n,
   md5(string_agg(data, ' ||||| ' ORDER BY review_id)) AS document_md5,
   CAST(sum(length(data)) + 7 * (count(*) - 1) AS BIGINT) AS document_chars
 FROM clustered GROUP BY app, clusters HAVING count(*) >= 3"""))
 def q_cluster_documents(spark, sf):
     d = AG.cluster_documents(TD.clustered(spark, sf), ["app", "clusters"], min_size=3)
-    return d.select("app", "clusters", "n", F.md5("document").alias("document_md5"),
+    return d.select("app", "clusters", "part", "n", F.md5("document").alias("document_md5"),
                     F.length("document").cast("bigint").alias("document_chars"))
 
 

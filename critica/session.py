@@ -69,4 +69,9 @@ def cut_lineage(df, eager: bool = True):
     forces a recomputation of all earlier rounds.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    # Cache first so that writing the checkpoint does not recompute the plan.
+    cached = df.persist()
+    out = cached.checkpoint(eager=eager)
+    if eager:
+        cached.unpersist(blocking=False)
+    return out
