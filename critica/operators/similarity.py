@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from critica.functions import text as TX
 from critica.functions import vectors as V
+from critica.session import cut_lineage
 
 
 def sentences(df: DataFrame, keys, id_col: str = "review_id", text_col: str = "data",
@@ -46,7 +47,10 @@ def sentence_centrality(sents: DataFrame, keys, id_cols=("review_id", "sent_id")
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     ids = list(id_cols)
-    u = sentence_vectors(sents, keys, ids, text_col)
+    # The sentence table and its vectors feed several branches; both are
+    # written once so that splitting and tokenising run once.
+    sents = cut_lineage(sents)
+    u = cut_lineage(sentence_vectors(sents, keys, ids, text_col))
     total = u.groupBy(*keys, "term").agg(F.sum("u").alias("s"))
     cent = u.join(total, keys + ["term"]).groupBy(*keys, *ids).agg(
         F.sum(F.col("u") * F.col("s")).alias("centrality"))

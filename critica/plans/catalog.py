@@ -23,21 +23,7 @@ from critica.operators import split as SP
 from critica.schema import LABELS
 from critica.sources import testdata as TD
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name: str, sql: str | None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+from critica.plans.registry import ORACLE, QUERIES, r6, register  # noqa: E402,F401
 
 
 # --------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from critica.operators import classify as K
 from critica.operators import metrics as M
 from critica.operators import split as SP
 from critica.operators import zero_shot as Z
-from critica.plans.catalog import r6, register
+from critica.plans.registry import r6, register
 from critica.schema import LABELS
 from critica.sources import testdata as TD
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from critica.operators import likert as LK
 from critica.operators import metrics as M
 from critica.operators import routing as RT
-from critica.plans.catalog import r6, register
+from critica.plans.registry import r6, register
 from critica.schema import LABELS
 from critica.sources import testdata as TD
 

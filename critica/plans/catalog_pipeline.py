@@ -9,7 +9,7 @@ from critica.operators import aggregates as AG
 from critica.operators import ranking as R
 from critica.operators import summarize as SU
 from critica.plans import analyze as A
-from critica.plans.catalog import r6, register
+from critica.plans.registry import r6, register
 from critica.plans.catalog_text import _SENT_SQL
 from critica.sources import testdata as TD
 

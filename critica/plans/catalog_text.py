@@ -14,7 +14,7 @@ from critica.operators import ranking as R
 from critica.operators import routing as RT
 from critica.operators import similarity as SI
 from critica.operators import summarize as SU
-from critica.plans.catalog import r6, register
+from critica.plans.registry import r6, register
 from critica.sources import testdata as TD
 
 STOP = FE.default_stop_words()

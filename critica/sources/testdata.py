@@ -11,8 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread_input(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that yields fewer partitions than the session's
+    default parallelism (a single-row-group file is one task, so per-row
+    text work would run on one core).  Inputs already split into enough
+    partitions — any large table on a cluster — pass through unshuffled.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
