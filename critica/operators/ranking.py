@@ -157,3 +157,29 @@ def distributed_ffill(df: DataFrame, keys, order, value_col: str, out_col: str,
     return (local.join(carry, keys + ["_pid"], "left")
             .withColumn(out_col, F.coalesce(F.col("_fill"), F.col("_carry")))
             .drop("_pid", "_fill", "_carry"))
+
+
+def distributed_running_sum(df: DataFrame, keys, order, value_col: str, out_col: str,
+                            num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value_col`` per group in ``order`` (exact, distributed).
+
+    Same scheme as ``distributed_rank``: each range partition sums its own
+    run of a group with a bounded window; earlier partitions contribute
+    through a (group, partition) totals table.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    local = cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+                        .withColumn("_pid", F.spark_partition_id()))
+    w = (Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, 0))
+    local = local.withColumn("_run", F.sum(value_col).over(w))
+    totals = local.groupBy(*keys, "_pid").agg(F.sum(value_col).alias("_tot"))
+    w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(w_off), F.lit(0))).drop("_tot")
+    return (local.join(offsets, keys + ["_pid"])
+            .withColumn(out_col, F.col("_off") + F.col("_run"))
+            .drop("_pid", "_run", "_off"))

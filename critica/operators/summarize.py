@@ -55,16 +55,24 @@ def _chunk_ids(tokens, budget: int) -> list[int]:
     return out
 
 
+# Groups up to this many items are packed in one grouped task (two integers
+# per item); larger groups use the distributed form.
+CHUNK_LOCAL_MAX = 1_000_000
+
+
 def chunk_by_budget(items: DataFrame, keys, budget: int = 12000, id_col: str = "review_id",
-                    tokens_col: str = "n_tokens") -> DataFrame:
+                    tokens_col: str = "n_tokens", local_max: int = CHUNK_LOCAL_MAX) -> DataFrame:
     """Chunk id per item, items ordered by id inside each group.
 
-    The packing is sequential by definition, so each group is one grouped
-    Python task that streams (id, tokens) pairs, two integers per item;
-    groups run in parallel.
+    Groups of at most ``local_max`` items (checked count): one grouped
+    task streams (id, tokens) pairs.  Larger groups: ``chunk_by_budget_distributed``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     slim = items.select(*keys, id_col, F.col(tokens_col).cast("long").alias("_t"))
+    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    small_keys = sizes.where(F.col("_n") <= local_max).select(*keys)
+    has_big = sizes.where(F.col("_n") > local_max).limit(1).count() > 0
+    small = slim.join(small_keys, keys, "left_semi")
     schema = T.StructType([f for f in slim.schema.fields if f.name != "_t"] +
                           [T.StructField("chunk", T.IntegerType())])
 
@@ -73,7 +81,68 @@ def chunk_by_budget(items: DataFrame, keys, budget: int = 12000, id_col: str = "
         pdf["chunk"] = _chunk_ids(pdf["_t"].tolist(), budget)
         return pdf.drop(columns=["_t"])
 
-    return slim.groupBy(*keys).applyInPandas(pack, schema)
+    out = small.groupBy(*keys).applyInPandas(pack, schema)
+    if has_big:
+        big = slim.join(small_keys, keys, "left_anti")
+        out = out.unionByName(chunk_by_budget_distributed(big, keys, budget, id_col, "_t"))
+    return out
+
+
+def chunk_by_budget_distributed(items: DataFrame, keys, budget: int, id_col: str = "review_id",
+                                tokens_col: str = "n_tokens", max_levels: int = 64) -> DataFrame:
+    """Exact greedy packing without holding a group in one task.
+
+    1. Positions and inclusive prefix sums P per group (distributed).
+    2. A chunk starting at item i ends before the first j > i with
+       P_j > P_i - t_i + budget: an as-of search, done as a backward fill
+       over items and queries sorted by value.
+    3. The chunk starts are the chain 1 → next(1) → …, marked by pointer
+       doubling (log rounds of joins).
+    4. Chunk id = running count of starts - 1.
+    """
+    from critica.operators.ranking import distributed_ffill, distributed_rank, distributed_running_sum
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    x = items.select(*keys, id_col, F.col(tokens_col).cast("long").alias("t"))
+    x = distributed_rank(x, keys, [id_col], "pos")
+    x = cut_lineage(distributed_running_sum(x, keys, ["pos"], "t", "p_incl"))
+    n = x.groupBy(*keys).agg(F.max("pos").alias("n"))
+    # As-of search: for each item i the smallest j with p_incl_j > p_incl_i - t_i + budget.
+    qs = x.select(*keys, (F.col("p_incl") - F.col("t") + F.lit(budget)).alias("v"), F.lit(0).alias("k2"),
+                  F.lit(None).cast("long").alias("j"), F.col("pos").alias("qpos"))
+    its = x.select(*keys, F.col("p_incl").alias("v"), F.lit(1).alias("k2"), F.col("pos").alias("j"),
+                   F.lit(None).cast("long").alias("qpos"))
+    both = qs.unionByName(its).withColumn("_sv", -F.col("v")).withColumn(
+        "_sj", F.coalesce(-F.col("j"), F.lit(0)))
+    filled = distributed_ffill(both, keys, ["_sv", "k2", "_sj"], "j", "next_raw")
+    nxt = (filled.where(F.col("k2") == 0).join(n, keys)
+           .select(*keys, F.col("qpos").alias("node"),
+                   F.greatest(F.col("qpos") + 1, F.coalesce(F.col("next_raw"), F.col("n") + 1)).alias("to"),
+                   "n"))
+    nxt = cut_lineage(nxt)
+    # Pointer doubling: jumps[k](i) = next^(2^k)(i); terminal n+1 maps to itself.
+    term = n.select(*keys, (F.col("n") + 1).alias("node"), (F.col("n") + 1).alias("to"), "n")
+    jump = cut_lineage(nxt.unionByName(term))
+    starts = n.select(*keys, F.lit(1).cast("long").alias("node"))
+    for _ in range(max_levels):
+        reached = (starts.join(jump, keys + ["node"]).select(*keys, F.col("to").alias("node"))
+                   .join(n, keys).where(F.col("node") <= F.col("n")).select(*keys, "node"))
+        grown = cut_lineage(starts.unionByName(reached).distinct())
+        if grown.count() == starts.count():
+            starts = grown
+            break
+        starts = grown
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = cut_lineage(a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] +
+                                  [F.col("a.to") == F.col("b.node")])
+                           .select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.node").alias("node"),
+                                   F.col("b.to").alias("to"), F.col("a.n").alias("n")))
+    else:
+        raise RuntimeError("chunk_by_budget_distributed: no convergence")
+    marked = (x.join(starts.withColumnRenamed("node", "pos").withColumn("is_start", F.lit(1)),
+                     keys + ["pos"], "left")
+              .withColumn("is_start", F.coalesce(F.col("is_start"), F.lit(0))))
+    counted = distributed_running_sum(marked, keys, ["pos"], "is_start", "_starts")
+    return counted.select(*keys, id_col, (F.col("_starts") - 1).cast("int").alias("chunk"))
 
 
 def chunk_by_budget_sql(table: str, keys, budget: int, id_col: str = "review_id",

@@ -167,3 +167,19 @@ def test_abstractive_summary_rounds(spark, n_words):
     df = spark.createDataFrame(rows, "k string, review_id long, data string")
     s = SU.abstractive_summary(df, ["k"], SU.KeywordStubClient(n_words), budget=100).collect()
     assert len(s) == 1 and s[0].rounds == 2 and s[0].summary.startswith("4 reviews:")
+
+
+def test_chunk_distributed_matches_greedy(spark):
+    import random
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for g in ("a", "b"):
+        toks = [rnd.choice([0, 1, 3, 5, 9, 12, 30]) for _ in range(60)]
+        ids = list(range(len(toks)))
+        for i, t in zip(ids, toks):
+            rows.append((g, i, t))
+        for i, c in zip(ids, SU._chunk_ids(toks, 20)):
+            want[(g, i)] = c
+    df = spark.createDataFrame(rows, "k string, review_id long, n_tokens long")
+    got = {(r.k, r.review_id): r.chunk for r in SU.chunk_by_budget(df, ["k"], 20, local_max=0).collect()}
+    assert got == want
