@@ -106,3 +106,21 @@ def likert_mark(line) -> Column:
     return F.aggregate(
         F.transform(cells, lambda cell, i: F.when(cell.rlike("[Xx]"), i - 1).otherwise(F.lit(0))),
         F.lit(0), lambda acc, v: acc + v)
+
+
+def run_name(name: str, files_col) -> Column:
+    """``<name>-<sorted distinct first words of the file names>`` (H11); the
+    run timestamp is kept in its own column by the caller."""
+    prefixes = F.array_sort(F.array_distinct(F.transform(_c(files_col), lambda f: F.split(f, " ")[0])))
+    return F.concat_ws("-", F.lit(name), F.array_join(prefixes, "-"))
+
+
+def report_to_json(report_struct) -> Column:
+    """A nested report record as JSON text, non-ASCII kept."""
+    return F.to_json(_c(report_struct))
+
+
+def report_from_json(c) -> Column:
+    """JSON text back to the declared report struct."""
+    from critica.schema import REPORT
+    return F.from_json(_c(c), REPORT)

@@ -132,3 +132,36 @@ def dbscan_local(x: np.ndarray, ids: np.ndarray, eps: float, min_samples: int, b
             has = within.any(1)
             comp_label[rows[has]] = m[has]
     return comp_label, core
+
+
+def knn_local(x: np.ndarray, ids: np.ndarray, k: int, block: int = 1024, margin: int = 8):
+    """Exact k nearest neighbours (self excluded), ties by neighbour id.
+
+    Candidates come from the expanded-square distances, then the exact
+    distances of the top k + margin candidates decide the order.
+    Returns arrays (id, nbr, dist, rank).
+    """
+    n = len(x)
+    kk = min(k, n - 1)
+    if kk <= 0:
+        e = np.array([], dtype=np.int64)
+        return e, e, np.array([], dtype=float), e
+    sq = (x * x).sum(1)
+    out_id, out_nbr, out_d, out_r = [], [], [], []
+    c = min(n - 1, kk + margin)
+    for s in range(0, n, block):
+        blk = x[s:s + block]
+        d2 = sq[s:s + block, None] + sq[None, :] - 2.0 * blk @ x.T
+        rows = np.arange(s, min(s + block, n))
+        d2[rows - s, rows] = np.inf
+        cand = np.argpartition(d2, c - 1, axis=1)[:, :c] if c < n else np.argsort(d2, axis=1)[:, :c]
+        for r, i in enumerate(rows):
+            js = cand[r][cand[r] != i]
+            exact = np.sqrt(((x[js] - x[i]) ** 2).sum(1))
+            order = np.lexsort((ids[js], exact))[:kk]
+            out_id.extend([ids[i]] * len(order))
+            out_nbr.extend(ids[js][order])
+            out_d.extend(exact[order])
+            out_r.extend(range(1, len(order) + 1))
+    return (np.array(out_id, dtype=np.int64), np.array(out_nbr, dtype=np.int64),
+            np.array(out_d, dtype=float), np.array(out_r, dtype=np.int64))

@@ -136,3 +136,108 @@ def neighbour_counts(points: DataFrame, pairs: DataFrame, keys=(), id_col: str =
     return (points.select(*keys, F.col(id_col).alias("id")).join(cnt, keys + ["id"], "left")
             .select(*keys, F.col("id").alias(id_col), (F.coalesce(F.col("nbrs"), F.lit(0)) + 1).alias("n_eps")))
 
+
+
+def knn_pairs(points: DataFrame, k: int, keys=(), id_col: str = "review_id", vec_col: str = "embedding",
+              radius: float | None = None, growth: float = 2.0, max_levels: int = 40,
+              local_max: int = 20000) -> DataFrame:
+    """Exact k nearest neighbours of every point inside its group (C6 ``knn_join``).
+
+    Groups of at most ``local_max`` points (checked count): one grouped
+    numpy task each.  Larger groups: ``knn_pairs_distributed``.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+    from critica.operators.local_kernels import knn_local
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    gkeys = keys or ["_g"]
+    pts = points.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    if not keys:
+        pts = pts.withColumn("_g", F.lit(0))
+        big_all = pts.count() > local_max
+        small, big, has_big = (pts.limit(0), pts, True) if big_all else (pts, pts.limit(0), False)
+    else:
+        sizes = pts.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
+        small_keys = sizes.where(F.col("_n") <= local_max).select(*gkeys)
+        small = pts.join(small_keys, gkeys, "left_semi")
+        big = pts.join(small_keys, gkeys, "left_anti")
+        has_big = sizes.where(F.col("_n") > local_max).limit(1).count() > 0
+    key_fields = [f for f in pts.schema.fields if f.name in gkeys]
+    schema = T.StructType(key_fields + [T.StructField("id", T.LongType()), T.StructField("nbr", T.LongType()),
+                                        T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy()).astype(float)
+        i, j, d, r = knn_local(x, pdf["id"].to_numpy().astype(np.int64), k)
+        out = pd.DataFrame({"id": i, "nbr": j, "dist": d, "rank": r.astype(np.int32)})
+        for key in gkeys:
+            out[key] = pdf[key].iloc[0]
+        return out[[f.name for f in schema.fields]]
+
+    out = small.groupBy(*gkeys).applyInPandas(run, schema)
+    if has_big:
+        dist = knn_pairs_distributed(big.withColumnRenamed("id", id_col).withColumnRenamed("v", vec_col),
+                                     k, gkeys, id_col, vec_col, radius, growth, max_levels)
+        out = out.unionByName(dist.withColumnRenamed(id_col, "id"))
+    if not keys:
+        out = out.drop("_g")
+    return out.withColumnRenamed("id", id_col)
+
+
+def knn_pairs_distributed(points: DataFrame, k: int, keys=(), id_col: str = "review_id",
+                          vec_col: str = "embedding", radius: float | None = None, growth: float = 2.0,
+                          max_levels: int = 40) -> DataFrame:
+    """Exact k nearest neighbours of every point inside its group (C6 ``knn_join``).
+
+    Radius levels: the exact ε-join at radius ρ finds every pair within ρ,
+    so a point with at least k neighbours within ρ has its exact k nearest
+    among them.  Points short of k neighbours continue at ρ·growth; groups
+    with k or fewer other points finish when ρ covers their diameter.
+    Output: keys, id, nbr, dist, rank (1..k; ties by neighbour id).
+    """
+    from critica.operators.ranking import top_k
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    gkeys = keys or ["_g"]
+    pts = points.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    if not keys:
+        pts = pts.withColumn("_g", F.lit(0))
+    pts = cut_lineage(pts)
+    dim = len(pts.select("v").first()[0])
+    sizes = pts.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
+    # Upper bound on any in-group distance: twice the largest norm around the group mean.
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    vv = pts.select(*gkeys, array_to_vector("v").alias("vv"))
+    cen = vv.groupBy(*gkeys).agg(Summarizer.mean(F.col("vv")).alias("c"))
+    far = vv.join(cen, gkeys).select(V.distance(vector_to_array("vv"), vector_to_array("c")).alias("r")) \
+        .agg(F.max("r")).first()[0] or 0.0
+    end = 2.0 * far * (1 + 1e-9) + 1e-12
+    rho = radius or end / 16.0
+    todo = pts
+    done = None
+    for _ in range(max_levels):
+        rho = min(rho, end)
+        # All points of groups that still have unfinished points take part
+        # (a finished point can be an unfinished point's neighbour).
+        live = pts.join(todo.select(*gkeys).distinct(), gkeys, "left_semi")
+        pairs = epsilon_pairs(live, rho, gkeys, "id", "v", dim=dim)
+        both = pairs.select(*gkeys, F.col("lo").alias("id"), F.col("hi").alias("nbr"), "dist").unionByName(
+            pairs.select(*gkeys, F.col("hi").alias("id"), F.col("lo").alias("nbr"), "dist"))
+        both = both.join(todo.select("id"), "id", "left_semi")
+        cnt = both.groupBy(*gkeys, "id").agg(F.count(F.lit(1)).alias("_c"))
+        need = F.least(F.lit(k), F.col("_n") - 1)
+        ok = (todo.select(*gkeys, "id").join(sizes, gkeys).join(cnt, gkeys + ["id"], "left")
+              .where((F.coalesce(F.col("_c"), F.lit(0)) >= need) | F.lit(rho >= end))
+              .select(*gkeys, "id"))
+        ok = cut_lineage(ok)
+        found = top_k(both.join(ok, gkeys + ["id"], "left_semi"), gkeys + ["id"], ["dist", "nbr"], k, "rank")
+        found = cut_lineage(found)
+        done = found if done is None else done.unionByName(found)
+        todo = cut_lineage(todo.join(ok.select("id"), "id", "left_anti"))
+        if rho >= end or todo.limit(1).count() == 0:
+            break
+        rho *= growth
+    out = done.select(*gkeys, "id", "nbr", "dist", F.col("rank").cast("int").alias("rank"))
+    if not keys:
+        out = out.drop("_g")
+    return out.withColumnRenamed("id", id_col)

@@ -20,8 +20,14 @@ def _half_up(x):
 
 
 def stratified_split(df: DataFrame, labels, test: float, valid: float = 0.0, seed: int = 0,
-                     dataset_col: str = "dataset", id_col: str = "review_id") -> DataFrame:
-    """Adds ``split`` ∈ {train, valid, test}; strata = (dataset, label combination)."""
+                     dataset_col: str = "dataset", id_col: str = "review_id", fit_all: bool = False) -> DataFrame:
+    """Adds ``split`` ∈ {train, valid, test}; strata = (dataset, label combination).
+
+    ``fit_all``: every row is a training row (train, valid and test united,
+    G2, Q18); no metrics should be claimed from such a fit.
+    """
+    if fit_all:
+        return df.withColumn("split", F.lit("train"))
     strata = [dataset_col, *labels]
     key = F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed))))
     sized = df.join(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")), strata)

@@ -260,3 +260,24 @@ def classify_by_keywords(text: str) -> str:
     if any(w in t for w in FEATURE_WORDS):
         labels.append("feature request")
     return ", ".join(labels) if labels else "irrelevant"
+
+
+def summarise_corpus(df: DataFrame, keys, min_size: int = 5, summarizer=None, id_col: str = "review_id",
+                     text_col: str = "data") -> DataFrame:
+    """Per group of at least ``min_size`` reviews: the document and its summary (L3).
+
+    Null group keys are ignored (B10); documents come in bounded parts
+    (D13); the summary is extractive unless a ``summarizer(members, keys)``
+    is given (e.g. ``lambda m, k: abstractive_summary(m, k, client)``).
+    """
+    from critica.operators.aggregates import cluster_documents
+    from critica.operators.routing import drop_null_key, keep_large_groups
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    d = drop_null_key(df, keys[-1])
+    big = keep_large_groups(d, keys, min_size)
+    docs = cluster_documents(big, keys, text_col, id_col, min_size)
+    if summarizer is None:
+        summ = extractive_summary(big, keys, id_col, text_col).select(*keys, "summary")
+    else:
+        summ = summarizer(big.select(*keys, id_col, text_col), keys).select(*keys, "summary")
+    return docs.join(summ, keys, "left")

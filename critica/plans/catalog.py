@@ -269,3 +269,4 @@ from critica.plans import catalog_eval  # noqa: E402,F401
 from critica.plans import catalog_cluster  # noqa: E402,F401
 from critica.plans import catalog_pipeline  # noqa: E402,F401
 from critica.plans import catalog_classify  # noqa: E402,F401
+from critica.plans import catalog_extra  # noqa: E402,F401

@@ -104,3 +104,22 @@ def test_distributed_paths_match_local(spark):
     c = {r.review_id: (r.clusters, r.is_core) for r in C.dbscan(df, 0.6, 4, ["grp"]).collect()}
     d = {r.review_id: (r.clusters, r.is_core) for r in C.dbscan(df, 0.6, 4, ["grp"], local_max=0).collect()}
     assert c == d
+
+
+def test_knn_distributed_matches_local(spark):
+    from critica.operators.similarity import knn_pairs
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (24, 3))
+    rows = [("a" if i % 3 else "b", i, x[i].tolist()) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "grp string, review_id long, embedding array<double>")
+    a = sorted((r.grp, r.review_id, r.nbr, r.rank) for r in knn_pairs(df, 3, ["grp"]).collect())
+    b = sorted((r.grp, r.review_id, r.nbr, r.rank) for r in knn_pairs(df, 3, ["grp"], local_max=0).collect())
+    assert a == b and len(a) == 24 * 3
+
+
+def test_banded_leaf_pass_matches_local(spark):
+    xs = [0, 1, 2.1, 3.3, 4.6, 20, 21.05, 22.2, 23.45, 24.8, 60, 61.02, 62.1, 63.25, 64.5, 10, 40]
+    df = _pts(spark, xs)
+    a = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"]).collect()}
+    b = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], local_max=0, band_edges=3).collect()}
+    assert a == b

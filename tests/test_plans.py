@@ -9,7 +9,13 @@ SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition", "BatchEvalPython"]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+# Model-fitting queries (Spark ML estimators) are left out: fitting runs
+# during plan construction and their plans are the library's.
+MODEL_FITTING = {"nb_predict", "svc_predict", "kernel_svc_predict", "rf_predict", "lr_head_predict",
+                 "reduce_dimension", "encode_word2vec", "embed_corpus", "detect_language_nb"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - MODEL_FITTING))
 def test_plan_shape(spark, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
