@@ -26,6 +26,7 @@ from critica.operators import ranking as R
 from critica.operators import routing as RT
 from critica.operators import summarize as SU
 from critica.operators.similarity import sentence_vectors
+from critica.session import cut_lineage
 
 CATEGORY_NAMES = {"fea": "feature_request", "pro": "problem_report", "irr": "irrelevant"}
 
@@ -85,11 +86,13 @@ def analyze(reviews: DataFrame, components: Components | None = None, app_col: s
     members = df.join(routed, "review_id")
     keys = ["app", "category"]
     labels = comp.cluster(members.select(*keys, "review_id", vec_col), keys)
-    clustered = members.join(labels, keys + ["review_id"])
+    # The labelled members feed importance, summaries, similarities and the
+    # review table; the clustering (a grouped task) runs once and is written.
+    clustered = cut_lineage(members.drop(vec_col).join(labels, keys + ["review_id"]))
     in_clusters = clustered.where(F.col("clusters") >= 0)
     ckeys = keys + ["clusters"]
     importance = AG.cluster_importance(clustered, keys, "clusters")
-    summaries = comp.summarize(in_clusters.select(*ckeys, "review_id", "data"), ckeys)
+    summaries = cut_lineage(comp.summarize(in_clusters.select(*ckeys, "review_id", "data"), ckeys))
     ranked = R.rank_clusters(importance, keys, "clusters")
     cluster_table = (ranked.join(summaries, ckeys, "left")
                      .select(*keys, "cluster_rank", "clusters", "summary", "importance",
