@@ -50,7 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as given.  Only when nothing is set (a local test) is a fresh scratch
     folder created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no driver-side context (e.g. Spark Connect): the conf names the folder
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            configured = tempfile.mkdtemp(prefix="critica-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+            spark.conf.set("spark.checkpoint.dir", configured)
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

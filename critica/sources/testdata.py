@@ -17,10 +17,12 @@ def spread_input(df: DataFrame) -> DataFrame:
     text work would run on one core).  Inputs already split into enough
     partitions — any large table on a cluster — pass through unshuffled.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # a session without RDD access (e.g. Spark Connect): leave the scan as planned
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
