@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +22,12 @@ def stream_annotate(spark: SparkSession, source: str, schema, client, model: str
     stream = spark.readStream.schema(schema).format(fmt).load(source)
 
     def per_batch(batch: DataFrame, epoch_id: int):
-        stored = None
-        if os.path.exists(out) and any(f.endswith(".parquet") for f in os.listdir(out)):
+        # Stored answers are read through Spark (the sink may be any shared
+        # file system); before the first append there is nothing to read.
+        try:
             stored = batch.sparkSession.read.parquet(out)
+        except AnalysisException:
+            stored = None
         new = annotate(batch, client, model, stored)
         new.write.mode("append").parquet(out)
 
