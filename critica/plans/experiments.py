@@ -45,7 +45,10 @@ def clustering_experiment(embedded: DataFrame, runs, vec_col: str = "reduced", p
         if "method" in df.columns:
             df = df.where(F.col("method") == r.method)
         pts = df.select(*keys, "review_id", F.col(vec_col).alias("embedding"))
-        lab = C.cluster(pts, r.algorithm, keys, **r.args)
+        args = dict(r.args)
+        if r.algorithm == "HDBSCAN":
+            args.setdefault("cluster_selection_epsilon", r.eps)
+        lab = C.cluster(pts, r.algorithm, keys, **args)
         res = df.join(lab, keys + ["review_id"]).select(
             F.lit(r.run).alias("run"), *keys, "review_id", "data", "ground_truth", "clusters", "ori_lang")
         out = res if out is None else out.unionByName(res)

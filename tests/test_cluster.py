@@ -123,3 +123,15 @@ def test_banded_leaf_pass_matches_local(spark):
     a = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"]).collect()}
     b = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], local_max=0, band_edges=3).collect()}
     assert a == b
+
+
+def test_selection_epsilon(spark):
+    xs = [0, 1, 2.1, 3.3, 4.6, 20, 21.05, 22.2, 23.45, 24.8, 60, 61.02, 62.1, 63.25, 64.5, 10, 40]
+    df = _pts(spark, xs)
+    a = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=15.0).collect()}
+    assert [a[i] for i in range(len(xs))] == [0] * 10 + [1] * 5 + [0, 0]
+    # All true splits below ε: the root's two children are the clusters (distributed fallback path).
+    b = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=25.0).collect()}
+    c = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=25.0, local_max=0,
+                                                          band_edges=4).collect()}
+    assert b == c == a
