@@ -191,7 +191,7 @@ def abstractive_summary(items: DataFrame, keys, client, budget: int = 12000, id_
     Each round: token counts → chunks → one prompt per chunk → client.
     Groups whose items fit one chunk are finished; the others continue with
     their chunk summaries as items.  A round that does not reduce the item
-    count of a group raises (the reference recursion has no bound).
+    count of a group raises (an unbounded recursion would never stop).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     cur = items.select(*keys, F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))

@@ -1,4 +1,4 @@
-"""Sources on the one labelled CSV shipped with the reference (read in place, read-only)."""
+"""Sources on the labelled review CSV (read in place, read-only; skipped when absent)."""
 import os
 
 import pytest
