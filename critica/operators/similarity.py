@@ -87,7 +87,8 @@ def projection_matrix(dim: int, n_proj: int, seed: int = 17) -> list[list[float]
 
 def epsilon_pairs(points: DataFrame, eps: float, keys=(), id_col: str = "review_id",
                   vec_col: str = "embedding", dim: int | None = None, n_grid: int = 2,
-                  n_filter: int = 4, seed: int = 17, include_self: bool = False) -> DataFrame:
+                  n_filter: int = 4, seed: int = 17, include_self: bool = False,
+                  differ_col: str | None = None) -> DataFrame:
     """All pairs (lo, hi, dist) with euclidean distance ≤ eps inside each group.
 
     Exact: candidates are the pairs whose grid cells (over ``n_grid``
@@ -95,12 +96,15 @@ def epsilon_pairs(points: DataFrame, eps: float, keys=(), id_col: str = "review_
     cut by ``n_filter`` further projections (|pᵢ(a) - pᵢ(b)| ≤ ε is
     necessary) and then checked on the full vector.  Each point is
     replicated to the 3^n_grid neighbour cells on the probe side only.
+    ``differ_col``: keep only pairs whose values in this column differ
+    (e.g. the current component); checked in the join, before any distance.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if dim is None:
         dim = len(points.select(vec_col).first()[0])
     dirs = projection_matrix(dim, n_grid + n_filter, seed)
-    base = points.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    extra = [F.col(differ_col).alias("dc")] if differ_col else []
+    base = points.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *extra)
     proj_cols = [V.dot("v", F.array(*[F.lit(float(x)) for x in d])).alias(f"_p{i}") for i, d in enumerate(dirs)]
     base = base.select("*", *proj_cols)
     cell_cols = [F.floor(F.col(f"_p{i}") / F.lit(float(eps))).cast("long").alias(f"_c{i}") for i in range(n_grid)]
@@ -113,13 +117,16 @@ def epsilon_pairs(points: DataFrame, eps: float, keys=(), id_col: str = "review_
     probe = base.select(*[F.col(c).alias("b_" + c) for c in base.columns], F.explode(off_arr).alias("_off"))
     for i in range(n_grid):
         probe = probe.withColumn(f"_c{i}", F.col(f"b__c{i}") + F.col("_off")[i])
-    build = base.select(*[F.col(c).alias("a_" + c) if c.startswith("_p") or c in ("id", "v") else F.col(c)
+    build = base.select(*[F.col(c).alias("a_" + c) if c.startswith("_p") or c in ("id", "v", "dc") else F.col(c)
                           for c in base.columns])
     probe = probe.select(*[F.col("b_" + k).alias(k) for k in keys], *[f"_c{i}" for i in range(n_grid)],
-                         F.col("b_id"), F.col("b_v"), *[F.col(f"b__p{i}") for i in range(len(dirs))])
+                         F.col("b_id"), F.col("b_v"), *[F.col(f"b__p{i}") for i in range(len(dirs))],
+                         *([F.col("b_dc")] if differ_col else []))
     on = keys + [f"_c{i}" for i in range(n_grid)]
     j = build.join(probe, on)
     cond = (F.col("a_id") <= F.col("b_id")) if include_self else (F.col("a_id") < F.col("b_id"))
+    if differ_col:
+        cond = cond & (F.col("a_dc") != F.col("b_dc"))
     for i in range(len(dirs)):
         cond = cond & (F.abs(F.col(f"a__p{i}") - F.col(f"b__p{i}")) <= F.lit(float(eps)))
     j = j.where(cond)
