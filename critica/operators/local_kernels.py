@@ -15,8 +15,34 @@ def _dist_row(x: np.ndarray, i: int) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
-def prim_mst(x: np.ndarray, ids: np.ndarray):
-    """Exact Euclidean MST; ties broken by (w, min id, max id). Returns lo, hi, w."""
+def core_distances(x: np.ndarray, min_samples: int, block: int = 1024) -> np.ndarray:
+    """Distance to the (min_samples - 1)-th nearest other point (the point counts as the first)."""
+    n = len(x)
+    k = min_samples - 1
+    if k <= 0 or n <= 1:
+        return np.zeros(n)
+    k = min(k, n - 1)
+    out = np.empty(n)
+    sq = (x * x).sum(1)
+    for s in range(0, n, block):
+        blk = x[s:s + block]
+        d2 = sq[s:s + block, None] + sq[None, :] - 2.0 * blk @ x.T
+        rows = np.arange(s, min(s + block, n))
+        d2[rows - s, rows] = np.inf
+        # candidates by the expanded form, exact distance for the chosen one
+        cand = np.argpartition(d2, k - 1, axis=1)[:, :k]
+        for r, i in enumerate(rows):
+            exact = np.sqrt(((x[cand[r]] - x[i]) ** 2).sum(1))
+            out[i] = np.sort(exact)[k - 1]
+    return out
+
+
+def prim_mst(x: np.ndarray, ids: np.ndarray, core: np.ndarray | None = None):
+    """Exact Euclidean MST; ties broken by (w, min id, max id). Returns lo, hi, w.
+
+    With ``core`` distances the weights are mutual reachability
+    max(core[a], core[b], d(a, b)).
+    """
     n = len(x)
     if n < 2:
         return np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([], dtype=float)
@@ -25,6 +51,8 @@ def prim_mst(x: np.ndarray, ids: np.ndarray):
     frm = np.full(n, -1, dtype=np.int64)
     in_tree[0] = True
     d = _dist_row(x, 0)
+    if core is not None:
+        d = np.maximum(np.maximum(d, core), core[0])
     best[:] = d
     frm[:] = 0
     best[0] = np.inf
@@ -46,6 +74,8 @@ def prim_mst(x: np.ndarray, ids: np.ndarray):
         in_tree[v] = True
         best[v] = np.inf
         dv = _dist_row(x, v)
+        if core is not None:
+            dv = np.maximum(np.maximum(dv, core), core[v])
         out = ~in_tree
         better = out & (dv < best)
         tie = out & (dv == best)

@@ -135,3 +135,14 @@ def test_selection_epsilon(spark):
     c = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=25.0, local_max=0,
                                                           band_edges=4).collect()}
     assert b == c == a
+
+
+def test_min_samples_distributed_matches_local(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 0.3, (10, 2)), rng.normal(3, 0.3, (10, 2)), rng.normal(7, 0.5, (6, 2))])
+    rows = [("g", i, x[i].tolist()) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "grp string, review_id long, embedding array<double>")
+    a = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 4, ["grp"], min_samples=3).collect()}
+    b = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 4, ["grp"], min_samples=3, local_max=0).collect()}
+    assert a == b
+    assert len({v for v in a.values() if v >= 0}) >= 2
