@@ -11,18 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread_input(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that yields fewer partitions than the session's
-    default parallelism (a single-row-group file is one task, so per-row
-    text work would run on one core).  Inputs already split into enough
-    partitions — any large table on a cluster — pass through unshuffled.
+def spread_input(df: DataFrame, bytes_per_partition: int = 1 << 20) -> DataFrame:
+    """Rebalance a scan that yields too few partitions for its size.
+
+    A single-row-group file is one task, so per-row text work would run on
+    one core.  The target is the scan's estimated size / ``bytes_per_partition``
+    (no job: the planner's statistics), capped at the default parallelism; a
+    small table stays as it is, and inputs already split into enough
+    partitions (any large table on a cluster) pass through unshuffled.
     """
     try:
         want = df.sparkSession.sparkContext.defaultParallelism
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(raw) if isinstance(raw, int) else int(raw.toString())
         have = df.rdd.getNumPartitions()
     except Exception:  # a session without RDD access (e.g. Spark Connect): leave the scan as planned
         return df
-    return df.repartition(want) if have < want else df
+    target = max(1, min(want, -(-size // bytes_per_partition)))
+    return df.repartition(target) if have < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
