@@ -183,3 +183,16 @@ def test_chunk_distributed_matches_greedy(spark):
     df = spark.createDataFrame(rows, "k string, review_id long, n_tokens long")
     got = {(r.k, r.review_id): r.chunk for r in SU.chunk_by_budget(df, ["k"], 20, local_max=0).collect()}
     assert got == want
+
+
+def test_distributed_ffill_sparse_hot_group(spark):
+    import pandas as pd
+    from critica.operators.ranking import distributed_ffill
+    rows = [("hot" if i % 4 else f"k{i % 3}", i, (f"v{i}" if i % 397 == 5 else None)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, pos long, val string")
+    got = {(r.k, r.pos): r.filled for r in
+           distributed_ffill(df, ["k"], ["pos"], "val", "filled", num_partitions=16).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "pos", "val"]).sort_values(["k", "pos"])
+    pdf["filled"] = pdf.groupby("k")["val"].ffill()
+    want = {(k, p): (None if pd.isna(f) else f) for k, p, f in zip(pdf.k, pdf.pos, pdf.filled)}
+    assert got == want
