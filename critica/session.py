@@ -8,7 +8,9 @@ session.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,7 +34,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(LOCAL_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    conf.setdefault("spark.driver.memory", "8g")
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -43,20 +45,46 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    A driver that found the package through its own ``sys.path`` (or from a
+    working folder that executors do not share) has workers that cannot
+    import it.  Spark's own file distribution carries a zip of the sources.
+    """
+    app = spark.conf.get("spark.app.id", None) or str(id(spark))
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="critica-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("critica", os.path.relpath(full, root)))
+    spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as given.  Only when nothing is set (a local test) is a fresh scratch
-    folder created.
+    as given.  Only a ``local`` master with nothing set (a test) gets a fresh
+    scratch folder; anywhere else a machine-local folder would be lost with
+    its machine, so a missing setting is an error.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # no driver-side context (e.g. Spark Connect): the conf names the folder
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
-            configured = tempfile.mkdtemp(prefix="critica-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-            spark.conf.set("spark.checkpoint.dir", configured)
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         return configured
     current = sc.getCheckpointDir()
     if current:
@@ -64,7 +92,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="critica-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="critica-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
