@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS, LAYOUTS = 200, 65_536, 2
+SAMPLE, SAMPLE_CHARS, LAYOUTS = 200, 65_536, 3
 PATH_DIMS, WORD_DIMS, HIDDEN = 160, 48, 16
 MEASURES = 6
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
