@@ -26,44 +26,25 @@ FUNCTION_WORDS = {
 LANGS = ["en", "fr", "de", "es"]
 
 
-def language_hits(text, langs=None) -> dict[str, Column]:
-    toks = tokenize(text)
-    out = {}
-    for lang in langs or LANGS:
-        words = F.array(*[F.lit(w) for w in FUNCTION_WORDS[lang]])
-        out[lang] = F.size(F.filter(toks, lambda t: F.array_contains(words, t)))
-    return out
+def _hits(tokens: Column, lang: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.isin(*FUNCTION_WORDS[lang])))
 
 
 def detect_language(text, langs=None) -> Column:
-    """Code of the language with most function-word hits; ties → earlier in the list."""
+    """Code of the language with most function-word hits; ties → earlier in the list.
+
+    The text is tokenised once and each language's hits are counted once:
+    one-element arrays hold both.
+    """
     langs = list(langs or LANGS)
-    hits = language_hits(text, langs)
-    expr = None
-    for i, lang in enumerate(langs[:-1]):
-        cond = None
-        for other in langs[i + 1:]:
-            c = hits[lang] >= hits[other]
-            cond = c if cond is None else cond & c
-        expr = F.when(cond, F.lit(lang)) if expr is None else expr.when(cond, F.lit(lang))
-    return expr.otherwise(F.lit(langs[-1])) if expr is not None else F.lit(langs[0])
+
+    def best(hits: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(hits, F.array_max(hits)).cast("int"))
+
+    counted = F.transform(F.array(tokenize(text)), lambda t: F.array(*[_hits(t, lang) for lang in langs]))
+    return F.get(F.transform(counted, best), F.lit(0))
 
 
 def is_english(text) -> Column:
     """English vs French decision used by the extractive summariser."""
     return detect_language(text, ["en", "fr"]) == "en"
-
-
-def detect_language_sql(text_sql: str, langs=None) -> str:
-    """DuckDB twin of ``detect_language`` (for the oracle)."""
-    langs = list(langs or LANGS)
-    toks = f"regexp_extract_all(lower({text_sql}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
-    hits = {}
-    for lang in langs:
-        words = ", ".join("'" + w + "'" for w in FUNCTION_WORDS[lang])
-        hits[lang] = f"len(list_filter({toks}, lambda t: list_contains([{words}], t)))"
-    parts = []
-    for i, lang in enumerate(langs[:-1]):
-        cond = " AND ".join(f"{hits[lang]} >= {hits[o]}" for o in langs[i + 1:])
-        parts.append(f"WHEN {cond} THEN '{lang}'")
-    return "CASE " + " ".join(parts) + f" ELSE '{langs[-1]}' END"

@@ -74,7 +74,7 @@ def cluster_documents(df: DataFrame, keys, text_col: str = "data", id_col: str =
     """Reviews of each group of at least ``min_size`` joined by the separator.
 
     Order inside the document is by review id.  A group's document is
-    emitted in ``part`` rows of at most ``max_items`` reviews each (part 0,
+    emitted in ``part`` rows of at most ``max_items`` reviews each, a parameter (part 0,
     1, …; concatenated with the separator they give the whole document), so
     no row or task holds an unbounded group.
     """
@@ -82,9 +82,11 @@ def cluster_documents(df: DataFrame, keys, text_col: str = "data", id_col: str =
     keys = [keys] if isinstance(keys, str) else list(keys)
     d = df.where(F.col(keys[-1]).isNotNull())
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
-    big = d.join(sizes, keys).select(*keys, "n", id_col, text_col)
-    ranked = distributed_rank(big, keys, [id_col], "_item")
-    parts = ranked.withColumn("part", F.floor((F.col("_item") - 1) / max_items).cast("int"))
+    big = d.join(sizes, keys)
+    # Ids are ranked without their texts, which join the result.
+    ranked = distributed_rank(big.select(*keys, "n", id_col), keys, [id_col], "_item").drop(*keys)
+    parts = d.select(*keys, id_col, text_col).join(ranked, id_col) \
+        .withColumn("part", F.floor((F.col("_item") - 1) / max_items).cast("int"))
     g = parts.groupBy(*keys, "part").agg(
         F.first("n").alias("n"),
         F.array_sort(F.collect_list(F.struct(F.col("_item"), F.col(text_col)))).alias("items"))

@@ -3,21 +3,20 @@
 * Sentence centrality Σⱼ cos(i, j) is ûᵢ · Σⱼ ûⱼ: one sum vector per
   group, joined back — linear in the data.
 * Review-to-centre similarity is an equi-join on the group key.
-* The ε-neighbour join is a band join on grid cells of random projections:
-  two points within ε have every projection within ε, so they share a
-  cell or sit in adjacent cells.  Candidate pairs come from an equi-join
-  on (group, cell) and are re-checked exactly; no group is ever paired
-  with itself wholesale.
+* The ε-neighbour join and the exact k-NN join work block against block
+  (``operators.blocks``): cells around pivots cut what cannot match, and
+  the rest meets in units of two bounded blocks.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from critica.functions import text as TX
 from critica.functions import vectors as V
+from critica.operators import blocks as B
 from critica.session import cut_lineage
 
 
@@ -77,62 +76,28 @@ def similarity_to_reference(df: DataFrame, refs: DataFrame, keys, vec_col: str =
 # --------------------------------------------------------------------------
 # ε-neighbour join
 
-def projection_matrix(dim: int, n_proj: int, seed: int = 17) -> list[list[float]]:
-    """Random unit directions (a handful of small rows, shipped in the plan)."""
-    rng = np.random.default_rng(seed)
-    m = rng.standard_normal((n_proj, dim))
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    return m.tolist()
+def _points(points: DataFrame, keys, id_col: str, vec_col: str, *more):
+    """(group keys, id, v, more columns), and the keys (a constant one where there is none)."""
+    pts = points.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *more)
+    return (pts, keys) if keys else (pts.withColumn("_g", F.lit(0)), ["_g"])
 
 
 def epsilon_pairs(points: DataFrame, eps: float, keys=(), id_col: str = "review_id",
-                  vec_col: str = "embedding", dim: int | None = None, n_grid: int = 2,
-                  n_filter: int = 4, seed: int = 17, include_self: bool = False,
-                  differ_col: str | None = None) -> DataFrame:
+                  vec_col: str = "embedding", differ_col: str | None = None) -> DataFrame:
     """All pairs (lo, hi, dist) with euclidean distance ≤ eps inside each group.
 
-    Exact: candidates are the pairs whose grid cells (over ``n_grid``
-    projections) are equal or adjacent in every grid direction; they are
-    cut by ``n_filter`` further projections (|pᵢ(a) - pᵢ(b)| ≤ ε is
-    necessary) and then checked on the full vector.  Each point is
-    replicated to the 3^n_grid neighbour cells on the probe side only.
-    ``differ_col``: keep only pairs whose values in this column differ
-    (e.g. the current component); checked in the join, before any distance.
+    Exact, block against block (see ``operators.blocks``): cells around
+    pivots cut the pairs that cannot be within eps; the others meet in units
+    of two bounded blocks, which give only the pairs within eps.
+    ``differ_col``: keep only pairs whose values in this column differ (e.g.
+    the current component).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if dim is None:
-        dim = len(points.select(vec_col).first()[0])
-    dirs = projection_matrix(dim, n_grid + n_filter, seed)
-    extra = [F.col(differ_col).alias("dc")] if differ_col else []
-    base = points.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *extra)
-    proj_cols = [V.dot("v", F.array(*[F.lit(float(x)) for x in d])).alias(f"_p{i}") for i, d in enumerate(dirs)]
-    base = base.select("*", *proj_cols)
-    cell_cols = [F.floor(F.col(f"_p{i}") / F.lit(float(eps))).cast("long").alias(f"_c{i}") for i in range(n_grid)]
-    base = base.select("*", *cell_cols)
-    # Probe side: every neighbour cell offset in {-1, 0, 1}^n_grid.
-    offsets = [[]]
-    for _ in range(n_grid):
-        offsets = [o + [d] for o in offsets for d in (-1, 0, 1)]
-    off_arr = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
-    probe = base.select(*[F.col(c).alias("b_" + c) for c in base.columns], F.explode(off_arr).alias("_off"))
-    for i in range(n_grid):
-        probe = probe.withColumn(f"_c{i}", F.col(f"b__c{i}") + F.col("_off")[i])
-    build = base.select(*[F.col(c).alias("a_" + c) if c.startswith("_p") or c in ("id", "v", "dc") else F.col(c)
-                          for c in base.columns])
-    probe = probe.select(*[F.col("b_" + k).alias(k) for k in keys], *[f"_c{i}" for i in range(n_grid)],
-                         F.col("b_id"), F.col("b_v"), *[F.col(f"b__p{i}") for i in range(len(dirs))],
-                         *([F.col("b_dc")] if differ_col else []))
-    on = keys + [f"_c{i}" for i in range(n_grid)]
-    j = build.join(probe, on)
-    cond = (F.col("a_id") <= F.col("b_id")) if include_self else (F.col("a_id") < F.col("b_id"))
-    if differ_col:
-        cond = cond & (F.col("a_dc") != F.col("b_dc"))
-    for i in range(len(dirs)):
-        cond = cond & (F.abs(F.col(f"a__p{i}") - F.col(f"b__p{i}")) <= F.lit(float(eps)))
-    j = j.where(cond)
-    d = V.distance("a_v", "b_v")
-    return (j.select(*keys, F.col("a_id").alias("lo"), F.col("b_id").alias("hi"), d.alias("dist"))
-            .where(F.col("dist") <= F.lit(float(eps))))
+    pts, gkeys = _points(points, keys, id_col, vec_col, *([F.col(differ_col).alias("dc")] if differ_col else []))
+    schema = T.StructType(B.key_fields(pts, gkeys) + [
+        T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("dist", T.DoubleType())])
+    found = B.run_units(B.block_units(pts, gkeys, eps), gkeys, B.pairs_within(eps, differ_col is not None), schema)
+    return found.select(*keys, "lo", "hi", "dist")
 
 
 def neighbour_counts(points: DataFrame, pairs: DataFrame, keys=(), id_col: str = "review_id") -> DataFrame:
@@ -145,106 +110,18 @@ def neighbour_counts(points: DataFrame, pairs: DataFrame, keys=(), id_col: str =
 
 
 
-def knn_pairs(points: DataFrame, k: int, keys=(), id_col: str = "review_id", vec_col: str = "embedding",
-              radius: float | None = None, growth: float = 2.0, max_levels: int = 40,
-              local_max: int = 20000) -> DataFrame:
+def knn_pairs(points: DataFrame, k: int, keys=(), id_col: str = "review_id", vec_col: str = "embedding") -> DataFrame:
     """Exact k nearest neighbours of every point inside its group (C6 ``knn_join``).
 
-    Groups of at most ``local_max`` points (checked count): one grouped
-    numpy task each.  Larger groups: ``knn_pairs_distributed``.
-    """
-    import pandas as pd
-    from pyspark.sql import types as T
-    from critica.operators.local_kernels import knn_local
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    gkeys = keys or ["_g"]
-    pts = points.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    if not keys:
-        pts = pts.withColumn("_g", F.lit(0))
-        big_all = pts.count() > local_max
-        small, big, has_big = (pts.limit(0), pts, True) if big_all else (pts, pts.limit(0), False)
-    else:
-        sizes = pts.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
-        small_keys = sizes.where(F.col("_n") <= local_max).select(*gkeys)
-        small = pts.join(small_keys, gkeys, "left_semi")
-        big = pts.join(small_keys, gkeys, "left_anti")
-        has_big = sizes.where(F.col("_n") > local_max).limit(1).count() > 0
-    key_fields = [f for f in pts.schema.fields if f.name in gkeys]
-    schema = T.StructType(key_fields + [T.StructField("id", T.LongType()), T.StructField("nbr", T.LongType()),
-                                        T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        i, j, d, r = knn_local(x, pdf["id"].to_numpy().astype(np.int64), k)
-        out = pd.DataFrame({"id": i, "nbr": j, "dist": d, "rank": r.astype(np.int32)})
-        for key in gkeys:
-            out[key] = pdf[key].iloc[0]
-        return out[[f.name for f in schema.fields]]
-
-    out = small.groupBy(*gkeys).applyInPandas(run, schema)
-    if has_big:
-        dist = knn_pairs_distributed(big.withColumnRenamed("id", id_col).withColumnRenamed("v", vec_col),
-                                     k, gkeys, id_col, vec_col, radius, growth, max_levels)
-        out = out.unionByName(dist.withColumnRenamed(id_col, "id"))
-    if not keys:
-        out = out.drop("_g")
-    return out.withColumnRenamed("id", id_col)
-
-
-def knn_pairs_distributed(points: DataFrame, k: int, keys=(), id_col: str = "review_id",
-                          vec_col: str = "embedding", radius: float | None = None, growth: float = 2.0,
-                          max_levels: int = 40) -> DataFrame:
-    """Exact k nearest neighbours of every point inside its group (C6 ``knn_join``).
-
-    Radius levels: the exact ε-join at radius ρ finds every pair within ρ,
-    so a point with at least k neighbours within ρ has its exact k nearest
-    among them.  Points short of k neighbours continue at ρ·growth; groups
-    with k or fewer other points finish when ρ covers their diameter.
+    Every unit of two bounded blocks gives each of its points' k nearest
+    there; the k nearest of all units are kept.
     Output: keys, id, nbr, dist, rank (1..k; ties by neighbour id).
     """
     from critica.operators.ranking import top_k
     keys = [keys] if isinstance(keys, str) else list(keys)
-    gkeys = keys or ["_g"]
-    pts = points.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    if not keys:
-        pts = pts.withColumn("_g", F.lit(0))
-    pts = cut_lineage(pts)
-    dim = len(pts.select("v").first()[0])
-    sizes = pts.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
-    # Upper bound on any in-group distance: twice the largest norm around the group mean.
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    vv = pts.select(*gkeys, array_to_vector("v").alias("vv"))
-    cen = vv.groupBy(*gkeys).agg(Summarizer.mean(F.col("vv")).alias("c"))
-    far = vv.join(cen, gkeys).select(V.distance(vector_to_array("vv"), vector_to_array("c")).alias("r")) \
-        .agg(F.max("r")).first()[0] or 0.0
-    end = 2.0 * far * (1 + 1e-9) + 1e-12
-    rho = radius or end / 16.0
-    todo = pts
-    done = None
-    for _ in range(max_levels):
-        rho = min(rho, end)
-        # All points of groups that still have unfinished points take part
-        # (a finished point can be an unfinished point's neighbour).
-        live = pts.join(todo.select(*gkeys).distinct(), gkeys, "left_semi")
-        pairs = epsilon_pairs(live, rho, gkeys, "id", "v", dim=dim)
-        both = pairs.select(*gkeys, F.col("lo").alias("id"), F.col("hi").alias("nbr"), "dist").unionByName(
-            pairs.select(*gkeys, F.col("hi").alias("id"), F.col("lo").alias("nbr"), "dist"))
-        both = both.join(todo.select("id"), "id", "left_semi")
-        cnt = both.groupBy(*gkeys, "id").agg(F.count(F.lit(1)).alias("_c"))
-        need = F.least(F.lit(k), F.col("_n") - 1)
-        ok = (todo.select(*gkeys, "id").join(sizes, gkeys).join(cnt, gkeys + ["id"], "left")
-              .where((F.coalesce(F.col("_c"), F.lit(0)) >= need) | F.lit(rho >= end))
-              .select(*gkeys, "id"))
-        ok = cut_lineage(ok)
-        found = top_k(both.join(ok, gkeys + ["id"], "left_semi"), gkeys + ["id"], ["dist", "nbr"], k, "rank")
-        found = cut_lineage(found)
-        done = found if done is None else done.unionByName(found)
-        todo = cut_lineage(todo.join(ok.select("id"), "id", "left_anti"))
-        if rho >= end or todo.limit(1).count() == 0:
-            break
-        rho *= growth
-    out = done.select(*gkeys, "id", "nbr", "dist", F.col("rank").cast("int").alias("rank"))
-    if not keys:
-        out = out.drop("_g")
-    return out.withColumnRenamed("id", id_col)
+    pts, gkeys = _points(points, keys, id_col, vec_col)
+    schema = T.StructType(B.key_fields(pts, gkeys) + [
+        T.StructField("id", T.LongType()), T.StructField("nbr", T.LongType()), T.StructField("dist", T.DoubleType())])
+    found = B.run_units(B.block_units(pts, gkeys), gkeys, B.nearest(k), schema)
+    out = top_k(found, [*gkeys, "id"], ["dist", "nbr"], k, "rank")
+    return out.select(*keys, F.col("id").alias(id_col), "nbr", "dist", F.col("rank").cast("int").alias("rank"))

@@ -42,55 +42,10 @@ def extractive_summary(df: DataFrame, keys, id_col: str = "review_id", text_col:
 # --------------------------------------------------------------------------
 # Greedy budgeted chunks
 
-def _chunk_ids(tokens, budget: int) -> list[int]:
-    """Greedy packing in order: a new chunk opens when the running total would
-    pass the budget; an item over the budget sits alone; no empty chunk (Q1)."""
-    out, chunk, used = [], 0, 0
-    for t in tokens:
-        if used > 0 and used + t > budget:
-            chunk += 1
-            used = 0
-        used += t
-        out.append(chunk)
-    return out
-
-
-# Groups up to this many items are packed in one grouped task (two integers
-# per item); larger groups use the distributed form.
-CHUNK_LOCAL_MAX = 1_000_000
-
-
 def chunk_by_budget(items: DataFrame, keys, budget: int = 12000, id_col: str = "review_id",
-                    tokens_col: str = "n_tokens", local_max: int = CHUNK_LOCAL_MAX) -> DataFrame:
-    """Chunk id per item, items ordered by id inside each group.
-
-    Groups of at most ``local_max`` items (checked count): one grouped
-    task streams (id, tokens) pairs.  Larger groups: ``chunk_by_budget_distributed``.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    slim = items.select(*keys, id_col, F.col(tokens_col).cast("long").alias("_t"))
-    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    small_keys = sizes.where(F.col("_n") <= local_max).select(*keys)
-    has_big = sizes.where(F.col("_n") > local_max).limit(1).count() > 0
-    small = slim.join(small_keys, keys, "left_semi")
-    schema = T.StructType([f for f in slim.schema.fields if f.name != "_t"] +
-                          [T.StructField("chunk", T.IntegerType())])
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col, kind="mergesort")
-        pdf["chunk"] = _chunk_ids(pdf["_t"].tolist(), budget)
-        return pdf.drop(columns=["_t"])
-
-    out = small.groupBy(*keys).applyInPandas(pack, schema)
-    if has_big:
-        big = slim.join(small_keys, keys, "left_anti")
-        out = out.unionByName(chunk_by_budget_distributed(big, keys, budget, id_col, "_t"))
-    return out
-
-
-def chunk_by_budget_distributed(items: DataFrame, keys, budget: int, id_col: str = "review_id",
                                 tokens_col: str = "n_tokens", max_levels: int = 64) -> DataFrame:
-    """Exact greedy packing without holding a group in one task.
+    """Chunk id per item, items ordered by id inside each group (E4): exact greedy
+    packing without holding a group in one task.
 
     1. Positions and inclusive prefix sums P per group (distributed).
     2. A chunk starting at item i ends before the first j > i with
@@ -137,7 +92,7 @@ def chunk_by_budget_distributed(items: DataFrame, keys, budget: int, id_col: str
                            .select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.node").alias("node"),
                                    F.col("b.to").alias("to"), F.col("a.n").alias("n")))
     else:
-        raise RuntimeError("chunk_by_budget_distributed: no convergence")
+        raise RuntimeError("chunk_by_budget: no convergence")
     marked = (x.join(starts.withColumnRenamed("node", "pos").withColumn("is_start", F.lit(1)),
                      keys + ["pos"], "left")
               .withColumn("is_start", F.coalesce(F.col("is_start"), F.lit(0))))
@@ -145,22 +100,6 @@ def chunk_by_budget_distributed(items: DataFrame, keys, budget: int, id_col: str
     return counted.select(*keys, id_col, (F.col("_starts") - 1).cast("int").alias("chunk"))
 
 
-def chunk_by_budget_sql(table: str, keys, budget: int, id_col: str = "review_id",
-                        tokens_col: str = "n_tokens") -> str:
-    """Recursive-CTE twin of ``chunk_by_budget`` (for the oracle)."""
-    k = ", ".join(keys)
-    on = " AND ".join(f"o.{c} = r.{c}" for c in keys)
-    return f"""ordered AS (
-  SELECT {k}, {id_col}, {tokens_col} AS t, row_number() OVER (PARTITION BY {k} ORDER BY {id_col}) AS pos FROM {table}),
-chunks AS (
-  SELECT {k}, {id_col}, pos, t AS used, 0 AS chunk FROM ordered WHERE pos = 1
-  UNION ALL
-  SELECT o.{keys[0]}{''.join(', o.' + c for c in keys[1:])}, o.{id_col}, o.pos,
-         CASE WHEN r.used > 0 AND r.used + o.t > {budget} THEN o.t ELSE r.used + o.t END,
-         CASE WHEN r.used > 0 AND r.used + o.t > {budget} THEN r.chunk + 1 ELSE r.chunk END
-  FROM chunks r JOIN ordered o ON {on} AND o.pos = r.pos + 1)"""
-
-
 # --------------------------------------------------------------------------
 # Abstractive summaries with an injected client
 

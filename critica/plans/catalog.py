@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from critica.functions import text as TX
 from critica.functions import vectors as V
-from critica.functions.language import detect_language, detect_language_sql
+from critica.functions.language import detect_language
+from critica.plans.sql_twins import detect_language_sql
 from critica.operators import aggregates as AG
 from critica.operators import joins as J
 from critica.operators import metrics as M
@@ -194,13 +195,18 @@ def q_large_groups_semi(spark, sf):
         "review_id", "ori_lang", "clusters")
 
 
-@register("cluster_documents", TD.with_views(TD.CLUSTERED_SQL, """
-SELECT app, clusters, 0 AS part, CAST(count(*) AS BIGINT) AS n,
-  md5(string_agg(data, ' ||||| ' ORDER BY review_id)) AS document_md5,
+PART_ITEMS = 4
+
+
+@register("cluster_documents", TD.with_views(TD.CLUSTERED_SQL, f"""
+SELECT app, clusters, part, n, md5(string_agg(data, ' ||||| ' ORDER BY review_id)) AS document_md5,
   CAST(sum(length(data)) + 7 * (count(*) - 1) AS BIGINT) AS document_chars
-FROM clustered GROUP BY app, clusters HAVING count(*) >= 3"""))
+FROM (SELECT *, CAST(count(*) OVER (PARTITION BY app, clusters) AS BIGINT) AS n,
+        CAST(floor((row_number() OVER (PARTITION BY app, clusters ORDER BY review_id) - 1) / {PART_ITEMS}) AS INTEGER) AS part
+      FROM clustered) t
+WHERE n >= 3 GROUP BY app, clusters, part, n"""))
 def q_cluster_documents(spark, sf):
-    d = AG.cluster_documents(TD.clustered(spark, sf), ["app", "clusters"], min_size=3)
+    d = AG.cluster_documents(TD.clustered(spark, sf), ["app", "clusters"], min_size=3, max_items=PART_ITEMS)
     return d.select("app", "clusters", "part", "n", F.md5("document").alias("document_md5"),
                     F.length("document").cast("bigint").alias("document_chars"))
 
@@ -270,3 +276,4 @@ from critica.plans import catalog_cluster  # noqa: E402,F401
 from critica.plans import catalog_pipeline  # noqa: E402,F401
 from critica.plans import catalog_classify  # noqa: E402,F401
 from critica.plans import catalog_extra  # noqa: E402,F401
+from critica.plans import catalog_more  # noqa: E402,F401

@@ -260,7 +260,7 @@ def q_likert_means(spark, sf):
                      F.when(F.col("feature_request") == 1, F.lit("feature_request"))
                      .otherwise(F.lit("problem_report")).alias("category"),
                      F.col("review_id").alias("item"), F.col("data").alias("document"),
-                     F.substring("data", 1, 40).alias("summary"),
+                     F.col("data").alias("summary"),
                      *[_rating(i).alias(f"r_{d}") for i, d in enumerate(M.DIMENSIONS)])
     sheet = LK.likert_sheet(items, {d: f"r_{d}" for d in M.DIMENSIONS})
     marks = LK.parse_likert(sheet)

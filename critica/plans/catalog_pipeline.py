@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from critica.functions.language import detect_language_sql  # noqa: F401
+from critica.plans.sql_twins import detect_language_sql
 from critica.operators import aggregates as AG
 from critica.operators import ranking as R
 from critica.operators import summarize as SU

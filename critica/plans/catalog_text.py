@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from critica.functions import prompts as P
 from critica.functions import text as TX
 from critica.functions import vectors as V
-from critica.functions.language import detect_language_sql
+from critica.plans.sql_twins import chunk_by_budget_sql, detect_language_sql
 from critica.operators import aggregates as AG
 from critica.operators import features as FE
 from critica.operators import ranking as R
@@ -86,10 +86,13 @@ sc AS (SELECT s.*, coalesce(c.centrality, 0.0) AS centrality FROM sents s LEFT J
        ON s.ori_lang = c.ori_lang AND s.clusters = c.clusters AND s.review_id = c.review_id AND s.sent_id = c.sent_id)"""
 
 
-@register("sentences", TD.with_views(_SENT_SQL, """
-SELECT review_id, CAST(sent_id AS INTEGER) AS sent_id, md5(sentence) AS sentence_md5 FROM sents"""))
+@register("sentences", TD.with_views(TD.REVIEWS_SQL + f""",
+s0 AS (SELECT review_id, {SENTS_SQL.format(t='data')} AS l FROM reviews),
+s1 AS (SELECT review_id, unnest(l) AS sentence, unnest(generate_series(0, len(l) - 1)) AS sent_id FROM s0)""", f"""
+SELECT review_id, CAST(sent_id AS INTEGER) AS sent_id, md5(sentence) AS sentence_md5 FROM s1
+WHERE {WORDS_SQL.format(t='sentence')} >= 5"""))
 def q_sentences(spark, sf):
-    s = SI.sentences(TD.clustered(spark, sf), ["ori_lang", "clusters"])
+    s = SI.sentences(TD.reviews(spark, sf), ["ori_lang"])
     return s.select("review_id", "sent_id", F.md5("sentence").alias("sentence_md5"))
 
 
@@ -161,7 +164,7 @@ def q_classify_prompts(spark, sf):
 
 _CHUNK_SQL = TD.CLUSTERED_SQL + f""",
 items AS (SELECT ori_lang, clusters, review_id, data, {WORDS_SQL.format(t='data')} AS n_tokens FROM clustered),
-""" + SU.chunk_by_budget_sql("items", ["ori_lang", "clusters"], 2000)
+""" + chunk_by_budget_sql("items", ["ori_lang", "clusters"], 2000)
 
 
 @register("chunk_by_budget", "WITH RECURSIVE " + _CHUNK_SQL + """
@@ -203,7 +206,8 @@ def q_pad_truncate(spark, sf):
     r = TD.reviews(spark, sf)
     tk = r.select("review_id", F.posexplode(TX.tokenize("data")).alias("pos", "term"))
     voc = R.distributed_rank(tk.select("term").distinct().withColumn("_g", F.lit(0)), ["_g"], ["term"], "id")
-    ids = (tk.join(voc.select("term", "id"), "term").groupBy("review_id")
+    # All tokens make the vocabulary; the sequences need the first 16 of each review only.
+    ids = (tk.where(F.col("pos") < 16).join(voc.select("term", "id"), "term").groupBy("review_id")
            .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids")))
     j = r.select("review_id").join(ids, "review_id", "left").withColumn(
         "ids", F.coalesce(F.col("ids"), F.array().cast("array<bigint>")))

@@ -1,9 +1,4 @@
-"""Numpy kernels for one bounded group inside a grouped task.
-
-Used only for groups whose size was checked to be at most the local bound
-(``local_max`` points); larger groups take the distributed path.  Memory is
-O(n · dim + block · n); nothing quadratic is materialised.
-"""
+"""Single-machine references that tests hold the distributed operators against."""
 
 from __future__ import annotations
 
@@ -195,3 +190,92 @@ def knn_local(x: np.ndarray, ids: np.ndarray, k: int, block: int = 1024, margin:
             out_r.extend(range(1, len(order) + 1))
     return (np.array(out_id, dtype=np.int64), np.array(out_nbr, dtype=np.int64),
             np.array(out_d, dtype=float), np.array(out_r, dtype=np.int64))
+
+
+def leaf_labels(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: np.ndarray,
+                min_cluster_size: int = 5, eps: float = 0.0) -> dict:
+    """Leaf clusters of the single-linkage hierarchy (min_samples = 1).
+
+    Bottom-up over the edges in (w, lo, hi) order with union-find: when two
+    components of at least ``min_cluster_size`` meet, each one without an
+    earlier split becomes a leaf cluster; a small component meeting a split
+    one is noise; otherwise components merge.  Returns {id: leaf number}.
+
+    ``eps`` (cluster selection epsilon): a true split below ``eps`` merges
+    without marking a split, so leaves born below ``eps`` are replaced by
+    their first ancestor born at or above it; when every true split of the
+    group is below ``eps``, the two sides of the last one (the children of
+    the root) are the clusters.
+    """
+    order = np.lexsort((hi, lo, w))
+    parent = {int(i): int(i) for i in ids}
+    size = {int(i): 1 for i in ids}
+    split = {int(i): False for i in ids}
+    members = {int(i): [int(i)] for i in ids}
+    labels: dict = {}
+    n_leaf = 0
+    last_ignored = None
+    normal_split = False
+
+    def find(x):
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for k in order:
+        a, b = find(int(lo[k])), find(int(hi[k]))
+        if a == b:
+            continue
+        big_a, big_b = size[a] >= min_cluster_size, size[b] >= min_cluster_size
+        if big_a and big_b and w[k] < eps:
+            last_ignored = (list(members[a]), list(members[b]))
+            merged_members = members[a] + members[b]
+            new_split = False
+        elif big_a and big_b:
+            normal_split = True
+            for r in (a, b):
+                if not split[r]:
+                    for m in members[r]:
+                        labels[m] = n_leaf
+                    n_leaf += 1
+            merged_members: list = []
+            new_split = True
+        elif big_a or big_b:
+            big, small = (a, b) if big_a else (b, a)
+            if split[big]:
+                merged_members = []  # the small side is noise
+            else:
+                merged_members = members[big] + members[small]
+            new_split = split[big]
+        else:
+            merged_members = members[a] + members[b]
+            new_split = False
+        if size[a] < size[b]:
+            a, b = b, a
+        parent[b] = a
+        size[a] += size[b]
+        split[a] = new_split
+        members[a] = merged_members
+        members[b] = []
+    if not normal_split and last_ignored is not None:
+        for side in last_ignored:
+            for m in side:
+                labels[m] = n_leaf
+            n_leaf += 1
+    return labels
+
+
+def _chunk_ids(tokens, budget: int) -> list[int]:
+    """Greedy packing in order: a new chunk opens when the running total would
+    pass the budget; an item over the budget sits alone; no empty chunk (Q1)."""
+    out, chunk, used = [], 0, 0
+    for t in tokens:
+        if used > 0 and used + t > budget:
+            chunk += 1
+            used = 0
+        used += t
+        out.append(chunk)
+    return out

@@ -3,7 +3,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from critica.operators import blocks as B
 from critica.operators import cluster as C
+from tests import reference_kernels as R
 from critica.operators.graph import connected_components
 
 
@@ -60,7 +62,7 @@ def test_mst_matches_kruskal(spark):
     x = np.concatenate([rng.normal(0, 1, (12, 5)), rng.normal(6, 1, (10, 5))])
     rows = [("a" if i % 2 else "b", i, x[i].tolist()) for i in range(len(x))]
     df = spark.createDataFrame(rows, "grp string, review_id long, embedding array<double>")
-    mst = C.minimum_spanning_forest(df, ["grp"], growth=3.0).collect()
+    mst = C.minimum_spanning_forest(df, ["grp"]).collect()
     for g in ("a", "b"):
         idx = [i for i in range(len(x)) if (("a" if i % 2 else "b") == g)]
         total, used = _kruskal(x[idx])
@@ -92,37 +94,70 @@ def test_unknown_algorithm(spark):
         C.cluster(_pts(spark, [0, 1]), "Nope")
 
 
-def test_distributed_paths_match_local(spark):
-    """Force the distributed paths on a small input; same labels as the local kernels."""
-    rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(0, 0.3, (12, 2)), rng.normal(4, 0.3, (12, 2)), rng.normal(9, 0.3, (6, 2))])
-    rows = [("g", i, x[i].tolist()) for i in range(len(x))]
-    df = spark.createDataFrame(rows, "grp string, review_id long, embedding array<double>")
-    a = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"]).collect()}
-    b = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], local_max=0).collect()}
-    assert a == b
-    c = {r.review_id: (r.clusters, r.is_core) for r in C.dbscan(df, 0.6, 4, ["grp"]).collect()}
-    d = {r.review_id: (r.clusters, r.is_core) for r in C.dbscan(df, 0.6, 4, ["grp"], local_max=0).collect()}
-    assert c == d
+def reference_leaves(x, m, eps=0.0, min_samples=1):
+    """Clusters by the single-machine rule, numbered by their smallest member."""
+    x, ids = np.asarray(x, float).reshape(len(x), -1), np.arange(len(x))
+    core = R.core_distances(x, min_samples) if min_samples > 1 else None
+    found = R.leaf_labels(ids, *R.prim_mst(x, ids, core), m, eps)
+    number = {leaf: k for k, leaf in enumerate(dict.fromkeys(found[i] for i in sorted(found)))}
+    return {int(i): number[found[i]] if i in found else -1 for i in ids}
+
+
+def blobs(spark, seed, *sizes):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(5 * k, 0.3, (n, 2)) for k, n in enumerate(sizes)])
+    df = spark.createDataFrame([("g", i, x[i].tolist()) for i in range(len(x))],
+                               "grp string, review_id long, embedding array<double>")
+    return x, df
+
+
+@pytest.fixture(params=[512, 5])
+def block_points(request, monkeypatch):
+    """Blocks larger than the groups, and much smaller ones."""
+    units = B.block_units
+    monkeypatch.setattr(B, "block_units", lambda p, g, eps=None: units(p, g, eps, request.param))
+
+
+def test_leaves_equal_the_reference(spark, block_points):
+    x, df = blobs(spark, 5, 12, 12, 6)
+    got = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"]).collect()}
+    assert got == reference_leaves(x, 5)
 
 
-def test_knn_distributed_matches_local(spark):
+def test_dbscan_equals_the_reference(spark, block_points):
+    x, df = blobs(spark, 6, 12, 12, 6)
+    got = {r.review_id: (r.clusters, r.is_core) for r in C.dbscan(df, 0.4, 4, ["grp"]).collect()}
+    comp, core = R.dbscan_local(x, np.arange(len(x)), 0.4, 4)
+    number = {c: k for k, c in enumerate(sorted({c for c in comp.tolist() if c >= 0}))}
+    assert got == {i: (number.get(c, -1), bool(k)) for i, (c, k) in enumerate(zip(comp.tolist(), core.tolist()))}
+
+
+def test_knn_equals_the_reference(spark, block_points):
     from critica.operators.similarity import knn_pairs
     rng = np.random.default_rng(9)
     x = rng.normal(0, 1, (24, 3))
-    rows = [("a" if i % 3 else "b", i, x[i].tolist()) for i in range(len(x))]
-    df = spark.createDataFrame(rows, "grp string, review_id long, embedding array<double>")
-    a = sorted((r.grp, r.review_id, r.nbr, r.rank) for r in knn_pairs(df, 3, ["grp"]).collect())
-    b = sorted((r.grp, r.review_id, r.nbr, r.rank) for r in knn_pairs(df, 3, ["grp"], local_max=0).collect())
-    assert a == b and len(a) == 24 * 3
+    x[5] = x[6] = x[7]  # ties go to the smaller id
+    df = spark.createDataFrame([("a", i, x[i].tolist()) for i in range(len(x))],
+                               "grp string, review_id long, embedding array<double>")
+    got = sorted((r.review_id, r["rank"], r.nbr) for r in knn_pairs(df, 3, ["grp"]).collect())
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = [(i, k + 1, j) for i in range(24) for k, (_, j) in enumerate(sorted((d[i, j], j) for j in range(24) if j != i)[:3])]
+    assert got == want
+
 
+def test_clustered_points_leave_few_candidates(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(0, 0.05, (40, 8)) + rng.normal(0, 5, 8) for _ in range(12)])
+    df = spark.createDataFrame([("g", i, x[i].tolist()) for i in range(len(x))], "grp string, id long, v array<double>")
+    units = B.block_units(df, ["grp"], 0.5)
+    assert B.candidate_share(units, ["grp"]) < 0.25
+    assert B.candidate_share(B.block_units(df, ["grp"]), ["grp"]) == 1.0
 
-def test_banded_leaf_pass_matches_local(spark):
+
+def test_banded_leaf_pass_equals_the_reference(spark):
     xs = [0, 1, 2.1, 3.3, 4.6, 20, 21.05, 22.2, 23.45, 24.8, 60, 61.02, 62.1, 63.25, 64.5, 10, 40]
-    df = _pts(spark, xs)
-    a = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"]).collect()}
-    b = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], local_max=0, band_edges=3).collect()}
-    assert a == b
+    got = {r.review_id: r.clusters for r in C.hdbscan_leaf(_pts(spark, xs), 5, ["grp"], band_edges=3).collect()}
+    assert got == reference_leaves(xs, 5)
 
 
 def test_selection_epsilon(spark):
@@ -132,17 +167,11 @@ def test_selection_epsilon(spark):
     assert [a[i] for i in range(len(xs))] == [0] * 10 + [1] * 5 + [0, 0]
     # All true splits below ε: the root's two children are the clusters (distributed fallback path).
     b = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=25.0).collect()}
-    c = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=25.0, local_max=0,
-                                                          band_edges=4).collect()}
+    c = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=25.0, band_edges=4).collect()}
     assert b == c == a
 
 
-def test_min_samples_distributed_matches_local(spark):
-    rng = np.random.default_rng(11)
-    x = np.concatenate([rng.normal(0, 0.3, (10, 2)), rng.normal(3, 0.3, (10, 2)), rng.normal(7, 0.5, (6, 2))])
-    rows = [("g", i, x[i].tolist()) for i in range(len(x))]
-    df = spark.createDataFrame(rows, "grp string, review_id long, embedding array<double>")
-    a = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 4, ["grp"], min_samples=3).collect()}
-    b = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 4, ["grp"], min_samples=3, local_max=0).collect()}
-    assert a == b
-    assert len({v for v in a.values() if v >= 0}) >= 2
+def test_min_samples_equal_the_reference(spark, block_points):
+    x, df = blobs(spark, 11, 10, 10, 6)
+    got = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 4, ["grp"], min_samples=3).collect()}
+    assert got == reference_leaves(x, 4, min_samples=3) and len({v for v in got.values() if v >= 0}) >= 2
