@@ -2,10 +2,12 @@
 
 Lines go down a tree of fixed depth: token count, then the first ``DEPTH``
 tokens, where a token with a digit is the variable field <*>.  In a leaf,
-a token is a constant of its position if at least ``min_docs`` documents
-have it there; the others become variable fields too.  The result is the
-line's template if constants make up at least ``MIN_CONSTANT`` of its
-tokens, else the line's masked form itself is.  A template found in
+a line is read field by field: token by token, or in a long line in up to
+2 * FIELDS runs of equally many tokens.  A field is a constant of its
+position if at least ``min_docs`` documents have it there; the others
+become variable too.  The result is the line's template if constants make
+up at least ``MIN_CONSTANT`` of its fields, else the line's masked form
+itself is.  A template found in
 ``min_docs`` documents or more is recurring: its lines are dropped, except
 in the document with the smallest id that has it (its lines stay).
 
@@ -16,9 +18,10 @@ template: too few tokens remain to tell a template from chance.
 Scale: exact repetitions are counted first, with partial aggregates on
 16-byte keys, so a line that a third of all documents share is one row per
 task.  Only leaves with several different lines are taken apart into
-tokens, and each of their lines once.  Documents are joined with nothing
-but their own dropped line numbers; their texts are read again instead of
-being shuffled line by line.
+fields, and each of their lines once.  Texts are read again instead of
+being kept: the places of open lines, and the line numbers to drop, come
+to the texts as a broadcast where they are at most ``FEW`` rows, counted
+first, and by a shuffle beyond.
 
 Defined results.  Null texts stay null.  Line ends are U+000A; a text
 loses the line together with its line end.  Lines are compared by 128 bits
@@ -45,6 +48,10 @@ MIN_DOCS = 2
 MIN_TOKENS = 3
 MIN_GENERAL = 8
 MIN_CONSTANT = 0.7
+#: Fields of a long line (up to twice as many).
+FIELDS = 12
+#: Rows of numbers (some 20 MB) that are broadcast instead of shuffling the texts.
+FEW = 500_000
 
 _WHITE = " \t\x0b\x0c\r"
 #: A token with a digit, found from the token's first character only (linear in the line).
@@ -52,9 +59,26 @@ _VARIABLE = "(?<![^ \\t\\x0B\\f\\r])[^ \\t\\x0B\\f\\r0-9]*+[0-9][^ \\t\\x0B\\f\\
 
 
 def _masked(line: Column) -> Column:
-    """The line's tokens, one space apart, with <*> for tokens that have a digit."""
-    fields = F.regexp_replace(F.btrim(line, F.lit(_WHITE)), _VARIABLE, "<*>")
-    return F.regexp_replace(fields, "[ \\t\\x0B\\f\\r]+", " ")
+    """The line's tokens, one space apart, with <*> for tokens that have a digit.
+
+    Replacing costs far more than finding, and most lines need none of it.
+    """
+    def variables(x: Column) -> Column:
+        return F.when(x.rlike("[0-9]"), F.regexp_replace(x, _VARIABLE, "<*>")).otherwise(x)
+
+    def spaces(x: Column) -> Column:
+        return F.when(x.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(x)
+
+    return let(let(F.btrim(line, F.lit(_WHITE)), variables), spaces)
+
+
+def _n_tokens(masked: Column) -> Column:
+    return F.when(masked == "", 0).otherwise(F.length(masked) - F.length(F.replace(masked, F.lit(" "))) + 1)
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def _keys(*cols) -> list[Column]:
@@ -71,7 +95,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _line_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line_no, n_tokens, k1, k2, l1, l2): keys of the masked line and of its leaf, without any text."""
     def keys(masked: Column) -> Column:
-        n = F.when(masked == "", 0).otherwise(F.length(masked) - F.length(F.translate(masked, " ", "")) + 1)
+        n = _n_tokens(masked)
         k1, k2 = _keys(masked)
         l1, l2 = _keys(n, F.substring_index(masked, " ", DEPTH))
         return F.struct(n.alias("n_tokens"), k1.alias("k1"), k2.alias("k2"), l1.alias("l1"), l2.alias("l2"))
@@ -93,17 +117,27 @@ def _templates(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, min
                                        # A line of one document counts once, however often it stands there.
                                        F.when(F.col("_at.doc") == F.col("_last"), 1).otherwise(F.col("_n")).alias("_w")),
                        "template-lines")
-    lines = _lines(docs, id_col, text_col).join(distinct, ["doc", "line_no"]).dropDuplicates(["k1", "k2"])
-    tokens = lines.select("l1", "l2", "k1", "k2", "_w", F.posexplode(F.split(_masked(F.col("line")), " ")).alias("pos", "token"))
-    constants = tokens.groupBy("l1", "l2", "pos", "token").agg(F.sum("_w").alias("_docs")) \
-        .where((F.col("_docs") >= min_docs) & (F.col("token") != "<*>")).select(
-            "l1", "l2", "pos", "token", F.lit(True).alias("_constant"))
-    filled = tokens.join(constants, ["l1", "l2", "pos", "token"], "left")
-    parts = filled.groupBy("k1", "k2", "l1", "l2").agg(
-        F.count("*").alias("_n"), F.count("_constant").alias("_c"),
-        F.sort_array(F.collect_list(F.when(F.col("_constant"), F.struct("pos", "token")))).alias("_template"))
-    t1, t2 = _keys(F.to_json("_template"), "_n", "l1")
-    return parts.where(F.col("_c") >= MIN_CONSTANT * F.col("_n")).select("k1", "k2", t1.alias("t1"), t2.alias("t2"))
+    lines = _lines(docs, id_col, text_col).join(_sized(distinct), ["doc", "line_no"])
+
+    def fields(tokens: Column) -> Column:
+        width = F.greatest(F.lit(1), F.floor(F.size(tokens) / FIELDS)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(tokens) / width).cast("int") - 1),
+                           lambda i: F.array_join(F.slice(tokens, i * width + 1, width), " "))
+
+    parts = lines.select("l1", "l2", "k1", "k2", "_w", F.posexplode(
+        let(F.split(_masked(F.col("line")), " "), fields)).alias("pos", "field"))
+    # Rows of equal id and number can repeat a line: each line's field counts once.
+    parts = parts.select("k1", "k2", "pos", F.xxhash64("l1", "l2", "pos", "field").alias("h"), "_w",
+                         (F.col("field") == "<*>").alias("_open"))
+    constants = parts.where(~F.col("_open")).groupBy("h").agg(
+        F.sum("_w").alias("_docs"), F.max("_w").alias("_most"), F.min("k1").alias("_x"), F.max("k1").alias("_y")) \
+        .where((F.col("_docs") >= min_docs) & ((F.col("_most") > 1) | (F.col("_x") < F.col("_y")))) \
+        .select("h", F.lit(True).alias("_constant"))
+    filled = parts.join(constants, "h", "left").groupBy("k1", "k2").agg(
+        F.count("h").alias("_n"), F.count("_constant").alias("_c"),
+        F.sort_array(F.collect_set(F.when(F.col("_constant"), F.col("h")))).alias("_template"))
+    t1, t2 = _keys("_template", "_n")
+    return filled.where(F.col("_c") >= MIN_CONSTANT * F.col("_n")).select("k1", "k2", t1.alias("t1"), t2.alias("t2"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -135,7 +169,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with the recurring lines cut out of their texts, and n_lines and n_dropped."""
     dropped = recurring_lines(docs, id_col, text_col, min_docs).groupBy("doc").agg(
         F.collect_set("line_no").alias("_dropped"))
-    dropped = written(dropped.withColumnRenamed("doc", "_doc"), "dropped-lines")
+    dropped = _sized(written(dropped.withColumnRenamed("doc", "_doc"), "dropped-lines"))
     gone = F.coalesce(F.col("_dropped"), F.array().cast("array<int>"))
 
     def without(lines):
