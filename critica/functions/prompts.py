@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 CLASSIFY_INSTRUCTION = ("Classify the following {lang} app review into problem report, "
                         "feature request or irrelevant. Be concise.")
 SUMMARY_INSTRUCTION = "Please summarize all following app reviews into one English sentence"
-CHAT_TURN = "### Human: {prompt} ### Assistant:"
 SUMMARY_SYSTEM = "You are a helpful assistant that summarizes app reviews."
 
 

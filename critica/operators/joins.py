@@ -28,6 +28,9 @@ def attach_weights(clustered: DataFrame, weights: DataFrame, keys=("app", "categ
 
 
 def pending(reviews: DataFrame, responses: DataFrame, model: str, key: str = "review_id") -> DataFrame:
-    """Reviews with no stored answer from ``model`` yet."""
-    done = responses.where(F.col("model") == model).select(key)
+    """Reviews with no stored answer from ``model`` yet (C7).  A stored row with an ``error`` is no answer."""
+    done = responses.where(F.col("model") == model)
+    if "error" in responses.columns:
+        done = done.where(F.col("error").isNull())
+    done = done.select(key)
     return reviews.join(done, key, "left_anti")

@@ -28,8 +28,8 @@ def distributed_rank(df: DataFrame, keys, order, rank_col: str = "rank",
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, (str,)) else list(order)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without a given count the adaptive planner sizes the partitions from the data; their order stays.
+    n = [num_partitions] if num_partitions else []
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     key_cols = [F.col(k) for k in keys]
     # After the range shuffle and a sort inside each partition, the row
@@ -41,7 +41,7 @@ def distributed_rank(df: DataFrame, keys, order, rank_col: str = "rank",
     # re-sampled range partitioner may place rows differently, so the tagged
     # rows are written once to the shared checkpoint folder and both
     # branches read that copy (this also survives executor loss).
-    local = cut_lineage(df.repartitionByRange(n, *key_cols, *order_cols)
+    local = cut_lineage(df.repartitionByRange(*n, *key_cols, *order_cols)
                         .sortWithinPartitions(*key_cols, *order_cols)
                         .withColumn("_pid", F.spark_partition_id())
                         .withColumn("_pos", F.monotonically_increasing_id()))
@@ -137,11 +137,11 @@ def distributed_ffill(df: DataFrame, keys, order, value_col: str, out_col: str,
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without a given count the adaptive planner sizes the partitions from the data; their order stays.
+    n = [num_partitions] if num_partitions else []
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     # Written once so that every branch sees the same partition ids.
-    local = cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+    local = cut_lineage(df.repartitionByRange(*n, *[F.col(k) for k in keys], *order_cols)
                         .withColumn("_pid", F.spark_partition_id()))
     w = (Window.partitionBy("_pid", *keys).orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, 0))
@@ -149,11 +149,10 @@ def distributed_ffill(df: DataFrame, keys, order, value_col: str, out_col: str,
     last_per = (local.where(F.col(value_col).isNotNull()).groupBy(*keys, "_pid")
                 .agg(F.max_by(F.col(value_col), F.struct(*order_cols)).alias("_last")))
     # The carry into a partition is the value of the latest earlier partition
-    # that has one; both sides hold at most one row per (group, partition).
-    pids = local.select(*keys, "_pid").distinct()
-    carry = (pids.join(last_per.select(*keys, F.col("_pid").alias("_src"), "_last"), keys)
-             .where(F.col("_src") < F.col("_pid"))
-             .groupBy(*keys, "_pid").agg(F.max_by("_last", "_src").alias("_carry")))
+    # that has one: a window over one row per (group, partition).
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (local.select(*keys, "_pid").distinct().join(last_per, keys + ["_pid"], "left")
+             .withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last"))
     return (local.join(carry, keys + ["_pid"], "left")
             .withColumn(out_col, F.coalesce(F.col("_fill"), F.col("_carry")))
             .drop("_pid", "_fill", "_carry"))
@@ -169,10 +168,10 @@ def distributed_running_sum(df: DataFrame, keys, order, value_col: str, out_col:
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without a given count the adaptive planner sizes the partitions from the data; their order stays.
+    n = [num_partitions] if num_partitions else []
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    local = cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+    local = cut_lineage(df.repartitionByRange(*n, *[F.col(k) for k in keys], *order_cols)
                         .withColumn("_pid", F.spark_partition_id()))
     w = (Window.partitionBy("_pid", *keys).orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, 0))

@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,28 +105,65 @@ def chunk_by_budget(items: DataFrame, keys, budget: int = 12000, id_col: str = "
 # --------------------------------------------------------------------------
 # Abstractive summaries with an injected client
 
-def call_client(prompts: DataFrame, client, prompt_col: str = "prompt", out_col: str = "summary") -> DataFrame:
-    """Run ``client(list[str]) -> list[str]`` over Arrow batches of prompts.
+RETRIES = 5
+
+
+def call_client(prompts: DataFrame, client, prompt_col: str = "prompt", out_col: str = "summary",
+                error_col: str | None = None, retries: int = RETRIES, wait: float = 1.0,
+                max_per_second: float | None = None, system: str | None = None) -> DataFrame:
+    """Run ``client(list[str]) -> list[str]`` over Arrow batches of prompts.
 
     The client is built once per Python worker by the factory passed in
     (``client`` may be a callable or a zero-argument factory marked with
-    ``factory=True``).
+    ``factory=True``).  ``system`` is put before each prompt.
+
+    A batch that raises is asked again prompt by prompt, each up to
+    ``retries`` times with a doubling ``wait``.  A prompt that still fails
+    has a null answer and its error in ``error_col``; without ``error_col``
+    it fails the job.  ``max_per_second`` bounds the prompts that one worker
+    sends.
     """
-    fields = [f for f in prompts.schema.fields] + [T.StructField(out_col, T.StringType())]
-    schema = T.StructType(fields)
+    added = [T.StructField(out_col, T.StringType())] + ([T.StructField(error_col, T.StringType())] if error_col else [])
+    schema = T.StructType([f for f in prompts.schema.fields] + added)
 
     def run(batches):
         fn = client() if getattr(client, "factory", False) else client
+
+        def ask(texts):
+            if max_per_second:
+                time.sleep(len(texts) / max_per_second)
+            answers = list(fn(texts))
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers to {len(texts)} prompts")
+            return answers
+
+        def ask_one(text):
+            for k in range(retries):
+                try:
+                    return ask([text])[0], None
+                except Exception as e:  # whatever a client raises is its failure to answer
+                    error = e
+                    time.sleep(wait * 2 ** k if k + 1 < retries else 0)
+            if error_col is None:
+                raise error
+            return None, f"{type(error).__name__}: {error}"
+
         for pdf in batches:
-            answers = fn(pdf[prompt_col].tolist()) if len(pdf) else []
-            pdf[out_col] = pd.Series(answers, index=pdf.index, dtype="object")
+            texts = [t if system is None else f"{system}\n{t}" for t in pdf[prompt_col].tolist()]
+            try:
+                found = [(x, None) for x in ask(texts)] if texts else []
+            except Exception:
+                found = [ask_one(t) for t in texts]
+            pdf[out_col] = pd.Series([x for x, _ in found], index=pdf.index, dtype="object")
+            if error_col:
+                pdf[error_col] = pd.Series([x for _, x in found], index=pdf.index, dtype="object")
             yield pdf
 
     return prompts.mapInPandas(run, schema)
 
 
 def abstractive_summary(items: DataFrame, keys, client, budget: int = 12000, id_col: str = "review_id",
-                        text_col: str = "data", max_rounds: int = 8) -> DataFrame:
+                        text_col: str = "data", max_rounds: int = 8, system: str | None = None) -> DataFrame:
     """One summary per group by rounds of budgeted chunks (L2, Q1, Q2).
 
     Each round: token counts → chunks → one prompt per chunk → client.
@@ -144,7 +183,7 @@ def abstractive_summary(items: DataFrame, keys, client, budget: int = 12000, id_
                         F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("items"))
                    .select(*keys, "chunk", "n_items",
                            P.summary_prompt(F.transform("items", lambda x: x["text"])).alias("prompt")))
-        answered = cut_lineage(call_client(prompts, client))
+        answered = cut_lineage(call_client(prompts, client, system=system))
         # Per-group chunk counts by aggregate + join (a window would hold a
         # hot group's chunk list in one task).
         per_group = answered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_chunks"),

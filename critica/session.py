@@ -22,6 +22,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Broadcast only sides the planner has measured below this bound.
@@ -103,12 +104,9 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (written to the shared checkpoint folder).
 
     Iterative loops call this every round so that a lost executor never
-    forces a recomputation of all earlier rounds.
+    forces a recomputation of all earlier rounds.  An eager checkpoint
+    computes its plan once.  With ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    Spark removes the files when the frame is no longer referenced.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    # Cache first so that writing the checkpoint does not recompute the plan.
-    cached = df.persist()
-    out = cached.checkpoint(eager=eager)
-    if eager:
-        cached.unpersist(blocking=False)
-    return out
+    return df.checkpoint(eager=eager)

@@ -26,7 +26,9 @@ def stream_annotate(spark: SparkSession, source: str, schema, client, model: str
         # file system); before the first append there is nothing to read.
         try:
             stored = batch.sparkSession.read.parquet(out)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             stored = None
         new = annotate(batch, client, model, stored)
         new.write.mode("append").parquet(out)
