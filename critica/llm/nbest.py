@@ -150,7 +150,7 @@ class _Choices:
 
     def __init__(self, path: str, n: int):
         self.model, self.n = model(path), n
-        self.ids = C.ChunkStore(self._compute, np.int32, C.STORE_CHUNKS * n)
+        self.ids = C.ChunkStore(self._compute, np.int32, C.STORE_CHUNKS // 2 * n)
         self.loss: dict[bytes, tuple[float, ...]] = {}
 
     def _compute(self, keys):

@@ -46,7 +46,7 @@ from critica.llm import chunks as C
 #: Contractions that are pre-tokens of their own and longer than two characters.
 LONG_CONTRACTIONS = (b"'re", b"'ve", b"'ll")
 #: Remembered pair tests per worker process.
-PAIRS = 1_000_000
+PAIRS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:

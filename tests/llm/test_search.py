@@ -63,6 +63,12 @@ def test_query_equals_its_oracle(spark, name):
     assert not problems and n, problems
 
 
+@pytest.mark.parametrize("name", ["op3_line_templates", "op4_url_trees", "op8_quality_rules"])
+def test_native_plans_hold_no_python(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin") if w in plan]
+
+
 def test_eleven_queries_are_registered():
     names = E.queries()
     assert "pipeline" in names
