@@ -3,10 +3,11 @@ and the driver contract holds (entry, queries, oracle keys)."""
 import pytest
 
 import __spark_entry__ as E
+from critica.plans import catalog
 from tests.oracle_util import compare, duck
 
 SF = "/root/testdata/sf0.001"
-ORACLE = E.oracle_sql()
+ORACLE = dict(catalog.ORACLE)
 
 
 @pytest.fixture(scope="module")
