@@ -30,8 +30,9 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = sys.argv[1:] or HEADLINE
     from critica.plans import catalog
-    from critica.session import build_session
+    from critica.session import build_session, ship_package
     spark = build_session(f"local[{cpus}]", int(cpus))
+    ship_package(spark)
     times = {}
     for name in names:
         fn = catalog.QUERIES[name]
