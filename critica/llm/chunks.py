@@ -113,20 +113,23 @@ class ChunkStore:
         return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
 
     def _add(self, new: list[bytes]):
-        values = self.compute(new)
+        base = len(self.slot)
+        self.append(self.compute(new), base)
+        self.slot.update(zip(new, range(base, base + len(new))))
+
+    def append(self, values, base: int):
+        """Arrays for the slots from ``base`` on."""
         lens = np.fromiter(map(len, values), np.int64, len(values))
-        total, base = int(lens.sum()), len(self.slot)
-        flat = np.fromiter((x for v in values for x in v), self.dtype, total)
+        total = int(lens.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while base + len(new) > len(self.start):
+        while base + len(values) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used:self.used + total] = flat
-        self.start[base:base + len(new)] = self.used + np.cumsum(lens) - lens
-        self.length[base:base + len(new)] = lens
+        self.flat[self.used:self.used + total] = np.fromiter((x for v in values for x in v), self.dtype, total)
+        self.start[base:base + len(values)] = self.used + np.cumsum(lens) - lens
+        self.length[base:base + len(values)] = lens
         self.used += total
-        self.slot.update(zip(new, range(base, base + len(new))))
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the slots' arrays one after another, the end of each)."""

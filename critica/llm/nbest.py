@@ -30,6 +30,7 @@ an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
 
@@ -43,6 +44,10 @@ from pyspark.sql import types as T
 from critica.llm import chunks as C
 
 SPACE = "▁"
+#: Bytes of text or of ids that are worked on together.
+SLICE_BYTES = 2 << 20
+#: Distinct chunks that a worker process remembers.
+CHUNKS = 450_000
 
 
 class PieceModel:
@@ -53,14 +58,14 @@ class PieceModel:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.vocab_size()
         normal = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in normal}
+        self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i), (i,)) for i in normal}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.pieces))
-        self.unknown_score = min(s for _, s in self.pieces.values()) - 10
+        self.unknown_score = min(s for _, s, _ in self.pieces.values()) - 10
         #: What each id stands for in decoded text.
         self.spelling = [b""] * n
-        for p, (i, _) in self.pieces.items():
+        for p, (i, _, _) in self.pieces.items():
             self.spelling[i] = p.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.spelling[i] = bytes([b])
@@ -94,39 +99,39 @@ class PieceModel:
         flag[offsets] = True
         return np.flatnonzero(flag)
 
-    def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """By end position: (start, score, ids) of every piece in the text."""
-        n, pieces, out = len(text), self.pieces, [[]]
-        for end in range(1, n + 1):
-            here = []
-            for start in range(max(0, end - self.longest), end):
-                p = pieces.get(text[start:end])
+    def lattice(self, text: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
+        """(edges, best): by end position, (start, score, ids) of every piece, and the best score of the prefix."""
+        get, longest, edges, best = self.pieces.get, self.longest, [[]], [0.0]
+        for end in range(1, len(text) + 1):
+            here, top, p = [], -np.inf, None
+            for start in range(end - longest if end > longest else 0, end):
+                p = get(text[start:end])
                 if p is not None:
-                    here.append((start, p[1], (p[0],)))
-            if text[end - 1] not in pieces:
-                raw = text[end - 1].encode()
-                ids = tuple(self.bytes.get(x, self.unknown) for x in raw)
+                    here.append((start, p[1], p[2]))
+                    total = best[start] + p[1]
+                    if total > top:
+                        top = total
+            if p is None:  # the last character alone is no piece
+                ids = tuple(self.bytes.get(x, self.unknown) for x in text[end - 1].encode())
                 here.append((end - 1, self.unknown_score, ids if self.unknown not in ids else (self.unknown,)))
-            out.append(here)
-        return out
+                top = max(top, best[-1] + self.unknown_score)
+            edges.append(here)
+            best.append(top)
+        return edges, best
 
     def nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids), best first."""
-        edges = self.edges(text)
-        best = [0.0] + [0.0] * len(text)
-        for end in range(1, len(text) + 1):
-            best[end] = max(best[s] + score for s, score, _ in edges[end])
-        if n == 1:
-            ids, at = [], len(text)
-            while at:
-                s, _, piece = next(e for e in edges[at] if best[e[0]] + e[1] == best[at])
-                ids.append(piece)
-                at = s
-            return [(best[-1], tuple(i for piece in reversed(ids) for i in piece))]
+        """The n best (score, ids), best first.
+
+        An entry of the queue stands for all segmentations with its last
+        pieces, and its key is the exact score of the best of them.  The
+        entries' segmentations are disjoint, so no more entries than
+        segmentations are still wanted can ever be needed.
+        """
+        edges, best = self.lattice(text)
         found, met = [], 0
         queue = [(-best[-1], 0, len(text), 0.0, ())]
         while queue and len(found) < n:
-            _, _, at, done, path = heapq.heappop(queue)
+            _, _, at, done, path = queue.pop(0)
             if not at:
                 ids = []
                 while path:
@@ -134,9 +139,15 @@ class PieceModel:
                     ids.extend(piece)
                 found.append((done, tuple(ids)))
                 continue
+            wanted = n - len(found)
             for s, score, piece in edges[at]:
                 met -= 1  # the latest first: among equal scores the search goes on with the path that it follows
-                heapq.heappush(queue, (-(best[s] + score + done), met, s, done + score, (piece, path)))
+                key = -(best[s] + score + done)
+                if len(queue) >= wanted:
+                    if key > queue[-1][0]:
+                        continue
+                    queue.pop()
+                bisect.insort(queue, (key, met, s, done + score, (piece, path)))
         return found
 
 
@@ -146,34 +157,37 @@ def model(path: str) -> PieceModel:
 
 
 class _Choices:
-    """N best by distinct chunk: slots of ids, and the loss of each choice."""
+    """N best by distinct chunk: slots of ids, and the scores of the choices.
+
+    One dictionary entry per chunk; its n choices stand at n * number in the arrays.
+    """
 
-    def __init__(self, path: str, n: int):
-        self.model, self.n = model(path), n
-        self.ids = C.ChunkStore(self._compute, np.int32, C.STORE_CHUNKS // 2 * n)
-        self.loss: dict[bytes, tuple[float, ...]] = {}
+    def __init__(self, path: str, n: int, limit: int = CHUNKS):
+        self.model, self.n, self.limit = model(path), n, limit
+        self._clear()
 
-    def _compute(self, keys):
-        return [self.held.pop(k) for k in keys]
+    def _clear(self):
+        self.number: dict[bytes, int] = {}
+        self.store = C.ChunkStore(None, np.int32)
+        self.scores = np.full((1 << 12, self.n), -np.inf)
 
     def slots(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(slots, scores of the first choice, losses) by word and choice; a missing choice loses infinity."""
-        if len(self.ids.slot) > self.ids.limit:
-            self.loss.clear()
-            self.ids._clear()
-        self.held = {}
-        n, new = self.n, [w for w in words if w not in self.loss]
-        for w in new:
+        if len(self.number) > self.limit:
+            self._clear()
+        n, base, new = self.n, len(self.number), [w for w in words if w not in self.number]
+        values = []
+        for k, w in enumerate(new, base):
             found = self.model.nbest(w.decode().replace(" ", SPACE), n)
-            self.loss[w] = tuple(s for s, _ in found)
-            for k in range(n):
-                self.held[b"%d " % k + w] = found[k][1] if k < len(found) else ()
-        slots = self.ids.slots([b"%d " % k + w for w in words for k in range(n)]).reshape(-1, n)
-        scores = np.full((len(words), n), -np.inf)
-        for i, w in enumerate(words):
-            known = self.loss[w]
-            scores[i, :len(known)] = known
-        return slots, scores[:, 0], scores[:, :1] - scores
+            if k >= len(self.scores):
+                self.scores = np.concatenate([self.scores, np.full_like(self.scores, -np.inf)])
+            self.scores[k, :len(found)] = [s for s, _ in found]
+            values.extend(found[c][1] if c < len(found) else () for c in range(n))
+            self.number[w] = k
+        self.store.append(values, base * n)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        scores = self.scores[at]
+        return at[:, None] * n + np.arange(n), scores[:, 0], scores[:, :1] - scores
 
 
 @functools.lru_cache(maxsize=2)
@@ -214,7 +228,7 @@ def encode_nbest(docs: DataFrame, model_path: str, n: int = 2, id_col: str = "do
     def code(batches):
         choices = _choices(model_path, n)
         for batch in batches:
-            for part in C.slices(batch, "_text"):
+            for part in C.slices(batch, "_text", SLICE_BYTES):
                 texts = part.column(len(names)).cast(pa.large_string()).fill_null("")
                 spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts,
                                     pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)))
@@ -238,7 +252,7 @@ def encode_nbest(docs: DataFrame, model_path: str, n: int = 2, id_col: str = "do
                         scores.append(score - loss)
                         chosen.append(use)
                         sizes.append(len(use))
-                values, ends = choices.ids.gather(np.concatenate(chosen) if chosen else np.zeros(0, np.int64))
+                values, ends = choices.store.gather(np.concatenate(chosen) if chosen else np.zeros(0, np.int64))
                 offs = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(i).take(pa.array(rows, pa.int64())) for i in range(len(names))),
@@ -260,21 +274,22 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
     def read(batches):
         m = model(model_path)
         for batch in batches:
-            column = batch.column(len(keep))
-            buf, offsets = C.raw_bytes(column)
-            ids = np.frombuffer(buf.tobytes(), "<u4").astype(np.int64)
-            ids[ids >= len(m.spell_len)] = -1
-            lens = np.where(ids >= 0, m.spell_len[ids], 0)
-            ends = np.cumsum(lens)
-            at = np.repeat(m.spell_start[ids] - (ends - lens), lens) + np.arange(int(lens.sum()))
-            text = m.spell_bytes[at]
-            bounds = np.concatenate([[0], ends])[offsets // 4]
-            whole = text.tobytes()
-            nulls = column.is_null().to_pylist()
-            out = [None if nulls[i] else whole[a:b].decode(errors="replace")
-                   for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))),
-                                              pa.array([s[1:] if s and s[0] == " " else s for s in out], pa.string())],
-                                             names=schema.names)
+            # Slices bound the index of every byte of the text.
+            for part in C.slices(batch, ids_col, SLICE_BYTES):
+                column = part.column(len(keep))
+                buf, offsets = C.raw_bytes(column)
+                ids = np.frombuffer(buf.tobytes(), "<u4").astype(np.int64)
+                ids[ids >= len(m.spell_len)] = -1
+                lens = np.where(ids >= 0, m.spell_len[ids], 0)
+                ends = np.cumsum(lens)
+                at = np.repeat(m.spell_start[ids] - (ends - lens), lens) + np.arange(int(lens.sum()))
+                bounds = np.concatenate([[0], ends])[offsets // 4]
+                whole = m.spell_bytes[at].tobytes()
+                nulls = column.is_null().to_pylist()
+                out = [None if nulls[i] else whole[a:b].decode(errors="replace")
+                       for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))),
+                                                  pa.array([s[1:] if s and s[0] == " " else s for s in out], pa.string())],
+                                                 names=schema.names)
 
     return coded.select(*keep, ids_col).mapInArrow(read, schema)

@@ -146,7 +146,7 @@ def test_prefix_count_answers(spark):
 
 
 def segmentations(m, text):
-    edges = m.edges(text)
+    edges, _ = m.lattice(text)
     def walk(at):
         if not at:
             yield 0.0, ()
