@@ -12,9 +12,12 @@ Scale: whole pieces (length = capacity) are sequences by themselves and
 never move.  The others are dealt by a hash of their key over groups of
 about ``items_per_task`` pieces, whatever source or length they have; one
 group is one bounded task.  Pieces of bins that stay emptier than
-``slack`` are dealt again over fewer groups, down to one bounded group,
-so that the number of part-filled sequences does not grow with the number
-of tasks.
+``slack`` are counted and dealt again over as many groups as their number
+needs, down to one group.  A round that finishes fewer than ``GAIN`` of its
+pieces ends this: lengths that do not fill sequences (no two fit together)
+do so in no other group either, so its bins stay as they are.  Rows of
+equal keys share a hash; a group that they overfill is dealt by row, so
+no group holds more than about three times ``items_per_task`` pieces.
 
 Defined results.  Null text counts as empty; a document without tokens
 has only its end id.  Repeated documents and repeated ids are packed row
@@ -40,6 +43,8 @@ from critica.llm.store import written
 ITEMS_PER_TASK = 32_768
 #: A bin emptier than this share is packed again with the leftovers of other tasks.
 SLACK = 1 / 64
+#: Share of its pieces that a round must finish for another one to follow.
+GAIN = 1 / 4
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -114,6 +119,19 @@ def _placer(keys: tuple[str, ...], capacity: int, base: int, last: bool, slack:
     return place
 
 
+def _dealt(todo: DataFrame, keys: tuple[str, ...], groups: int, rounds: int, items_per_task: int) -> DataFrame:
+    """``todo`` with its _group: by a hash of the keys, and by row where equal keys overfill a group."""
+    dealt = todo.withColumn("_group", F.pmod(F.xxhash64(*keys, F.lit(rounds)), F.lit(groups)))
+    if groups == 1:
+        return dealt
+    overfull = written(dealt.groupBy("_group").count().where(F.col("count") > 2 * items_per_task)
+                       .select("_group", F.lit(True).alias("_overfull")), "overfull")
+    if overfull.isEmpty():
+        return dealt
+    return dealt.join(overfull, "_group", "left").withColumn("_group", F.when(
+        F.col("_overfull"), F.pmod(F.xxhash64("_row", F.lit(rounds)), F.lit(groups))).otherwise(F.col("_group"))).drop("_overfull")
+
+
 def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), size_col: str = "length",
          capacity: int = 1024, items_per_task: int = ITEMS_PER_TASK, slack: float = SLACK) -> DataFrame:
     """``pieces`` with sequence_id and offset; rows and other columns stay as they are."""
@@ -124,19 +142,26 @@ def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), size_co
     empty = table.where(F.coalesce(size, F.lit(0)) <= 0).withColumns(
         {"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     todo = table.where((size > 0) & (size < capacity)).select("_row", *keys, F.col(size_col).cast("long").alias("_size"))
-    n = todo.count()
-    groups, rounds, placed = max(1, -(-n // items_per_task)), 0, []
+    n, rounds, placed = todo.count(), 0, []
     while True:
+        groups = max(1, -(-n // items_per_task))
         last = groups == 1
-        dealt = todo.withColumn("_group", F.pmod(F.xxhash64(*keys, F.lit(rounds)), F.lit(groups)))
-        out = dealt.groupBy("_group").applyInPandas(_placer(keys, capacity, rounds << 50, last, slack), "_row long, sequence_id long, offset long, _done boolean")
+        out = _dealt(todo, keys, groups, rounds, items_per_task).groupBy("_group").applyInPandas(
+            _placer(keys, capacity, rounds << 50, last, slack), "_row long, sequence_id long, offset long, _done boolean")
         if last:
             placed.append(out.drop("_done"))
             break
         out = written(out, "packed")
+        left = out.where("not _done").select("_row")
+        n_left = left.count()
+        if n_left > (1 - GAIN) * n:
+            placed.append(out.drop("_done"))
+            break
         placed.append(out.where("_done").drop("_done"))
-        todo = todo.join(out.where("not _done").select("_row"), "_row", "left_semi")
-        groups, rounds = -(-groups // 16), rounds + 1
+        if not n_left:
+            break
+        todo = written(todo.join(left, "_row", "left_semi"), "leftovers")
+        n, rounds = n_left, rounds + 1
     sequences = placed[0]
     for more in placed[1:]:
         sequences = sequences.unionByName(more)

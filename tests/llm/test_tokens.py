@@ -92,6 +92,20 @@ def test_packing_in_many_groups_loses_nothing_and_fills_sequences(spark):
     assert empty.count() == 0 and "sequence_id" in empty.columns
 
 
+@pytest.mark.parametrize("same_id", [False, True])
+def test_packing_groups_stay_bounded_where_lengths_fill_no_sequence(spark, same_id):
+    rng = np.random.default_rng(6)
+    sizes = [int(x) for x in rng.integers(520, 1008, 2000)]
+    df = spark.createDataFrame([(7 if same_id else i, 0, s) for i, s in enumerate(sizes)], "doc_id long, piece int, length long")
+    got = packing.pack(df, items_per_task=100).collect()
+    # No two fit together: each has a sequence of its own.
+    assert sorted(r.length for r in got) == sorted(sizes) and len({r.sequence_id for r in got}) == len(sizes)
+    groups = defaultdict(int)
+    for r in got:
+        groups[r.sequence_id // 2 >> 30] += 1
+    assert max(groups.values()) <= 300
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 60000), st.integers(0, 2 ** 64 - 1)), max_size=400), st.sampled_from([7, 64, 4096]))
 def test_simple8b_round_trip(values, block):
