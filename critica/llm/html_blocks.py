@@ -66,7 +66,10 @@ ARTICLE = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|iframe|svg|math|canvas|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    # Content that is no text.  A name ends at white space, '>' or '/' (svg-icon is another element);
+    # svg and math may close themselves, in the other elements the '/' means nothing.
+    r"|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>"
+    r"|<(script|style|noscript|template|title|textarea|iframe|svg|math|canvas|object)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"

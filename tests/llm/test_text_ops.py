@@ -239,6 +239,15 @@ def test_blocks():
     assert html_blocks.blocks_of("") == [] and html_blocks.blocks_of("<p>< a < b") == [(("p",), "< a < b", 0)]
 
 
+@pytest.mark.parametrize("icon", [
+    "<svg class=icon/>", "<svg viewBox='0 0 9 9' data-x=\"a>b\" />", "<MATH/>", "<svg/>", "<svg-icon name=menu></svg-icon>", "<title-bar></title-bar>",
+    "<object-card></object-card>", "<svg:use></svg:use>", "<svg><path d='M0'/><text>drawn</text></svg>", "<script src='x' />var a = '<p>'</script >",
+    "<svg class=a\n/>"])
+def test_blocks_after_icons(icon):
+    got = [t for _, t, _ in html_blocks.blocks_of(f"<header>{icon}</header><article><p>one</p>{icon}<p>two</p></article>")]
+    assert got == ["one", "two"]
+
+
 def test_main_text_of_given_pages(spark, labeller):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("page_id % 2 = 1")
     got = {r.page_id: r for r in html_blocks.main_text(rows, labeller).collect()}
