@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from critica.llm import (bit_sliced, html_blocks, line_templates, nbest, near_dup, packing, prefix_counts, quality_rules,
-                         token_files, url_trees)
+from critica.llm import (bit_sliced, chat_examples, html_blocks, lexical, line_templates, nbest, near_dup, packing, phrases,
+                         prefix_counts, quality_rules, token_files, url_trees)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -155,4 +155,85 @@ def q_main_text(spark, sf_dir):
     return html_blocks.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@register("op11_son_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT x.lang, x.phrase, x.a, x.cut, l.f AS l, r.f AS r, n.n, (1000 * x.a * n.n) // (l.f * r.f) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.ws[1:x.cut], ' ')
+  JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.ws[x.cut + 1:x.k], ' ') JOIN n ON n.lang = x.lang),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nr FROM scored),
+lengths AS (SELECT lang, a, ws, k, unnest(range(2, k)) AS length FROM c WHERE k > 2),
+places AS (SELECT lang, a, ws, length, unnest(range(1, k - length + 2)) AS i FROM lengths),
+longer AS (SELECT lang, array_to_string(ws[i:i + length - 1], ' ') AS phrase, max(a) AS most FROM places GROUP BY ALL),
+alone AS (
+  SELECT x.* FROM lowest x LEFT JOIN longer y ON y.lang = x.lang AND y.phrase = x.phrase
+  WHERE x.nr = 1 AND (y.most IS NULL OR y.most < x.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+""")
+def q_collocations(spark, sf_dir):
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def _escaped(column: str) -> str:
+    """SQL of a text in the chat template."""
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for mark in chat_examples.CONTROL:
+        out = f"replace({out}, '{mark}', '{mark[0]}' || chr(92) || '{mark[1:]}')"
+    return out
+
+
+@register("op12_prefix_target_chat", """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+             count(*) OVER (PARTITION BY conv_id) AS n, length(ROLE) + length(TEXT) + 22 AS chars FROM c),
+e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("ROLE", _escaped("role")).replace("TEXT", _escaped("text")))
+def q_chat(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", marked), (-1, 1, "assistant", marked)], turns.schema)
+    return chat_examples.read_back(chat_examples.prefix_examples(turns.unionByName(extra)))
+
+
+@register("op13_shared_lexical_search", r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+c AS (SELECT count(*) AS big_n, sum(len(ts)) AS big_l FROM d WHERE len(ts) > 0),
+tf AS (SELECT id, len(ts) AS n, term, count(*) AS tf FROM (SELECT id, ts, unnest(ts) AS term FROM d)
+       WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term),
+s AS (
+  SELECT q.item_id, tf.id AS doc_id, sum(q.times * df.w * ((1000000000 * tf.tf)
+         // (1000 * tf.tf + 8 * (25 + (75 * tf.n * c.big_n) // c.big_l))))::BIGINT AS score
+  FROM q JOIN tf ON tf.term = q.term JOIN df ON df.term = q.term, c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+""")
+def q_lexical(spark, sf_dir):
+    return lexical.rank_documents(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=10)
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
