@@ -7,21 +7,23 @@ length: a phrase is locally frequent if it occurs there at least
 phrase can only be so if both its halves without the last and without the
 first word are.  A phrase that is frequent in the corpus is locally
 frequent in one shard at least, so the union of the shards' phrases holds
-all frequent ones.  Pass two counts the phrases of that union in every
-shard and adds the counts up exactly; a last step keeps those that reach
-``min_count``, scores their cuts and ranks them.
+all frequent ones.  A shard that does not name a phrase has it less often
+than its local support; phrases of the union that cannot reach
+``min_count`` with that much from every such shard are left out.  Pass two
+counts the others in every shard and adds the counts up exactly; a last
+step keeps those that reach ``min_count``, scores their cuts and ranks them.
 
-The union travels as a bitmap of 2^FILTER_BITS phrase hashes (16 MB at any
-size of the corpus).  A chance hit only means that a phrase is counted
-which the union does not hold; the count itself is of the phrase's text,
-so results do not depend on hashes.
+The candidates travel as a bitmap of 2^FILTER_BITS phrase hashes (16 MB at
+any size of the corpus).  Equal hashes only mean that a phrase is counted
+which is no candidate; the count itself is of the phrase's text, so results
+do not depend on hashes.
 
 Scale: a shard is some tens of megabytes of text in one task; words are
 found and phrases counted in numpy.  What leaves a task is one row per
 phrase, with its count, however often a phrase or a copied text occurs.
 Beyond corpus bytes / shard bytes > ``min_count`` the local support is a
-single occurrence and prunes by length only; the work then is that of
-counting all phrases, in proportion to the input.
+single occurrence: pass one then names all phrases by hash, in proportion
+to the input, and pass two still counts only what can be frequent.
 
 Defined results.  Null text is empty; a null language is ``und``.  Only
 A-Z is lower-cased.  Rows are taken one by one: repeated rows and ids
@@ -64,19 +66,34 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes in order, number of each code, counts), with little memory."""
+    order = np.argsort(codes)
+    ordered = codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    starts = np.flatnonzero(new)
+    number = np.empty(len(codes), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[starts], number, np.diff(np.append(starts, len(codes)))
+
+
 class Shard:
-    """Words of consecutive slices of a table, with their language and piece."""
+    """Words of consecutive slices of a table as numbers, with their language and piece."""
 
     def __init__(self):
         self.languages: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.words, self.language, self.piece, self.bytes, self.pieces = [], [], [], 0, 0
 
     def add(self, languages: pa.Array, texts: pa.Array) -> None:
         coded = languages.dictionary_encode()
         own = [self.languages.setdefault(x, len(self.languages)) for x in coded.dictionary.to_pylist()]
-        of_row = np.array(own, np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
+        of_row = np.array(own, np.int16 if len(self.languages) < 1 << 15 else np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
         words, row, piece = split_words(texts, _CLASSES)
-        self.words.append(words)
+        index, distinct = dictionary(words)
+        number = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in distinct.to_pylist()], np.int32)
+        self.words.append(number[index] if len(index) else np.zeros(0, np.int32))
         self.language.append(of_row[row])
         self.piece.append((piece + self.pieces).astype(np.int32))
         self.pieces += (int(piece[-1]) + 1) if len(piece) else 0
@@ -84,8 +101,9 @@ class Shard:
 
     def merge(self, other: Shard) -> None:
         order = np.array([self.languages.setdefault(x, len(self.languages)) for x in other.languages], np.int32)
-        self.words += other.words
-        self.language += [order[x] for x in other.language]
+        number = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in other.vocabulary], np.int32)
+        self.words += [number[x] if len(x) else x for x in other.words]
+        self.language += [order[x] if len(x) else x for x in other.language]
         self.piece += [x + np.int32(self.pieces) for x in other.piece]
         self.pieces += other.pieces
         self.bytes += other.bytes
@@ -96,19 +114,20 @@ class Shard:
         ``keep(counts, hashes)`` tells which of the distinct phrases of a
         length stay; longer ones are only sought around those.
         """
-        index, words = dictionary(pa.concat_arrays(self.words))
+        index, language, piece = (np.concatenate(x) for x in (self.words, self.language, self.piece))
+        self.words = self.language = self.piece = ()
         if not len(index):
             return
-        language, piece = np.concatenate(self.language), np.concatenate(self.piece)
-        self.words = self.language = self.piece = None
-        distinct, ids, counts = np.unique(language.astype(np.int64) * len(words) + index, return_inverse=True, return_counts=True)
-        ids = ids.astype(np.int32)
+        texts = list(self.vocabulary)
+        codes = language.astype(np.int64) * len(texts) + index
+        del index, language
+        distinct, ids, counts = _numbered(codes)
         names = np.array(list(self.languages), object)
-        lang, word = distinct // len(words), distinct % len(words)
+        lang, word = distinct // len(texts), distinct % len(texts)
         seeds = [xxhash.xxh64_intdigest(x.encode()) for x in names]
-        one = np.fromiter((xxhash.xxh64_intdigest(w, seeds[g]) for w, g in zip(words.take(word).to_pylist(), lang.tolist())),
+        one = np.fromiter((xxhash.xxh64_intdigest(texts[w], seeds[g]) for w, g in zip(word.tolist(), lang.tolist())),
                           np.uint64, len(word))
-        self.dictionary = words.cast(pa.large_string())
+        self.texts = pa.array(texts, pa.large_binary()).cast(pa.large_string())
         columns, hashes = [word], one
         at, gram = np.arange(len(ids), dtype=np.int32), ids
         for length in range(1, most_words + 1):
@@ -120,7 +139,9 @@ class Shard:
                 ok = (last < len(ids)) & here[np.minimum(at + 1, len(ids))]
                 ok[ok] = piece[at[ok]] == piece[last[ok]]
                 at, last, gram = at[ok], last[ok], gram[ok]
-                distinct, gram, counts = np.unique(gram.astype(np.int64) * len(one) + ids[last], return_inverse=True, return_counts=True)
+                codes = gram.astype(np.int64) * len(one) + ids[last]
+                del gram, last, here
+                distinct, gram, counts = _numbered(codes)
                 before, end = distinct // len(one), distinct % len(one)
                 columns = [c[before] for c in columns] + [word[end]]
                 lang, hashes = lang[before], _mixed(hashes[before], one[end])
@@ -128,7 +149,7 @@ class Shard:
             if kept.any():
                 yield names[lang[kept]], [c[kept] for c in columns], counts[kept], hashes[kept]
             stay = kept[gram]
-            at, gram = at[stay], gram[stay].astype(np.int32)
+            at, gram = at[stay], gram[stay]
             if not len(at):
                 return
 
@@ -159,15 +180,29 @@ def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def candidate_filter(rows: DataFrame, total: int, min_count: int, most_words: int, shard_bytes: int,
                      bits: int) -> np.ndarray:
-    """Bitmap (bytes) over the hashes of all phrases that some shard finds frequent."""
+    """Bitmap (bytes) over the hashes of the phrases that can be frequent.
+
+    A shard of least count t names its phrases with t occurrences or more;
+    any other one has t - 1 there at most.
+    """
     def mine(batches):
+        def batch(hashes, counts, least):
+            return pa.RecordBatch.from_arrays([
+                pa.array(hashes, pa.int64()), pa.array(counts, pa.int64()), pa.array(np.full(len(counts), least - 1), pa.int64())],
+                names=["hash", "f", "slack"])
+
         for shard in _shards(batches, shard_bytes):
             least = max(1, -(-min_count * shard.bytes // max(total, 1)))
-            for _, _, _, hashes in shard.levels(lambda counts, _: counts >= least, most_words):
-                yield pa.RecordBatch.from_arrays([pa.array(_slots(hashes, bits))], names=["slot"])
-
-    slots = rows.mapInArrow(mine, "slot long")
-    words = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(
+            yield batch([None], [0], least)
+            for _, _, counts, hashes in shard.levels(lambda counts, _: counts >= least, most_words):
+                yield batch(hashes.view(np.int64), counts, least)
+
+    named = written(rows.mapInArrow(mine, "hash long, f long, slack long").groupBy("hash").agg(
+        F.sum("f").alias("f"), F.sum("slack").alias("slack")), "phrase-candidates")
+    slack = named.where("hash is null").agg(F.sum("slack")).first()[0] or 0
+    able = named.where(F.col("hash").isNotNull() & (F.col("f") + slack - F.col("slack") >= min_count))
+    slot = F.shiftrightunsigned("hash", 64 - bits)
+    words = able.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     found = words.toArrow()  # 2^(bits - 6) rows at most
     out = np.zeros(max(1, 1 << (bits - 6)), np.int64)
@@ -208,7 +243,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             for languages, columns, counts, _ in shard.levels(candidates, most_words):
                 for at in range(0, len(counts), 1 << 16):
                     part = slice(at, at + (1 << 16))
-                    words = [shard.dictionary.take(pa.array(c[part])) for c in columns]
+                    words = [shard.texts.take(pa.array(c[part])) for c in columns]
                     yield batch(languages[part], pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())), len(columns), counts[part])
 
     counted = rows.mapInArrow(count, "lang string, phrase string, n_words int, f long")
