@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -100,13 +101,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint (written to the shared checkpoint folder).
+_FOLDERS: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder below the checkpoint folder; it goes when the driver ends."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    app = spark.conf.get("spark.app.id", None) or uuid.uuid4().hex
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{base}/critica-{app}"
+        jvm = getattr(spark, "_jvm", None)
+        if jvm is not None:  # a driver of its own, not a remote client
+            path = jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return _FOLDERS[app]
+
+
+def cut_lineage(df):
+    """``df``, written once as Parquet to the shared checkpoint folder and reread.
 
     Iterative loops call this every round so that a lost executor never
-    forces a recomputation of all earlier rounds.  An eager checkpoint
-    computes its plan once.  With ``spark.cleaner.referenceTracking.cleanCheckpoints``
-    Spark removes the files when the frame is no longer referenced.
+    forces a recomputation of all earlier rounds.  A Dataset checkpoint
+    would carry the size estimate of its plan along: where a round joins a
+    table with itself the estimates multiply, and after a few rounds the
+    planner does arithmetic on numbers of millions of digits.  Files have
+    their real size, so small tables of late rounds are broadcast as well.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/step-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "lz4").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -154,9 +154,9 @@ def test_clustered_points_leave_few_candidates(spark):
     assert B.candidate_share(B.block_units(df, ["grp"]), ["grp"]) == 1.0
 
 
-def test_banded_leaf_pass_equals_the_reference(spark):
+def test_contracted_leaves_equal_the_reference(spark):
     xs = [0, 1, 2.1, 3.3, 4.6, 20, 21.05, 22.2, 23.45, 24.8, 60, 61.02, 62.1, 63.25, 64.5, 10, 40]
-    got = {r.review_id: r.clusters for r in C.hdbscan_leaf(_pts(spark, xs), 5, ["grp"], band_edges=3).collect()}
+    got = {r.review_id: r.clusters for r in C.hdbscan_leaf(_pts(spark, xs), 5, ["grp"], local_edges=0).collect()}
     assert got == reference_leaves(xs, 5)
 
 
@@ -165,9 +165,9 @@ def test_selection_epsilon(spark):
     df = _pts(spark, xs)
     a = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=15.0).collect()}
     assert [a[i] for i in range(len(xs))] == [0] * 10 + [1] * 5 + [0, 0]
-    # All true splits below ε: the root's two children are the clusters (distributed fallback path).
+    # All true splits below ε: the root's two children are the clusters (one task, and contraction).
     b = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=25.0).collect()}
-    c = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=25.0, band_edges=4).collect()}
+    c = {r.review_id: r.clusters for r in C.hdbscan_leaf(df, 5, ["grp"], eps=25.0, local_edges=0).collect()}
     assert b == c == a
 
 
