@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from critica.session import ensure_checkpoint_dir
+from critica.session import run_folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder below ``spark.checkpoint.dir``."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
