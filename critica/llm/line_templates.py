@@ -1,36 +1,40 @@
 """Operator 3 [native]: line deduplication by a log-template tree.
 
-Lines go down a tree of fixed depth: token count, then the first ``DEPTH``
-tokens, where a token with a digit is the variable field <*>.  In a leaf,
-a line is read field by field: token by token, or in a long line in up to
-2 * FIELDS runs of equally many tokens.  A field is a constant of its
-position if at least ``min_docs`` documents have it there; the others
-become variable too.  The result is the line's template if constants make
-up at least ``MIN_CONSTANT`` of its fields, else the line's masked form
-itself is.  A template found in
-``min_docs`` documents or more is recurring: its lines are dropped, except
-in the document with the smallest id that has it (its lines stay).
-
-Lines with fewer than ``MIN_TOKENS`` tokens have no template and stay.
-Lines with fewer than ``MIN_GENERAL`` tokens have their masked form as
-template: too few tokens remain to tell a template from chance.
+Lines go down a tree of fixed depth: token count, then the leading tokens
+(three; two below ``LONG`` tokens, one below six), where a token with a
+digit is the variable field <*>.  In a leaf, a token is a constant of its
+position if two different lines at least, and a share ``CONSTANT`` of all
+the leaf's different lines, have it there; every other token is variable.
+So a field of many values stays variable however often each of them
+occurs.  The result is the line's template if constants make up at least
+``MIN_CONSTANT`` of its tokens, else the line's masked form itself is.
+
+A template found in two documents or more is recurring: its lines are
+dropped, except in the document with the smallest id that has it (its lines
+stay).  Short lines agree by chance, so more documents are asked for there
+(``SHORT_DOCS``): for a line of one or two tokens, which is only compared
+as it stands, and for a generalised template below ``LONG`` tokens.  A line
+without constant tokens is compared as it stands, too.
 
 Scale: exact repetitions are counted first, with partial aggregates on
 16-byte keys, so a line that a third of all documents share is one row per
-task.  Only leaves with several different lines are taken apart into
-fields, and each of their lines once.  Texts are read again instead of
-being kept: the places of open lines, and the line numbers to drop, come
-to the texts as a broadcast where they are at most ``FEW`` rows, counted
-first, and by a shuffle beyond.
+task.  Only leaves with several different lines are opened, and each of
+their lines is read once, as an array of 64-bit token hashes; a leaf's
+constants are at most 1 / CONSTANT per position and come to its lines as
+one row.  Texts are read again instead of being kept: the places of open
+lines, and the line numbers to drop, come to the texts as a broadcast where
+they are at most ``FEW`` numbered lines, counted first, and by a shuffle
+beyond.
 
 Defined results.  Null texts stay null.  Line ends are U+000A; a text
-loses the line together with its line end.  Lines are compared by 128 bits
-of hash of their masked tokens, so white space at their ends and between
-tokens does not count.  Rows with equal ids count as one document; each of
-them keeps its own row.  A null id is a document of its own that comes
-before all others.  Empty tables give empty results; other columns stay
-as they are.  A document that loses all its lines has an empty text and
-``n_lines`` = ``n_dropped``.
+loses the line together with its line end.  Lines without tokens have no
+template.  Lines are compared by 128 bits of hash of their masked tokens,
+so white space at their ends and between tokens does not count.  Rows with
+equal ids count as one document; each of them keeps its own row.  A null id
+is a document of its own that comes before all others; lines that only such
+rows have are compared as they stand.  Empty tables give empty results;
+other columns stay as they are.  A document that loses all its lines has an
+empty text and ``n_lines`` = ``n_dropped``.
 """
 
 from __future__ import annotations
@@ -41,16 +45,16 @@ from pyspark.sql import functions as F
 from critica.llm.quality_rules import let
 from critica.llm.store import written
 
-#: Leading tokens of the tree's path.
-DEPTH = 3
-#: Documents that make a template recurring, and a token a constant.
-MIN_DOCS = 2
-MIN_TOKENS = 3
-MIN_GENERAL = 8
+#: Tokens from which a line has three leading tokens, and two documents are enough for a generalised template.
+LONG = 8
+#: Tokens from which digits are masked, and from which fields are generalised.
+MIN_MASKED, MIN_GENERAL = 3, 4
+#: Documents that make short lines and short generalised templates recurring.
+SHORT_DOCS = 10
 MIN_CONSTANT = 0.7
-#: Fields of a long line (up to twice as many).
-FIELDS = 12
-#: Rows of numbers (some 20 MB) that are broadcast instead of shuffling the texts.
+#: Share of a leaf's different lines that makes a token a constant.
+CONSTANT = 1 / 3
+#: Lines (places or line numbers) that are broadcast instead of shuffling the texts.
 FEW = 500_000
 
 _WHITE = " \t\x0b\x0c\r"
@@ -58,27 +62,26 @@ _WHITE = " \t\x0b\x0c\r"
 _VARIABLE = "(?<![^ \\t\\x0B\\f\\r])[^ \\t\\x0B\\f\\r0-9]*+[0-9][^ \\t\\x0B\\f\\r]*+"
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens, one space apart, with <*> for tokens that have a digit.
+def _spaced(line: Column) -> Column:
+    """The line's tokens, one space apart.  Replacing costs far more than finding, and most lines need none of it."""
+    return let(F.btrim(line, F.lit(_WHITE)), lambda x: F.when(
+        x.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(x))
 
-    Replacing costs far more than finding, and most lines need none of it.
-    """
-    def variables(x: Column) -> Column:
-        return F.when(x.rlike("[0-9]"), F.regexp_replace(x, _VARIABLE, "<*>")).otherwise(x)
-
-    def spaces(x: Column) -> Column:
-        return F.when(x.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(x)
 
-    return let(let(F.btrim(line, F.lit(_WHITE)), variables), spaces)
+def _masked(spaced: Column, n_tokens: Column) -> Column:
+    """``spaced`` with <*> for tokens that have a digit, if it is long enough and a constant token is left."""
+    masked = F.regexp_replace(spaced, _VARIABLE, "<*>")
+    return F.when((n_tokens >= MIN_MASKED) & spaced.rlike("[0-9]"), let(masked, lambda m: F.when(
+        F.replace(F.replace(m, F.lit("<*>")), F.lit(" ")) == "", spaced).otherwise(m))).otherwise(spaced)
 
 
-def _n_tokens(masked: Column) -> Column:
-    return F.when(masked == "", 0).otherwise(F.length(masked) - F.length(F.replace(masked, F.lit(" "))) + 1)
+def _n_tokens(spaced: Column) -> Column:
+    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "))) + 1)
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+def _few(df: DataFrame, lines: int) -> DataFrame:
+    """``df``, to be broadcast if it stands for few lines."""
+    return F.broadcast(df) if lines <= FEW else df
 
 
 def _keys(*cols) -> list[Column]:
@@ -92,84 +95,107 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
 
 
+def _parsed(line: Column) -> Column:
+    """The struct (n_tokens, masked) of a line."""
+    return let(_spaced(line), lambda x: let(_n_tokens(x), lambda n: F.struct(n.alias("n_tokens"), _masked(x, n).alias("masked"))))
+
+
 def _line_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line_no, n_tokens, k1, k2, l1, l2): keys of the masked line and of its leaf, without any text."""
-    def keys(masked: Column) -> Column:
-        n = _n_tokens(masked)
-        k1, k2 = _keys(masked)
-        l1, l2 = _keys(n, F.substring_index(masked, " ", DEPTH))
-        return F.struct(n.alias("n_tokens"), k1.alias("k1"), k2.alias("k2"), l1.alias("l1"), l2.alias("l2"))
-    rows = _lines(docs, id_col, text_col).select("doc", "line_no", let(_masked(F.col("line")), keys).alias("_k"))
-    return written(rows.select("doc", "line_no", "_k.*"), "line-keys").where(F.col("n_tokens") >= MIN_TOKENS)
-
-
-def _templates(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFrame:
-    """(k1, k2, t1, t2): template key of each masked line that a leaf's constants generalise."""
-    wide = keys.where(F.col("n_tokens") >= MIN_GENERAL)
+    """(doc, line_no, n_tokens, k1, k2, leaf): keys of the masked line and of its leaf, without any text."""
+    def keys(p: Column) -> Column:
+        k1, k2 = _keys(p["masked"])
+        depth = F.when(p["n_tokens"] < 6, 1).when(p["n_tokens"] < LONG, 2).otherwise(3)
+        lead = F.when(depth == 1, F.substring_index(p["masked"], " ", 1)).when(
+            depth == 2, F.substring_index(p["masked"], " ", 2)).otherwise(F.substring_index(p["masked"], " ", 3))
+        return F.struct(p["n_tokens"].alias("n_tokens"), k1.alias("k1"), k2.alias("k2"),
+                        F.xxhash64(p["n_tokens"], lead).alias("leaf"))
+    rows = _lines(docs, id_col, text_col).select("doc", "line_no", let(_parsed(F.col("line")), keys).alias("_k"))
+    return written(rows.select("doc", "line_no", "_k.*").where(F.col("n_tokens") > 0), "line-keys")
+
+
+def _distinct_lines(keys: DataFrame) -> DataFrame:
+    """(k1, k2, n_tokens, leaf, first, last, nulls, docs, place) of every different line.
+
+    ``docs`` counts documents where more than two can be asked for; ``place``
+    is where the line's text stands, null if only rows without id have it.
+    """
+    place = F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "line_no"))).alias("place")
+    no_id = F.max(F.col("doc").isNull().cast("int")).alias("nulls")
+    long = keys.where(F.col("n_tokens") >= LONG).groupBy("k1", "k2").agg(
+        F.first("n_tokens").alias("n_tokens"), F.first("leaf").alias("leaf"), F.min("doc").alias("first"), F.max("doc").alias("last"),
+        no_id, F.lit(2).cast("long").alias("docs"), place)
+    short = keys.where(F.col("n_tokens") < LONG).groupBy("k1", "k2", "doc").agg(
+        F.first("n_tokens").alias("n_tokens"), F.first("leaf").alias("leaf"), F.min("line_no").alias("line_no")) \
+        .groupBy("k1", "k2").agg(
+        F.first("n_tokens").alias("n_tokens"), F.first("leaf").alias("leaf"), F.min("doc").alias("first"), F.max("doc").alias("last"),
+        no_id, F.count("*").alias("docs"), place)
+    return written(long.unionByName(short), "distinct-lines")
+
+
+def _several(first: Column, last: Column, nulls: Column) -> Column:
+    """Whether two different documents are among those from ``first`` to ``last`` and the ones without id."""
+    return F.coalesce(first < last, F.lit(False)) | ((nulls > 0) & first.isNotNull())
+
+
+def _templates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k2, t1, t2): template key of each line that its leaf's constants generalise."""
+    wide = distinct.where((F.col("n_tokens") >= MIN_GENERAL) & F.col("place").isNotNull())
     # Leaves on keys alone: most hold one line, or lines of one document, and need no tokens.
-    leaves = wide.groupBy("l1", "l2").agg(F.min("k1").alias("_low"), F.max("k1").alias("_high"),
-                                          F.min("doc").alias("_d0"), F.max("doc").alias("_d1")) \
-        .where((F.col("_low") < F.col("_high")) & (F.col("_d0") < F.col("_d1"))).select("l1", "l2")
-    # One row per different line of an open leaf, with one place where its text stands.
-    distinct = wide.join(leaves, ["l1", "l2"], "left_semi").groupBy("l1", "l2", "k1", "k2").agg(
-        F.min(F.struct("doc", "line_no")).alias("_at"), F.max("doc").alias("_last"), F.count("*").alias("_n"))
-    distinct = written(distinct.select("l1", "l2", "k1", "k2", F.col("_at.doc").alias("doc"), F.col("_at.line_no").alias("line_no"),
-                                       # A line of one document counts once, however often it stands there.
-                                       F.when(F.col("_at.doc") == F.col("_last"), 1).otherwise(F.col("_n")).alias("_w")),
-                       "template-lines")
-    lines = _lines(docs, id_col, text_col).join(_sized(distinct), ["doc", "line_no"])
-
-    def fields(tokens: Column) -> Column:
-        width = F.greatest(F.lit(1), F.floor(F.size(tokens) / FIELDS)).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(tokens) / width).cast("int") - 1),
-                           lambda i: F.array_join(F.slice(tokens, i * width + 1, width), " "))
-
-    parts = lines.select("l1", "l2", "k1", "k2", "_w", F.posexplode(
-        let(F.split(_masked(F.col("line")), " "), fields)).alias("pos", "field"))
-    # Rows of equal id and number can repeat a line: each line's field counts once.
-    parts = parts.select("k1", "k2", "pos", F.xxhash64("l1", "l2", "pos", "field").alias("h"), "_w",
-                         (F.col("field") == "<*>").alias("_open"))
-    constants = parts.where(~F.col("_open")).groupBy("h").agg(
-        F.sum("_w").alias("_docs"), F.max("_w").alias("_most"), F.min("k1").alias("_x"), F.max("k1").alias("_y")) \
-        .where((F.col("_docs") >= min_docs) & ((F.col("_most") > 1) | (F.col("_x") < F.col("_y")))) \
-        .select("h", F.lit(True).alias("_constant"))
-    filled = parts.join(constants, "h", "left").groupBy("k1", "k2").agg(
-        F.count("h").alias("_n"), F.count("_constant").alias("_c"),
-        F.sort_array(F.collect_set(F.when(F.col("_constant"), F.col("h")))).alias("_template"))
-    t1, t2 = _keys("_template", "_n")
-    return filled.where(F.col("_c") >= MIN_CONSTANT * F.col("_n")).select("k1", "k2", t1.alias("t1"), t2.alias("t2"))
-
-
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    min_docs: int = MIN_DOCS) -> DataFrame:
+    leaves = wide.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("first").alias("_first"), F.max("last").alias("_last")) \
+        .where((F.col("lines") > 1) & (F.col("_first") < F.col("_last"))).select("leaf", "lines")
+    open_lines = written(wide.join(leaves, "leaf").select(
+        "k1", "k2", "leaf", "lines", F.col("place.doc").alias("doc"), F.col("place.line_no").alias("line_no")), "open-lines")
+
+    def pairs(p: Column) -> Column:
+        k1, k2 = _keys(p["masked"])
+        hashes = F.transform(F.split(p["masked"], " "), lambda t, i: F.when(t != "<*>", F.xxhash64(i, t)))
+        return F.struct(k1.alias("l1"), k2.alias("l2"), p["n_tokens"].alias("n"), F.array_compact(hashes).alias("tokens"))
+
+    found = _lines(docs, id_col, text_col).join(_few(open_lines, open_lines.count()), ["doc", "line_no"])
+    # Rows of equal id can have other lines there.
+    found = found.select("k1", "k2", "leaf", "lines", let(_parsed(F.col("line")), pairs).alias("_p")).where(
+        (F.col("_p.l1") == F.col("k1")) & (F.col("_p.l2") == F.col("k2")))
+    tokens = written(found.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in ("leaf", "lines", "_p"))).select(
+        "k1", "k2", "leaf", "lines", "_p.n", "_p.tokens"), "line-tokens")
+    constants = tokens.select("leaf", "lines", F.explode("tokens").alias("h")).groupBy("leaf", "h").agg(
+        F.count("*").alias("_c"), F.first("lines").alias("lines")) \
+        .where((F.col("_c") > 1) & (F.col("_c") >= CONSTANT * F.col("lines"))).groupBy("leaf").agg(F.collect_list("h").alias("constants"))
+    filled = tokens.join(constants, "leaf").select(
+        "k1", "k2", "leaf", "n", F.array_intersect("tokens", "constants").alias("_template")) \
+        .where(F.size("_template") >= MIN_CONSTANT * F.col("n"))
+    t1, t2 = _keys("leaf", "_template")
+    return filled.select("k1", "k2", t1.alias("t1"), t2.alias("t2"))
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line_no): the lines to drop."""
     keys = _line_keys(docs, id_col, text_col)
-    generalised = _templates(docs, keys, id_col, text_col, min_docs)
-    # Documents per masked line; what a task has of a hot line it adds up before the shuffle.
-    own = keys.groupBy("k1", "k2", "doc").count().groupBy("k1", "k2").agg(
-        F.count("*").alias("_docs"), F.min("doc").alias("_first"), F.max("doc").alias("_last"),
-        F.count(F.when(F.col("doc").isNull(), 1)).alias("_nulls"))
-    own = written(own.join(generalised, ["k1", "k2"], "left").withColumns(
-        {"t1": F.coalesce("t1", "k1"), "t2": F.coalesce("t2", "k2")}), "line-templates")
-    templates = own.groupBy("t1", "t2").agg(
-        F.sum("_docs").alias("_docs"), F.max("_docs").alias("_most"), F.min("_first").alias("_first"),
-        F.max("_last").alias("_last"), F.sum("_nulls").alias("_nulls"))
-    # Different lines of one document do not make its template recur.
-    several = (F.col("_docs") >= min_docs) & ((F.col("_most") >= min_docs) | (F.col("_first") < F.col("_last"))
-                                              | ((F.col("_nulls") > 0) & F.col("_first").isNotNull()))
-    recurring = templates.where(several).select(
-        "t1", "t2", F.when(F.col("_nulls") == 0, F.col("_first")).alias("_keeper"))
-    marked = own.select("k1", "k2", "t1", "t2").join(recurring, ["t1", "t2"]).select("k1", "k2", "_keeper")
+    distinct = _distinct_lines(keys)
+    several = _several(F.col("first"), F.col("last"), F.col("nulls"))
+    keeper = F.when(F.col("nulls") == 0, F.col("first"))
+    own = written(distinct.drop("place").join(_templates(docs, distinct, id_col, text_col), ["k1", "k2"], "left").select(
+        "k1", "k2", "t1", "t2", "n_tokens", "first", "last", "nulls", "docs",
+        (several & (F.col("docs") >= F.when(F.col("n_tokens") < MIN_MASKED, SHORT_DOCS).otherwise(2))).alias("exact"),
+        keeper.alias("_own")), "line-templates")
+    general = own.where(F.col("t1").isNotNull())
+    recurring = general.groupBy("t1", "t2").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("nulls").alias("nulls"),
+        F.sum("docs").alias("docs"), F.first("n_tokens").alias("n_tokens")) \
+        .where(several & (F.col("docs") >= F.when(F.col("n_tokens") < LONG, SHORT_DOCS).otherwise(2))) \
+        .select("t1", "t2", keeper.alias("_keeper"), F.lit(True).alias("_recurs"))
+    # A line of a recurring template goes with it; any other one by its own recurrence.
+    general = general.join(recurring, ["t1", "t2"], "left").where(F.col("_recurs") | F.col("exact")).select(
+        "k1", "k2", F.when(F.col("_recurs"), F.col("_keeper")).otherwise(F.col("_own")).alias("_keeper"))
+    marked = own.where(F.col("t1").isNull() & F.col("exact")).select("k1", "k2", F.col("_own").alias("_keeper")).unionByName(general)
     return keys.select("doc", "line_no", "k1", "k2").join(marked, ["k1", "k2"]) \
         .where(~F.col("doc").eqNullSafe(F.col("_keeper"))).select("doc", "line_no")
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the recurring lines cut out of their texts, and n_lines and n_dropped."""
-    dropped = recurring_lines(docs, id_col, text_col, min_docs).groupBy("doc").agg(
-        F.collect_set("line_no").alias("_dropped"))
-    dropped = _sized(written(dropped.withColumnRenamed("doc", "_doc"), "dropped-lines"))
+    dropped = written(recurring_lines(docs, id_col, text_col).groupBy("doc").agg(
+        F.collect_set("line_no").alias("_dropped")).withColumnRenamed("doc", "_doc"), "dropped-lines")
+    dropped = _few(dropped, dropped.agg(F.sum(F.size("_dropped"))).first()[0] or 0)
     gone = F.coalesce(F.col("_dropped"), F.array().cast("array<int>"))
 
     def without(lines):

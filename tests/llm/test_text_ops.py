@@ -37,6 +37,89 @@ def test_templates_generalise_fields_without_digits(spark):
     assert got[3].text == texts[3].split("\n")[1]
 
 
+@pytest.mark.parametrize("n", [40, 400, 2000])
+def test_fields_of_many_values_generalise_at_every_size(spark, n):
+    """Names and cities that all recur; a line of few tokens; a long one with four fields."""
+    rng = random.Random(n)
+    names, cities = ([words(1, 1000 * k + i, "aeioubdfgklmnprst") + f"{'x' * (i % 3)}q" for i in range(100)] for k in (1, 2))
+    filler = words(44, 7).split()
+    texts = []
+    for i in range(n):
+        a, b, c, d = (rng.choice(names) for _ in range(4))
+        texts.append("\n".join([
+            f"today the user {rng.choice(names)} has left the big room and came back from {rng.choice(cities)}",
+            f"the user {rng.choice(names)} logged in just now",
+            " ".join(filler[:8] + [a] + filler[8:20] + [b] + filler[20:30] + [c] + filler[30:40] + [d] + filler[40:]),
+            "Read more", words(9, 10_000 + i), "\t"]))
+    got = sorted(line_templates.drop_recurring(frame(spark, texts)).select("doc_id", "n_dropped", "text").collect())
+    assert got[0].n_dropped == 0 and got[0].text == texts[0]
+    for r in got[1:]:
+        lines = texts[r.doc_id].split("\n")
+        assert r.n_dropped == 4 and r.text == "\n".join(lines[4:])
+
+
+def brute_templates(texts):
+    """The operator's rule in plain Python: text of each document."""
+    def parsed(line):
+        tokens = [t for t in re.split(r"[ \t\x0b\f\r]+", line) if t]
+        masked = ["<*>" if re.search("[0-9]", t) else t for t in tokens]
+        return tuple(masked if len(tokens) >= 3 and set(masked) != {"<*>"} else tokens)
+
+    docs, leaves = defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        for x in (t or "").split("\n"):
+            if parsed(x):
+                docs[parsed(x)].add(i)
+    for line in docs:
+        if len(line) >= 4:
+            leaves[len(line), line[:1 if len(line) < 6 else 2 if len(line) < 8 else 3]].add(line)
+    template = {}
+    for leaf, lines in leaves.items():
+        if len(lines) < 2 or len(set().union(*(docs[x] for x in lines))) < 2:
+            continue
+        count = Counter((i, t) for x in lines for i, t in enumerate(x) if t != "<*>")
+        for x in lines:
+            constants = tuple((i, t) for i, t in enumerate(x) if count[i, t] > 1 and 3 * count[i, t] >= len(lines))
+            if len(constants) >= 0.7 * len(x):
+                template[x] = (leaf, constants)
+    members = defaultdict(list)
+    for x, t in template.items():
+        members[t].append(x)
+    keeper = {}
+    for x, d in docs.items():
+        if len(d) >= (10 if len(x) < 3 else 2):
+            keeper[x] = min(d)
+    for t, lines in members.items():
+        d = set().union(*(docs[x] for x in lines))
+        if len(d) > 1 and sum(len(docs[x]) for x in lines) >= (10 if t[0][0] < 8 else 2):
+            keeper.update({x: min(d) for x in lines})
+    return ["\n".join(x for x in t.split("\n") if keeper.get(parsed(x), i) == i) if t is not None else None for i, t in enumerate(texts)]
+
+
+def test_line_templates_against_brute_force(spark):
+    rng = random.Random(9)
+    vocab = words(12, 77).split()
+    patterns = [[rng.choice(vocab) for _ in range(rng.randint(1, 14))] for _ in range(25)]
+
+    def line():
+        out = list(rng.choice(patterns))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            out[rng.randrange(len(out))] = rng.choice(vocab + ["7", "u81", "Zoë"])
+        return rng.choice([" ", "  ", "\t"]).join(out)
+
+    texts = ["\n".join(line() for _ in range(rng.randint(0, 7))) for _ in range(150)] + [None, "", " \n\n"]
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_templates(texts)
+
+
+def test_lines_first_seen_without_an_id(spark):
+    texts = [f"today the user {n} has left the room and closed the old door" for n in ("anna", "anna", "bert", "carl")]
+    rows = [(None, texts[0]), (5, texts[1]), (6, texts[2]), (7, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(docs).collect()}
+    assert got == {None: 0, 5: 1, 6: 1, 7: 1}
+
+
 def test_line_dedup_against_brute_force_without_fields(spark):
     rng = random.Random(4)
     pool = [words(5, 200 + i) for i in range(40)]
