@@ -14,16 +14,21 @@ every row within that amount of the k-th best is a boundary row, and
 boundary rows are resolved exactly from the integers.  So results are
 exact and recall is 1 by construction.
 
-Scale: rows are packed into blocks of up to ``BLOCK`` rows, one scan task
-each, without a shuffle.  Queries are a stated set and come in chunks of ``CHUNK`` queries.
-A (block, chunk) pair is one unit of work, made by an equi-join on the
-block's group number; no unit holds more than a block and a chunk.  Each unit gives at
-most k rows per query, and the final ranking filters them in the tasks
-before its shuffle.
+Scale: rows are packed inside the scan's tasks, without a shuffle, into
+blocks of ``BLOCK_CELLS`` components (8 bytes each).  Queries are a stated
+set and come in chunks of ``CHUNK`` queries, ``CHUNKS`` of them together.  A
+unit of work is a block with one such set of chunks: a block travels and is
+sliced once for all of them, units are dealt over all tasks, and none holds
+more than a block and a set.  Each unit gives at most k rows per query, and
+the final ranking filters them in the tasks before its shuffle.
+
+Integers beyond ``WIDE`` do not fit the slices' arithmetic.  The rows that
+hold one are kept apart in their block as they are, and scored exactly in
+Python's integers, as are all rows for a query that holds one.  A score
+outside the 64-bit range is given as the nearest 64-bit integer.
 
 Defined results.  Vectors that are null, or hold null, NaN or infinite
-components, take no part, as query or as candidate; so do those with an
-integer component of 2^31 or more.  Rows of another
+components, take no part, as query or as candidate.  Rows of another
 length than the query's are compared over the common components (missing
 ones are 0).  Ties go to the smaller id.  A candidate with the query's own
 id is left out; other rows with equal ids are candidates row by row.
@@ -33,6 +38,9 @@ tables give empty results.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,27 +48,50 @@ from pyspark.sql import functions as F
 
 from critica.llm.store import written
 
-BLOCK = 65_536
-CHUNK = 256
+#: Components of a block (4 MB), of a chunk's queries, and chunks that visit a block together.
+BLOCK_CELLS = 1 << 19
+CHUNK, CHUNKS = 256, 16
 #: Upper bits of a component that the index keeps as slices.
 SLICES = 6
+#: Integers up to this take part in the sliced arithmetic.
+WIDE = 1 << 40
+_MOST = (1 << 63) - 1
+
+
+def exact(vector, scale: float) -> list[int]:
+    """floor(scale * x) of every component, in doubles as far as they go."""
+    out = []
+    for x in vector:
+        y = scale * float(x)
+        out.append(math.floor(y) if math.isfinite(y) else math.floor(Fraction(float(x)) * Fraction(scale)))
+    return out
 
 
-def quantised(vectors: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(integer matrix of the usable vectors, their row numbers)."""
-    rows, found = [], []
+def exact_score(a: list[int], b: list[int]) -> int:
+    return max(-_MOST - 1, min(_MOST, sum(x * y for x, y in zip(a, b))))
+
+
+def quantised(vectors: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, list[float]]]]:
+    """(integer matrix of the ordinary vectors, their row numbers, (row number, vector) of the wide ones)."""
+    rows, found, wide = [], [], []
     for i, v in enumerate(vectors.to_pylist()):
         if v is None or any(x is None for x in v):
             continue
-        a = np.floor(scale * np.asarray(v, np.float64))
-        if (np.abs(a) < 2 ** 31).all():
+        x = np.asarray(v, np.float64)
+        if not np.isfinite(x).all():
+            continue
+        with np.errstate(over="ignore"):
+            a = np.floor(scale * x)
+        if (np.abs(a) <= WIDE).all():
             rows.append(a.astype(np.int64))
             found.append(i)
+        else:
+            wide.append((i, x.tolist()))
     width = max(map(len, rows), default=0)
     out = np.zeros((len(rows), width), np.int64)
     for i, a in enumerate(rows):
         out[i, :len(a)] = a
-    return out, np.array(found, np.int64)
+    return out, np.array(found, np.int64), wide
 
 
 class Block:
@@ -69,6 +100,7 @@ class Block:
     def __init__(self, values: np.ndarray, n_slices: int = SLICES):
         self.values = values
         n, dims = values.shape
+        self.largest = int(np.abs(values).max()) if values.size else 0
         self.low = values.min(axis=0) if n else np.zeros(dims, np.int64)
         shifted = values - self.low
         width = int(shifted.max()).bit_length() if shifted.size else 0
@@ -167,7 +199,12 @@ class Block:
         picked = self.at_least(slices, bound - slack)
         rows = np.flatnonzero(np.unpackbits(picked.view(np.uint8), bitorder="little")[:len(ids)])
         rows = rows[ids[rows] != own]
-        scores = self.values[rows] @ q
+        most = int(np.abs(q).max(initial=0)) * self.largest * max(1, len(q))
+        if most <= _MOST:
+            scores = self.values[rows] @ q
+        else:
+            found = [exact_score(v, q.tolist()) for v in self.values[rows].tolist()]
+            scores = np.array(found, np.int64)
         order = np.lexsort((ids[rows], -scores))[:k]
         return rows[order], scores[order]
 
@@ -176,66 +213,92 @@ def _vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return table.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).where("_id is not null")
 
 
-def _pack(rows: DataFrame, size: int, scale: float, out: str) -> DataFrame:
-    """(number, ids, width, values): blocks of integer vectors, packed inside the scan's tasks."""
+_PACKED = "ids binary, width int, data binary, wide_ids array<long>, wide array<array<double>>"
+
+
+def _pack(rows: DataFrame, cells: int, scale: float, out: str) -> DataFrame:
+    """(number, ids, width, data, wide_ids, wide): blocks of vectors, packed inside the scan's tasks."""
     def pack(batches):
-        ids, values, n = [], [], 0
+        ids, values, wide_ids, wide, n = [], [], [], [], 0
 
-        def block(ids, values):
-            width = max(v.shape[1] for v in values)
-            full = np.concatenate([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in values])
+        def block():
+            width = max((v.shape[1] for v in values), default=0)
+            full = [np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in values]
             return pa.RecordBatch.from_arrays([
-                pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([width], pa.int32()),
-                pa.array([full.astype("<i4").tobytes()], pa.binary())], names=["ids", "width", "data"])
+                pa.array([b"".join(i.astype("<i8").tobytes() for i in ids)], pa.binary()), pa.array([width], pa.int32()),
+                pa.array([b"".join(v.astype("<i8").tobytes() for v in full)], pa.binary()),
+                pa.array([wide_ids], pa.list_(pa.int64())), pa.array([wide], pa.list_(pa.list_(pa.float64())))],
+                names=["ids", "width", "data", "wide_ids", "wide"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                v, found = quantised(part.column(1), scale)
-                if len(found):
-                    ids.append(part.column(0).to_numpy(zero_copy_only=False)[found])
-                    values.append(v)
-                    n += len(found)
-                if n >= size:
-                    yield block(ids, values)
-                    ids, values, n = [], [], 0
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                v, found, apart = quantised(part.column(1), scale)
+                own = part.column(0).to_numpy(zero_copy_only=False)
+                ids.append(own[found])
+                values.append(v)
+                wide_ids += [int(own[i]) for i, _ in apart]
+                wide += [x for _, x in apart]
+                n += max(v.size, len(v)) + sum(len(x) for _, x in apart)
+                if n >= cells:
+                    yield block()
+                    ids, values, wide_ids, wide, n = [], [], [], [], 0
         if n:
-            yield block(ids, values)
+            yield block()
+
+    return written(rows.mapInArrow(pack, _PACKED), out).withColumn("number", F.monotonically_increasing_id())
+
+
+def _unpacked(ids: bytes, width: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(ids, "<i8")
+    return found, np.frombuffer(data, "<i8").reshape(len(found), width).astype(np.int64)
+
+
+class Candidates:
+    """A block's index and its wide rows."""
+
+    def __init__(self, ids: bytes, width: int, data: bytes, wide_ids, wide, scale: float, n_slices: int):
+        self.ids, self.values = _unpacked(ids, width, data)
+        self.index = Block(self.values, n_slices) if len(self.ids) else None
+        self.wide = [(i, exact(x, scale)) for i, x in zip(wide_ids, wide)]
+        self.scale = scale
 
-    # Tasks of about one block: a coalesced scan, no exchange.
-    tasks = -(-rows.count() // size)
-    packed = rows.coalesce(max(1, tasks)).mapInArrow(pack, "ids binary, width int, data binary")
-    return written(packed, out).withColumn("number", F.monotonically_increasing_id())
+    def top(self, own: int, query: list[int], wide: bool, k: int) -> list[tuple[int, int]]:
+        """The k best (id, score) for a query, ties to the smaller id."""
+        apart = self.wide if not wide else self.wide + list(zip(self.ids.tolist(), self.values.tolist()))
+        found = [(i, exact_score(v, query)) for i, v in apart if i != own]
+        if self.index is not None and not wide:
+            rows, scores = self.index.top(np.array(query, np.int64), self.ids, k, own)
+            found += zip(self.ids[rows].tolist(), scores.tolist())
+        return sorted(found, key=lambda x: (-x[1], x[0]))[:k]
 
 
 def top_k(queries: DataFrame, table: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-          scale: float = 256.0, block: int = BLOCK, chunk: int = CHUNK, n_slices: int = SLICES) -> DataFrame:
+          scale: float = 256.0, cells: int = BLOCK_CELLS, chunk: int = CHUNK, chunks: int = CHUNKS,
+          n_slices: int = SLICES) -> DataFrame:
     """(query_id, rank, <id_col>, score): each query's k best rows of ``table``."""
-    blocks = _pack(_vectors(table, id_col, vector_col), block, scale, "bit-blocks")
-    chunks = _pack(_vectors(queries, id_col, vector_col), chunk, scale, "bit-queries") \
-        .select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    # Each chunk of the stated query set goes to each block once.
-    groups = max(1, blocks.count())
-    blocks = blocks.withColumn("_group", F.pmod(F.xxhash64("number"), F.lit(groups)))
-    units = chunks.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))) \
-        .join(blocks, "_group").select("ids", "width", "data", "q_ids", "q_width", "q_data")
+    blocks = _pack(_vectors(table, id_col, vector_col), cells, scale, "bit-blocks")
+    asked = _pack(_vectors(queries, id_col, vector_col), max(1, cells // 8), scale, "bit-queries")
+    n_blocks, n_asked = max(1, blocks.count()), asked.count()
+    # Each set of query chunks goes to each block once, by the block's number.
+    sets = asked.withColumn("_set", F.pmod(F.xxhash64("number"), F.lit(max(1, -(-n_asked // chunks))))).groupBy("_set").agg(
+        F.collect_list(F.struct("ids", "width", "data", "wide_ids", "wide")).alias("asked"))
+    blocks = blocks.withColumn("_group", F.pmod(F.xxhash64("number"), F.lit(n_blocks)))
+    units = sets.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))) \
+        .join(blocks, "_group").select("number", "_set", "ids", "width", "data", "wide_ids", "wide", "asked") \
+        .repartition(max(1, min(4096, n_blocks * max(1, -(-n_asked // chunks)))), "number", "_set")
 
     def search(batches):
-        held, index = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                ids_raw, width, data, q_raw, q_width, q_data = (batch.column(c)[i].as_py() for c in range(6))
-                if held != (ids_raw, data):
-                    held = (ids_raw, data)
-                    ids = np.frombuffer(ids_raw, "<i8")
-                    index = Block(np.frombuffer(data, "<i4").reshape(len(ids), width).astype(np.int64), n_slices)
-                q_ids = np.frombuffer(q_raw, "<i8")
-                q_values = np.frombuffer(q_data, "<i4").reshape(len(q_ids), q_width).astype(np.int64)
-                out = [(q, *index.top(v, ids, k, q)) for q, v in zip(q_ids.tolist(), q_values)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(q_ids, [len(r) for _, r, _ in out])),
-                    pa.array(np.concatenate([ids[r] for _, r, _ in out])),
-                    pa.array(np.concatenate([s for _, _, s in out]))], names=["query_id", "_found", "score"])
+                block = Candidates(*(batch.column(c)[i].as_py() for c in ("ids", "width", "data", "wide_ids", "wide")), scale, n_slices)
+                for part in batch.column("asked")[i]:
+                    ids, values = _unpacked(*(part[c].as_py() for c in ("ids", "width", "data")))
+                    ask = [(q, v, False) for q, v in zip(ids.tolist(), values.tolist())]
+                    ask += [(q, exact(x, scale), True) for q, x in zip(part["wide_ids"].as_py(), part["wide"].as_py())]
+                    out = [(q, *x) for q, v, w in ask for x in block.top(q, v, w, k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)],
+                                                     names=["query_id", "_found", "score"])
 
     found = units.mapInArrow(search, "query_id long, _found long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("_found"))
