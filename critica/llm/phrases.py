@@ -18,9 +18,10 @@ any size of the corpus).  Equal hashes only mean that a phrase is counted
 which is no candidate; the count itself is of the phrase's text, so results
 do not depend on hashes.
 
-Scale: a shard is some tens of megabytes of text in one task; words are
-found and phrases counted in numpy.  What leaves a task is one row per
-phrase, with its count, however often a phrase or a copied text occurs.
+Scale: a shard is some megabytes of text; a task takes one shard after
+another and adds their counts up.  Words are found and phrases counted in
+numpy.  What leaves a task is one row per phrase, with its count, however
+often a phrase or a copied text occurs.
 Beyond corpus bytes / shard bytes > ``min_count`` the local support is a
 single occurrence: pass one then names all phrases by hash, in proportion
 to the input, and pass two still counts only what can be frequent.
@@ -51,8 +52,11 @@ from critica.llm.words import byte_classes, dictionary, split_words
 MIN_COUNT = 100
 MOST_WORDS = 5
 PER_LANGUAGE = 2000
-#: Bytes of text of a shard, at least; the last of a task's shards takes the rest along.
+#: Bytes of text of a shard; the last of a task's shards takes along a rest of up to half as much.
 SHARD_BYTES = 16 << 20
+#: Bytes of text of a task's shards, if there are more of them than cores, and rows that a task adds up before it lets go of them.
+TASK_BYTES = 128 << 20
+MERGED_ROWS = 1_000_000
 FILTER_BITS = 27
 #: Languages whose totals are broadcast, counted first.
 FEW = 100_000
@@ -160,7 +164,7 @@ class Shard:
 
 
 def _shards(batches, size: int):
-    """Shards of at least ``size`` bytes; the rest of a task goes to its last one."""
+    """Shards of about ``size`` bytes; a small rest of a task goes to its last one."""
     ready, now = None, Shard()
     for batch in batches:
         for piece in C.slices(batch, "_text"):
@@ -169,9 +173,37 @@ def _shards(batches, size: int):
                 if ready is not None:
                     yield ready
                 ready, now = now, Shard()
-    if ready is not None:
+    if ready is not None and now.bytes <= size // 2:
         ready.merge(now)
-    yield ready or now
+        now = None
+    if ready is not None:
+        yield ready
+    if now is not None:
+        yield now
+
+
+def _added_up(batches, keys: list[str], most: int):
+    """Batches of (keys, counts) whose rows of equal keys are added up, ``most`` rows or so at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n > most:
+            table = _sums(held, keys)
+            if table.num_rows > most // 2:
+                yield from table.to_batches(max_chunksize=1 << 16)
+                held, n = [], 0
+            else:
+                held, n = [table.combine_chunks().to_batches()[0]], table.num_rows
+    if held:
+        yield from _sums(held, keys).to_batches(max_chunksize=1 << 16)
+
+
+def _sums(batches: list[pa.RecordBatch], keys: list[str]) -> pa.Table:
+    table = pa.Table.from_batches(batches)
+    counts = [c for c in table.column_names if c not in keys]
+    out = table.group_by(keys).aggregate([(c, "sum") for c in counts])
+    return out.rename_columns([c.removesuffix("_sum") for c in out.column_names]).select(table.column_names)
 
 
 def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -197,7 +229,10 @@ def candidate_filter(rows: DataFrame, total: int, min_count: int, most_words: in
             for _, _, counts, hashes in shard.levels(lambda counts, _: counts >= least, most_words):
                 yield batch(hashes.view(np.int64), counts, least)
 
-    named = written(rows.mapInArrow(mine, "hash long, f long, slack long").groupBy("hash").agg(
+    def mine_all(batches):
+        yield from _added_up(mine(batches), ["hash"], MERGED_ROWS)
+
+    named = written(rows.mapInArrow(mine_all, "hash long, f long, slack long").groupBy("hash").agg(
         F.sum("f").alias("f"), F.sum("slack").alias("slack")), "phrase-candidates")
     slack = named.where("hash is null").agg(F.sum("slack")).first()[0] or 0
     able = named.where(F.col("hash").isNotNull() & (F.col("f") + slack - F.col("slack") >= min_count))
@@ -219,8 +254,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     total = rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
-    # Full shards: small partitions are read together, without a shuffle.
-    rows = rows.coalesce(max(1, math.ceil(total / shard_bytes)))
+    # Small partitions are read together, without a shuffle: full shards, and what a task's shards share leaves it once.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    rows = rows.coalesce(max(1, min(cores, math.ceil(total / shard_bytes)), math.ceil(total / TASK_BYTES)))
     bitmap = candidate_filter(rows, total, min_count, most_words, shard_bytes, bits)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
@@ -246,7 +282,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
                     words = [shard.texts.take(pa.array(c[part])) for c in columns]
                     yield batch(languages[part], pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())), len(columns), counts[part])
 
-    counted = rows.mapInArrow(count, "lang string, phrase string, n_words int, f long")
+    def count_all(batches):
+        yield from _added_up(count(batches), ["lang", "phrase", "n_words"], MERGED_ROWS)
+
+    counted = rows.mapInArrow(count_all, "lang string, phrase string, n_words int, f long")
     return counted.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where(
         (F.col("n_words") == 0) | (F.col("f") >= min_count))
 
