@@ -120,15 +120,19 @@ class ChunkStore:
     def append(self, values, base: int):
         """Arrays for the slots from ``base`` on."""
         lens = np.fromiter(map(len, values), np.int64, len(values))
-        total = int(lens.sum())
+        self.extend(np.fromiter((x for v in values for x in v), self.dtype, int(lens.sum())), lens, base)
+
+    def extend(self, flat: np.ndarray, lens: np.ndarray, base: int):
+        """Arrays for the slots from ``base`` on, one after another."""
+        total = len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while base + len(values) > len(self.start):
+        while base + len(lens) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used:self.used + total] = np.fromiter((x for v in values for x in v), self.dtype, total)
-        self.start[base:base + len(values)] = self.used + np.cumsum(lens) - lens
-        self.length[base:base + len(values)] = lens
+        self.flat[self.used:self.used + total] = flat
+        self.start[base:base + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.length[base:base + len(lens)] = lens
         self.used += total
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,15 +162,64 @@ def library_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class IdStore(ChunkStore):
+    """Ids by chunk of a byte-level BPE file.
+
+    New chunks that start with white space and end in a character after
+    which texts are cut are encoded as one text: the library's work per
+    call is far more than that per chunk.  The ids are dealt out by their
+    tokens' bytes, and only if every chunk ends where a token does.
+    """
+
+    #: Bytes of chunks that are encoded as one text.
+    JOINED = 1 << 15
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        added = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = added.get(i, len(token))  # a character of a token stands for one byte
+        super().__init__(self._each, np.uint32)
+
+    def _each(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _add(self, new: list[bytes]):
+        buf = np.frombuffer(b"".join(new), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        starts = np.concatenate([[0], ends[:-1]])
+        last, before = buf[ends - 1], buf[np.maximum(ends - 2, starts)]
+        solid = _PLAIN[last] | ((last >= 0x80) & (before >= 0xC3) & (before < 0xE0) & (ends - starts > 1))
+        joined = _SPACE[buf[starts]] & solid
+        together = [w for w, j in zip(new, joined.tolist()) if j]
+        rest = [w for w, j in zip(new, joined.tolist()) if not j]
+        if together and not self._together(together, (ends - starts)[joined]):
+            rest = together + rest
+        if rest:
+            super()._add(rest)
+
+    def _together(self, words: list[bytes], sizes: np.ndarray) -> bool:
+        """Store the ids of ``words``, unless one of them does not end where a token does."""
+        ends = np.cumsum(sizes)
+        cuts = np.flatnonzero(np.diff(ends // self.JOINED)) + 1
+        texts = [b"".join(words[a:b]).decode() for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)])]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        at = np.cumsum(self.bytes[ids])
+        last = np.searchsorted(at, ends)
+        if not len(at) or at[-1] != ends[-1] or (at[np.minimum(last, len(at) - 1)] != ends).any():
+            return False
+        base = len(self.slot)
+        self.extend(ids, np.diff(np.concatenate([[0], last + 1])), base)
+        self.slot.update(zip(words, range(base, base + len(words))))
+        return True
+
+
 @functools.lru_cache(maxsize=4)
 def id_store(path: str) -> ChunkStore:
     """Ids by chunk of a byte-level BPE file, kept for the life of the worker process."""
-    tokenizer = library_tokenizer(path)
-
-    def compute(words):
-        return [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    return ChunkStore(compute, np.uint32)
+    return IdStore(library_tokenizer(path))
 
 
 def encode_ids(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -173,9 +173,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
     def segment(part, number, doc_ids, ids, lens):
         ids, lens = np.concatenate(ids), np.concatenate(lens)
         words, first = encode(ids)
+        own = pa.concat_arrays(doc_ids)
         return pa.RecordBatch.from_arrays([
             pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()),
-            pa.array([pa.concat_arrays(doc_ids).to_pylist()], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())),
+            pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([lens], pa.list_(pa.int64())),
             pa.array([first], pa.list_(pa.int64())), pa.array([words.astype("<u8").tobytes()], pa.binary())],
             names=["part", "segment", "n_ids", "doc_ids", "lengths", "block_words", "words"])
 
