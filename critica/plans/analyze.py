@@ -141,3 +141,49 @@ def flatten_report(reports: DataFrame) -> DataFrame:
                    F.col("cl.importance").alias("importance"), F.col("cl.count").alias("count"),
                    F.posexplode_outer("cl.reviews").alias("review_pos", "review"))
     return rv.withColumn("app_slug", app_slug("app"))
+
+
+#: Schema of a report part as JSON.
+PART = ("app string, category string, cluster_rank bigint, part bigint, "
+        "cluster struct<summary:string,importance:double,count:bigint>, reviews array<string>")
+#: Reviews of a report part.
+PART_REVIEWS = 1000
+
+
+def report_parts(clusters: DataFrame, reviews: DataFrame, size: int = PART_REVIEWS) -> DataFrame:
+    """The report as records of at most ``size`` reviews: one row per (app, category, cluster, part).
+
+    A cluster of any number of reviews is as many rows as it needs, all
+    with the cluster's head; ``review_rank`` counts from 1 in its cluster.
+    A cluster without reviews has one part without any.  Whole reports are
+    read by ``app``; none has to fit a row.
+    """
+    ckeys = ["app", "category", "clusters"]
+    part = F.floor((F.col("review_rank") - 1) / F.lit(size)).cast("bigint")
+    parts = reviews.withColumn("part", part).groupBy(*ckeys, "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("review_rank", "data"))), lambda x: x["data"]).alias("reviews"))
+    head = clusters.select(*ckeys, F.col("cluster_rank").cast("bigint").alias("cluster_rank"), F.struct(
+        "summary", "importance", F.col("count").cast("bigint").alias("count")).alias("cluster"))
+    return head.join(parts, ckeys, "left").select(
+        "app", F.when(F.col("category") == "pro", "problem_report").when(F.col("category") == "fea", "feature_request")
+        .otherwise(F.col("category")).alias("category"),
+        "cluster_rank", F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), "cluster",
+        F.coalesce("reviews", F.array().cast("array<string>")).alias("reviews"))
+
+
+def parts_to_json(parts: DataFrame) -> DataFrame:
+    """(app, json): one text per part, non-ASCII kept."""
+    return parts.select("app", F.to_json(F.struct(*parts.columns)).alias("json"))
+
+
+def parts_from_json(texts: DataFrame) -> DataFrame:
+    return texts.select(F.from_json("json", PART).alias("p")).select("p.*")
+
+
+def flatten_parts(parts: DataFrame, size: int = PART_REVIEWS) -> DataFrame:
+    """Report parts → one row per (app, category, cluster, review) with positions."""
+    from critica.functions.text import app_slug
+    rows = parts.select("app", "category", (F.col("cluster_rank") - 1).cast("int").alias("cluster_pos"), "part",
+                        "cluster.summary", "cluster.importance", "cluster.count", F.posexplode_outer("reviews").alias("_pos", "review"))
+    return rows.select("app", "category", "cluster_pos", "summary", "importance", "count",
+                       (F.col("part") * size + F.col("_pos")).cast("int").alias("review_pos"), "review", app_slug("app").alias("app_slug"))

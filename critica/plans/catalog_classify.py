@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from critica.operators import classify as K
 from critica.operators import metrics as M
 from critica.operators import split as SP
+from critica.operators import term_classifier as TC
 from critica.operators import zero_shot as Z
 from critica.plans.registry import r6, register
+from critica.plans.catalog_text import STOP, STOP_SQL, TOKENS_SQL
 from critica.schema import LABELS
 from critica.sources import testdata as TD
 
@@ -35,6 +37,49 @@ def q_nb_predict(spark, sf):
     return _report(spark, sf, "NaiveBayes")
 
 
+_HELD_OUT = "substr(md5(CAST(review_id AS VARCHAR)), 1, 1) IN ('0', '1', '2')"
+
+
+def _unit_sql(name: str, rows: str) -> str:
+    return f"""
+{name}_toks AS (SELECT review_id, unnest({TOKENS_SQL.format(t='data')}) AS term FROM {rows}),
+{name}_tf AS (SELECT review_id, term, count(*) AS tf FROM {name}_toks WHERE NOT list_contains({STOP_SQL}, term) GROUP BY ALL)"""
+
+
+_NB_SQL = TD.with_views(TD.LABELLED_SQL + f""",
+train AS (SELECT * FROM labelled WHERE NOT ({_HELD_OUT})),
+test AS (SELECT * FROM labelled WHERE {_HELD_OUT}),""" + _unit_sql("train", "train") + "," + _unit_sql("test", "test") + """,
+nd AS (SELECT count(*) AS n FROM train),
+voc AS (SELECT term, count(*) AS df, any_value(n) AS n FROM train_tf, nd GROUP BY term
+        HAVING count(*) >= 3 AND count(*) <= CAST(0.5 AS DOUBLE) * any_value(n)),
+size AS (SELECT count(*) AS v FROM voc),
+w1 AS (SELECT review_id, t.term, tf * (ln((n + 1.0) / (df + 1.0)) + 1.0) AS w FROM train_tf t JOIN voc ON voc.term = t.term),
+u1 AS (SELECT review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY review_id)) AS w FROM w1),
+w2 AS (SELECT review_id, t.term, tf * (ln((n + 1.0) / (df + 1.0)) + 1.0) AS w FROM test_tf t JOIN voc ON voc.term = t.term),
+u2 AS (SELECT review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY review_id)) AS w FROM w2),
+marks AS (""" + " UNION ALL ".join(f"SELECT review_id, '{label}' AS label, {label} AS y FROM train" for label in LABELS) + """),
+priors AS (SELECT label, ln(avg(y)) - ln(1.0 - avg(y)) AS prior FROM marks GROUP BY label),
+sums AS (SELECT label, term, sum(CASE WHEN y = 1 THEN w ELSE 0.0 END) AS s1, sum(CASE WHEN y = 1 THEN 0.0 ELSE w END) AS s0
+         FROM u1 JOIN marks m ON m.review_id = u1.review_id GROUP BY ALL),
+tot AS (SELECT label, sum(s1) AS t1, sum(s0) AS t0 FROM sums GROUP BY label),
+delta AS (SELECT s.label, term, ln((s1 + 1.0) / (t1 + v)) - ln((s0 + 1.0) / (t0 + v)) AS delta
+          FROM sums s JOIN tot ON tot.label = s.label, size),
+score AS (SELECT review_id, label, sum(w * delta) AS s FROM u2 JOIN delta ON delta.term = u2.term GROUP BY ALL),
+every AS (SELECT review_id, label, prior FROM test, priors)""", """
+SELECT e.review_id, e.label, round(prior + coalesce(s, 0.0), 6) AS margin,
+       CAST(prior + coalesce(s, 0.0) > 0 AS INTEGER) AS pred
+FROM every e LEFT JOIN score s ON s.review_id = e.review_id AND s.label = e.label""")
+
+
+@register("nb_term_table", _NB_SQL)
+def q_nb_term_table(spark, sf):
+    """Naive Bayes as a table of (label, term, delta), scored by a join and a sum (K1, K2)."""
+    rows = TD.labelled(spark, sf).withColumn("_held", F.substring(F.md5(F.col("review_id").cast("string")), 1, 1).isin("0", "1", "2"))
+    model = TC.fit(rows.where(~F.col("_held")), LABELS, stop_words=STOP)
+    m = TC.margins(model, rows.where("_held"))
+    return m.select("review_id", "label", r6("margin").alias("margin"), (F.col("margin") > 0).cast("int").alias("pred"))
+
+
 @register("svc_predict", None)
 def q_svc_predict(spark, sf):
     """Linear SVM per label (K3, K9)."""

@@ -13,7 +13,9 @@ from critica.operators import joins as J
 from critica.operators import metrics as M
 from critica.operators import routing as RT
 from critica.operators import split as SP
+from critica.operators.ranking import distributed_rank
 from critica.plans import analyze as AN
+from critica.plans.catalog_eval import _report_sql
 from critica.plans.registry import r6, register
 from critica.sources import testdata as TD
 
@@ -124,20 +126,36 @@ def q_sigmoid(spark, sf):
 
 
 @register("document_round_trip", TD.with_views(TD.REVIEWS_SQL, """
-SELECT app, ori_lang, CAST(count(*) AS INTEGER) AS n FROM reviews WHERE length(trim(data)) > 0 GROUP BY app, ori_lang"""))
+SELECT app, ori_lang, md5(trim(data)) AS review, CAST(count(*) AS BIGINT) AS n FROM reviews WHERE length(trim(data)) > 0
+GROUP BY app, ori_lang, md5(trim(data))"""))
 def q_document_round_trip(spark, sf):
+    """Every review text comes back out of its group's joined documents."""
     docs = AG.cluster_documents(TD.reviews(spark, sf).where(F.length(F.trim("data")) > 0), ["app", "ori_lang"], min_size=1)
-    parts = docs.select("app", "ori_lang", F.size(TX.split_document("document")).alias("k"))
-    return parts.groupBy("app", "ori_lang").agg(F.sum("k").cast("int").alias("n"))
-
-
-@register("spanning_forest", TD.with_views(TD.CLUSTERED_SQL, """
-SELECT ori_lang, CAST(count(*) - 1 AS BIGINT) AS n_edges, true AS connected FROM clustered GROUP BY ori_lang"""))
+    parts = docs.select("app", "ori_lang", F.explode(TX.split_document("document")).alias("text"))
+    return parts.groupBy("app", "ori_lang", F.md5(F.trim("text")).alias("review")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Prim's rule, all groups side by side: a step takes each group's outside point with the lightest edge inwards.
+_FOREST_SQL = "WITH RECURSIVE " + TD.CLUSTERED_SQL + """,
+pts AS (SELECT ori_lang AS g, review_id AS id, embedding AS v FROM clustered),
+step AS (
+  SELECT 0 AS k, g, id, v, list_distance(v, first_value(v) OVER s) AS w, first_value(id) OVER s AS src,
+         id = first_value(id) OVER s AS inside, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS d
+  FROM pts WINDOW s AS (PARTITION BY g ORDER BY id)
+  UNION ALL
+  SELECT k + 1, g, id, v, CASE WHEN nearer THEN dist ELSE w END, CASE WHEN nearer THEN p.id ELSE src END,
+         inside OR id = p.id, p.src, p.id, p.w
+  FROM (SELECT *, list_distance(v, p.v) AS dist, list_distance(v, p.v) < w AS nearer
+        FROM (SELECT *, first_value(struct_pack(id := id, src := src, w := w, v := v, inside := inside))
+                        OVER (PARTITION BY g ORDER BY inside, w, least(src, id), greatest(src, id)) AS p FROM step))
+  WHERE NOT p.inside)"""
+
+
+@register("spanning_forest", _FOREST_SQL + """
+SELECT DISTINCT g AS ori_lang, least(a, b) AS lo, greatest(a, b) AS hi, round(d, 6) AS w FROM step WHERE k > 0""")
 def q_spanning_forest(spark, sf):
-    mst = C.minimum_spanning_forest(TD.clustered(spark, sf), ["ori_lang"])
-    sizes = mst.groupBy("ori_lang").agg(F.count(F.lit(1)).alias("n_edges"),
-                                        F.count_distinct("hi").alias("_hi"))
-    return sizes.select("ori_lang", "n_edges", (F.col("_hi") > 0).alias("connected"))
+    """Edges and weights of every group's minimum spanning tree."""
+    return C.minimum_spanning_forest(TD.clustered(spark, sf), ["ori_lang"]).select("ori_lang", "lo", "hi", r6("w").alias("w"))
 
 
 def _tables(spark, sf):
@@ -163,25 +181,37 @@ SELECT ori_lang AS app, 'problem_report' AS category,
 FROM clustered WHERE clusters >= 0""")
 
 
+def _parts(spark, sf):
+    """Report records of at most 50 reviews, with ranks that are positions."""
+    counts, clusters, reviews = _tables(spark, sf)
+    keys = ["app", "category", "clusters"]
+    clusters = distributed_rank(clusters.drop("cluster_rank"), ["app", "category"], ["clusters"], "cluster_rank")
+    reviews = distributed_rank(reviews.withColumnRenamed("review_rank", "_id"), keys, ["_id"], "review_rank").drop("_id")
+    return AN.report_parts(clusters, reviews, 50)
+
+
 @register("report_records", _FLAT_SQL)
 def q_report_records(spark, sf):
-    flat = AN.flatten_report(AN.assemble_report(*_tables(spark, sf)))
+    flat = AN.flatten_parts(_parts(spark, sf), 50)
     return flat.select("app", "category", "cluster_pos", "summary", "count", "review_pos", "review", "app_slug")
 
 
 @register("report_json", _FLAT_SQL)
 def q_report_json(spark, sf):
-    records = AN.assemble_report(*_tables(spark, sf))
-    text = records.select(TX.report_to_json(F.struct(*records.columns)).alias("j"))
-    back = text.select(TX.report_from_json("j").alias("r")).select("r.*")
-    flat = AN.flatten_report(back)
+    """The records as JSON texts, one a part, and back."""
+    text = AN.parts_to_json(_parts(spark, sf))
+    flat = AN.flatten_parts(AN.parts_from_json(text), 50)
     return flat.select("app", "category", "cluster_pos", "summary", "count", "review_pos", "review", "app_slug")
 
 
-@register("metrics_table", TD.with_views(TD.PREDICTED_SQL, """
-SELECT ori_lang AS experiment, CAST(sum(feature_request) AS BIGINT) AS n FROM predicted GROUP BY ori_lang"""))
+_METRIC_ROWS = ("feature_request", "problem_report", "irrelevant", "weighted avg")
+
+
+@register("metrics_table", TD.with_views(TD.PREDICTED_SQL + ",\n" + _report_sql("predicted", ["ori_lang"]), """
+SELECT ori_lang AS experiment, """ + ", ".join(
+    f"max(round({c}, 3)) FILTER (row_name = '{r}') AS \"{r}_{s}\"" for r in _METRIC_ROWS
+    for c, s in (("precision", "p"), ("recall", "r"), ("f1", "f"))) + " FROM rep GROUP BY ori_lang"))
 def q_metrics_table(spark, sf):
+    """One row per experiment with the three figures of every class row."""
     rep = M.classification_report(TD.predicted(spark, sf).withColumnRenamed("ori_lang", "experiment"), LABELS, keys=["experiment"])
-    wide = M.metrics_table(rep)
-    support = rep.where("row_name = 'feature_request'").select("experiment", F.col("support").alias("n"))
-    return wide.join(support, "experiment").select("experiment", "n")
+    return M.metrics_table(rep)
