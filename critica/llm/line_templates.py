@@ -22,9 +22,9 @@ task.  Only leaves with several different lines are opened, and each of
 their lines is read once, as an array of 64-bit token hashes; a leaf's
 constants are at most 1 / CONSTANT per position and come to its lines as
 one row.  Texts are read again instead of being kept: the places of open
-lines, and the line numbers to drop, come to the texts as a broadcast where
-they are at most ``FEW`` numbered lines, counted first, and by a shuffle
-beyond.
+lines come to the texts as a broadcast where they are at most ``FEW``,
+counted first, and by a shuffle beyond.  The numbers of the lines to drop
+meet the texts by a join on the document, which moves every text once.
 
 Defined results.  Null texts stay null.  Line ends are U+000A; a text
 loses the line together with its line end.  Lines without tokens have no
@@ -39,6 +39,8 @@ empty text and ``n_lines`` = ``n_dropped``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ SHORT_DOCS = 10
 MIN_CONSTANT = 0.7
 #: Share of a leaf's different lines that makes a token a constant.
 CONSTANT = 1 / 3
-#: Lines (places or line numbers) that are broadcast instead of shuffling the texts.
+#: Places of open lines that are broadcast instead of shuffling the texts.
 FEW = 500_000
 
 _WHITE = " \t\x0b\x0c\r"
@@ -64,8 +66,10 @@ _VARIABLE = "(?<![^ \\t\\x0B\\f\\r])[^ \\t\\x0B\\f\\r0-9]*+[0-9][^ \\t\\x0B\\f\\
 
 def _spaced(line: Column) -> Column:
     """The line's tokens, one space apart.  Replacing costs far more than finding, and most lines need none of it."""
+    def uneven(x: Column) -> Column:
+        return reduce(lambda a, c: a | x.contains(c), "\t\x0b\x0c\r", x.contains("  "))
     return let(F.btrim(line, F.lit(_WHITE)), lambda x: F.when(
-        x.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(x))
+        uneven(x), F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(x))
 
 
 def _masked(spaced: Column, n_tokens: Column) -> Column:
@@ -76,7 +80,7 @@ def _masked(spaced: Column, n_tokens: Column) -> Column:
 
 
 def _n_tokens(spaced: Column) -> Column:
-    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "))) + 1)
+    return F.when(spaced == "", 0).otherwise(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "))) + 1)
 
 
 def _few(df: DataFrame, lines: int) -> DataFrame:
@@ -151,7 +155,16 @@ def _templates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
         hashes = F.transform(F.split(p["masked"], " "), lambda t, i: F.when(t != "<*>", F.xxhash64(i, t)))
         return F.struct(k1.alias("l1"), k2.alias("l2"), p["n_tokens"].alias("n"), F.array_compact(hashes).alias("tokens"))
 
-    found = _lines(docs, id_col, text_col).join(_few(open_lines, open_lines.count()), ["doc", "line_no"])
+    # Only documents with open lines are split again, and only those lines taken out.
+    wanted = open_lines.groupBy("doc").agg(F.collect_list(F.struct("line_no", "k1", "k2", "leaf", "lines")).alias("_open"))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("_text")).join(
+        _few(wanted, open_lines.count()), "doc")
+
+    def taken(lines: Column) -> Column:
+        return F.transform("_open", lambda o: F.struct(o["k1"].alias("k1"), o["k2"].alias("k2"), o["leaf"].alias("leaf"),
+                                                       o["lines"].alias("lines"), F.get(lines, o["line_no"]).alias("line")))
+
+    found = texts.select(F.explode(let(F.split("_text", "\n", -1), taken)).alias("_o")).select("_o.*").where(F.col("line").isNotNull())
     # Rows of equal id can have other lines there.
     found = found.select("k1", "k2", "leaf", "lines", let(_parsed(F.col("line")), pairs).alias("_p")).where(
         (F.col("_p.l1") == F.col("k1")) & (F.col("_p.l2") == F.col("k2")))
@@ -195,7 +208,6 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with the recurring lines cut out of their texts, and n_lines and n_dropped."""
     dropped = written(recurring_lines(docs, id_col, text_col).groupBy("doc").agg(
         F.collect_set("line_no").alias("_dropped")).withColumnRenamed("doc", "_doc"), "dropped-lines")
-    dropped = _few(dropped, dropped.agg(F.sum(F.size("_dropped"))).first()[0] or 0)
     gone = F.coalesce(F.col("_dropped"), F.array().cast("array<int>"))
 
     def without(lines):
@@ -204,7 +216,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     text = F.col(text_col).cast("string")
-    n_lines = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long")
     return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_doc")), "left").drop("_doc").withColumns({
         text_col: F.when(F.size(gone) == 0, text).otherwise(let(F.split(text, "\n", -1), without)),
         "n_lines": n_lines, "n_dropped": F.size(gone).cast("long")}).drop("_dropped")
