@@ -57,6 +57,8 @@ SHARD_BYTES = 16 << 20
 #: Bytes of text of a task's shards, if there are more of them than cores, and rows that a task adds up before it lets go of them.
 TASK_BYTES = 128 << 20
 MERGED_ROWS = 1_000_000
+#: Bytes of text that are split into words at once.
+SLICE_BYTES = 2 << 20
 FILTER_BITS = 27
 #: Languages whose totals are broadcast, counted first.
 FEW = 100_000
@@ -70,25 +72,33 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct codes in order, number of each code, counts), with little memory."""
-    order = np.argsort(codes)
-    ordered = codes[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    starts = np.flatnonzero(new)
+def _numbered(codes: np.ndarray, parts: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes, number of each code, counts); sorted in parts, which takes little memory."""
     number = np.empty(len(codes), np.int32)
-    number[order] = np.cumsum(new, dtype=np.int32) - 1
-    return ordered[starts], number, np.diff(np.append(starts, len(codes)))
+    distinct, counts, base = [], [], 0
+    which = (codes % parts).astype(np.uint8)
+    for r in range(parts):
+        here = np.flatnonzero(which == r).astype(np.int32)
+        own = codes[here]
+        order = np.argsort(own)
+        own, here = own[order], here[order]
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        starts = np.flatnonzero(new)
+        number[here] = np.cumsum(new, dtype=np.int32) + np.int32(base - 1)
+        distinct.append(own[starts])
+        counts.append(np.diff(np.append(starts, len(own))).astype(np.int32))
+        base += len(starts)
+    return np.concatenate(distinct), number, np.concatenate(counts)
 
 
 class Shard:
-    """Words of consecutive slices of a table as numbers, with their language and piece."""
+    """Words of consecutive slices of a table as numbers, with their language and where pieces start."""
 
     def __init__(self):
         self.languages: dict[str, int] = {}
         self.vocabulary: dict[bytes, int] = {}
-        self.words, self.language, self.piece, self.bytes, self.pieces = [], [], [], 0, 0
+        self.words, self.language, self.starts, self.bytes = [], [], [], 0
 
     def add(self, languages: pa.Array, texts: pa.Array) -> None:
         coded = languages.dictionary_encode()
@@ -99,8 +109,9 @@ class Shard:
         number = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in distinct.to_pylist()], np.int32)
         self.words.append(number[index] if len(index) else np.zeros(0, np.int32))
         self.language.append(of_row[row])
-        self.piece.append((piece + self.pieces).astype(np.int32))
-        self.pieces += (int(piece[-1]) + 1) if len(piece) else 0
+        starts = np.ones(len(piece), bool)
+        starts[1:] = piece[1:] != piece[:-1]
+        self.starts.append(starts)
         self.bytes += int(C.raw_bytes(texts)[1][-1])
 
     def merge(self, other: Shard) -> None:
@@ -108,8 +119,7 @@ class Shard:
         number = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in other.vocabulary], np.int32)
         self.words += [number[x] if len(x) else x for x in other.words]
         self.language += [order[x] if len(x) else x for x in other.language]
-        self.piece += [x + np.int32(self.pieces) for x in other.piece]
-        self.pieces += other.pieces
+        self.starts += other.starts
         self.bytes += other.bytes
 
     def levels(self, keep, most_words: int = MOST_WORDS):
@@ -118,13 +128,13 @@ class Shard:
         ``keep(counts, hashes)`` tells which of the distinct phrases of a
         length stay; longer ones are only sought around those.
         """
-        index, language, piece = (np.concatenate(x) for x in (self.words, self.language, self.piece))
-        self.words = self.language = self.piece = ()
-        if not len(index):
+        n = sum(map(len, self.words))
+        if not n:
             return
         texts = list(self.vocabulary)
-        codes = language.astype(np.int64) * len(texts) + index
-        del index, language
+        starts = np.append(np.concatenate(self.starts), True)
+        codes = np.concatenate([g.astype(np.int64) * len(texts) + w for g, w in zip(self.language, self.words)])
+        self.words = self.language = self.starts = ()
         distinct, ids, counts = _numbered(codes)
         names = np.array(list(self.languages), object)
         lang, word = distinct // len(texts), distinct % len(texts)
@@ -132,29 +142,43 @@ class Shard:
         one = np.fromiter((xxhash.xxh64_intdigest(texts[w], seeds[g]) for w, g in zip(word.tolist(), lang.tolist())),
                           np.uint64, len(word))
         self.texts = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        del codes
         columns, hashes = [word], one
-        at, gram = np.arange(len(ids), dtype=np.int32), ids
+        gram = ids  # the phrase at each place
         for length in range(1, most_words + 1):
             if length > 1:
-                # A phrase at a place: the shorter ones at the place and at the next are kept, and no piece ends inside.
-                here = np.zeros(len(ids) + 1, bool)
-                here[at] = True
-                last = at.astype(np.int64) + length - 1
-                ok = (last < len(ids)) & here[np.minimum(at + 1, len(ids))]
-                ok[ok] = piece[at[ok]] == piece[last[ok]]
-                at, last, gram = at[ok], last[ok], gram[ok]
-                codes = gram.astype(np.int64) * len(one) + ids[last]
-                del gram, last, here
-                distinct, gram, counts = _numbered(codes)
+                # A phrase at a place: the shorter ones at the place and at the next are kept, and no piece ends between.
+                ok = here[:-1] & here[1:]
+                if length == 2:
+                    ok &= ~starts[1:]
+                    gram = ids.copy()
+                at = np.flatnonzero(ok).astype(np.int32)
+                codes = gram[at].astype(np.int64)
+                codes *= len(one)
+                codes += ids[at + np.int32(length - 1)]
+                distinct, number, counts = _numbered(codes)
+                del codes
+                kept = np.zeros(len(distinct), bool)
+                for lo in range(0, len(distinct), 1 << 18):
+                    part = slice(lo, lo + (1 << 18))
+                    kept[part] = keep(counts[part], _mixed(hashes[distinct[part] // len(one)], one[distinct[part] % len(one)]))
+                # Only the kept ones get words, and numbers of their own.
+                here = np.zeros(n + 1, bool)
+                here[at] = kept[number]
+                gram[at] = (np.cumsum(kept, dtype=np.int32) - 1)[number]
+                distinct, counts = distinct[kept], counts[kept]
+                del number, kept, at
                 before, end = distinct // len(one), distinct % len(one)
                 columns = [c[before] for c in columns] + [word[end]]
                 lang, hashes = lang[before], _mixed(hashes[before], one[end])
-            kept = keep(counts, hashes)
-            if kept.any():
-                yield names[lang[kept]], [c[kept] for c in columns], counts[kept], hashes[kept]
-            stay = kept[gram]
-            at, gram = at[stay], gram[stay]
-            if not len(at):
+                if len(counts):
+                    yield names[lang], columns, counts, hashes
+            else:
+                kept = keep(counts, hashes)
+                if kept.any():
+                    yield names[lang[kept]], [word[kept]], counts[kept], hashes[kept]
+                here = np.append(kept[ids], False)
+            if not here.any():
                 return
 
     def totals(self) -> list[tuple[str, int]]:
@@ -167,19 +191,16 @@ def _shards(batches, size: int):
     """Shards of about ``size`` bytes; a small rest of a task goes to its last one."""
     ready, now = None, Shard()
     for batch in batches:
-        for piece in C.slices(batch, "_text"):
+        for piece in C.slices(batch, "_text", SLICE_BYTES):
             now.add(piece.column("lang"), piece.column("_text"))
+            if ready is not None and now.bytes > size // 2:
+                yield ready
+                ready = None
             if now.bytes >= size:
-                if ready is not None:
-                    yield ready
                 ready, now = now, Shard()
-    if ready is not None and now.bytes <= size // 2:
-        ready.merge(now)
-        now = None
     if ready is not None:
-        yield ready
-    if now is not None:
-        yield now
+        ready.merge(now)
+    yield ready or now
 
 
 def _added_up(batches, keys: list[str], most: int):
