@@ -15,11 +15,12 @@ boundary rows are resolved exactly from the integers.  So results are
 exact and recall is 1 by construction.
 
 Scale: rows are packed inside the scan's tasks, without a shuffle, into
-blocks of ``BLOCK_CELLS`` components (8 bytes each).  Queries are a stated
-set and come in chunks of ``CHUNK`` queries, ``CHUNKS`` of them together.  A
-unit of work is a block with one such set of chunks: a block travels and is
-sliced once for all of them, units are dealt over all tasks, and none holds
-more than a block and a set.  Each unit gives at most k rows per query, and
+blocks of ``BLOCK_CELLS`` components, in as few bytes each as they need.
+Queries are a stated set and come in chunks of ``CHUNK_CELLS`` components,
+up to ``CHUNKS`` of them together, fewer where blocks alone do not keep all
+cores busy.  A unit of work is a block with one such set of chunks: a block
+travels and is sliced once for all of them, units are dealt over all tasks,
+and none holds more than a block and a set.  Each unit gives at most k rows per query, and
 the final ranking filters them in the tasks before its shuffle.
 
 Integers beyond ``WIDE`` do not fit the slices' arithmetic.  The rows that
@@ -48,9 +49,8 @@ from pyspark.sql import functions as F
 
 from critica.llm.store import written
 
-#: Components of a block (4 MB), of a chunk's queries, and chunks that visit a block together.
-BLOCK_CELLS = 1 << 19
-CHUNK, CHUNKS = 256, 16
+#: Components of a block and of a chunk of queries, and chunks that visit a block together.
+BLOCK_CELLS, CHUNK_CELLS, CHUNKS = 1 << 21, 1 << 14, 16
 #: Upper bits of a component that the index keeps as slices.
 SLICES = 6
 #: Integers up to this take part in the sliced arithmetic.
@@ -224,9 +224,11 @@ def _pack(rows: DataFrame, cells: int, scale: float, out: str) -> DataFrame:
         def block():
             width = max((v.shape[1] for v in values), default=0)
             full = [np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in values]
+            most = max((int(np.abs(v).max()) for v in full if v.size), default=0)
+            kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
             return pa.RecordBatch.from_arrays([
                 pa.array([b"".join(i.astype("<i8").tobytes() for i in ids)], pa.binary()), pa.array([width], pa.int32()),
-                pa.array([b"".join(v.astype("<i8").tobytes() for v in full)], pa.binary()),
+                pa.array([b"".join(v.astype(kind).tobytes() for v in full)], pa.binary()),
                 pa.array([wide_ids], pa.list_(pa.int64())), pa.array([wide], pa.list_(pa.list_(pa.float64())))],
                 names=["ids", "width", "data", "wide_ids", "wide"])
 
@@ -246,12 +248,16 @@ def _pack(rows: DataFrame, cells: int, scale: float, out: str) -> DataFrame:
         if n:
             yield block()
 
-    return written(rows.mapInArrow(pack, _PACKED), out).withColumn("number", F.monotonically_increasing_id())
+    # Full blocks: small partitions are read together.
+    total = rows.agg(F.sum(F.size("_v").cast("long"))).first()[0] or 0
+    packed = rows.coalesce(max(1, -(-max(0, total) // cells))).mapInArrow(pack, _PACKED)
+    return written(packed, out).withColumn("number", F.monotonically_increasing_id())
 
 
 def _unpacked(ids: bytes, width: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     found = np.frombuffer(ids, "<i8")
-    return found, np.frombuffer(data, "<i8").reshape(len(found), width).astype(np.int64)
+    kind = f"<i{len(data) // (len(found) * width)}" if len(data) else "<i8"
+    return found, np.frombuffer(data, kind).reshape(len(found), width).astype(np.int64)
 
 
 class Candidates:
@@ -274,19 +280,21 @@ class Candidates:
 
 
 def top_k(queries: DataFrame, table: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-          scale: float = 256.0, cells: int = BLOCK_CELLS, chunk: int = CHUNK, chunks: int = CHUNKS,
+          scale: float = 256.0, cells: int = BLOCK_CELLS, chunk_cells: int = CHUNK_CELLS, chunks: int = CHUNKS,
           n_slices: int = SLICES) -> DataFrame:
     """(query_id, rank, <id_col>, score): each query's k best rows of ``table``."""
     blocks = _pack(_vectors(table, id_col, vector_col), cells, scale, "bit-blocks")
-    asked = _pack(_vectors(queries, id_col, vector_col), max(1, cells // 8), scale, "bit-queries")
+    asked = _pack(_vectors(queries, id_col, vector_col), chunk_cells, scale, "bit-queries")
     n_blocks, n_asked = max(1, blocks.count()), asked.count()
     # Each set of query chunks goes to each block once, by the block's number.
-    sets = asked.withColumn("_set", F.pmod(F.xxhash64("number"), F.lit(max(1, -(-n_asked // chunks))))).groupBy("_set").agg(
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    n_sets = max(1, -(-n_asked // chunks), min(n_asked, -(-cores // n_blocks)))
+    sets = asked.withColumn("_set", F.pmod(F.xxhash64("number"), F.lit(n_sets))).groupBy("_set").agg(
         F.collect_list(F.struct("ids", "width", "data", "wide_ids", "wide")).alias("asked"))
     blocks = blocks.withColumn("_group", F.pmod(F.xxhash64("number"), F.lit(n_blocks)))
     units = sets.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))) \
         .join(blocks, "_group").select("number", "_set", "ids", "width", "data", "wide_ids", "wide", "asked") \
-        .repartition(max(1, min(4096, n_blocks * max(1, -(-n_asked // chunks)))), "number", "_set")
+        .repartition(max(1, min(4096, n_blocks * n_sets)), "number", "_set")
 
     def search(batches):
         for batch in batches:

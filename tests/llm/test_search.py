@@ -46,7 +46,7 @@ def test_top_k_with_awkward_vectors(spark):
              (700, [-1e7, 2e7] + [1.0] * 6, "x", 1), (750, [1e12, -1e12] + [0.25] * 6, "x", 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int")
     got = {}
-    for r in bit_sliced.top_k(df.where("vec_id % 50 = 0"), df, 5, cells=256, chunks=2).collect():
+    for r in bit_sliced.top_k(df.where("vec_id % 50 = 0"), df, 5, cells=256, chunk_cells=16, chunks=2).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     usable = {i: [math.floor(256 * x) if abs(x) < 1e300 else 256 * int(x) for x in e] for i, e, _, _ in rows
               if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
