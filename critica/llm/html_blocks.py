@@ -9,20 +9,27 @@ block counts too.  The article's blocks, character references decoded and
 white space collapsed, are joined in page order.
 
 Training.  No page comes with labelled blocks.  A bounded sample
-(``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters, those with the
-smallest hashes) is labelled by the names that authors give to page parts
-(BOILERPLATE, ARTICLE).  Each sampled page is also laid out anew
-``LAYOUTS`` times, its own texts put into other containers, with comments,
-notices, forms and adverts around and inside the article, so that the
-network learns the names and the context rather than one site's layout.
-The same sample and seed give the same network.
-
-Scale: one pass over the table without a shuffle; the sample is the only
-data on the driver, the network (some 100 kB) goes to the tasks.
+(``SAMPLE`` different pages of at most ``SAMPLE_CHARS`` characters, those
+with the smallest hashes) gives the texts.  Where names that authors give to
+page parts (BOILERPLATE, ARTICLE) tell a page's article from the rest, the
+page is training data itself, and its texts are laid out anew ``LAYOUTS``
+times.  In a new layout the label of every text is known, because the layout
+puts it there: containers of the article have usual, random, misleading or
+no names, lie in tables or forms, menus and footers have names or none, and
+comments, notices, forms and adverts stand around and inside the article.
+So the network has to learn the texts and their context besides the names.
+Pages without telling names give no labels of their own.  The same sample
+and seed give the same network.
+
+Scale: one pass over the table labels it, without a shuffle.  Two passes
+before choose the sample: hashes alone, then the chosen pages; these are the
+only data on the driver, and the network (some 100 kB) goes to the tasks.
 
 Defined results.  Null and empty html, and pages without an article, give
 an empty text.  Unclosed tags, comments, scripts and stray characters are
-read leniently.  Pages of any length are read whole.  Repeated rows are
+read leniently, in time linear in the page; an element of text that is none
+(svg) has to be closed to hide anything, except those that end with the page
+(script, style, title, textarea, iframe).  Pages of any length are read whole.  Repeated rows are
 read row by row; an empty table gives an empty result.  Other columns of
 the input are not carried.
 """
@@ -40,7 +47,7 @@ from pyspark.sql import functions as F
 
 SAMPLE, SAMPLE_CHARS, LAYOUTS = 200, 65_536, 3
 PATH_DIMS, WORD_DIMS, HIDDEN = 160, 48, 16
-MEASURES = 6
+MEASURES = 8
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.02, 11
 #: Longest stretch of blocks in training (labelling reads pages whole).
@@ -64,12 +71,12 @@ ARTICLE = frozenset(
     "article articlebody body-text content entry entrycontent main maincontent post postbody postcontent story storybody "
     "text".split())
 
+#: Elements whose content is no text of the page; the first ones reach to the page's end if unclosed.
+RAW_TAGS = ("script", "style", "title", "textarea", "iframe", "template", "svg")
+_TO_THE_END = frozenset(RAW_TAGS[:5])
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW_TAGS}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    # Content that is no text.  A name ends at white space, '>' or '/' (svg-icon is another element);
-    # svg and math may close themselves, in the other elements the '/' means nothing.
-    r"|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>"
-    r"|<(script|style|noscript|template|title|textarea|iframe|svg|math|canvas|object)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
@@ -92,20 +99,37 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             out.append((at, text, linked))
         parts, linked = [], 0
 
-    links = 0
-    for m in _TOKEN.finditer(page):
-        token = m.group()
-        if token[0] != "<" or token == "<":
+    links, pos = 0, 0
+    last_end = page.rfind(">")
+    unclosed: set[str] = set()
+    while pos < len(page):
+        if page[pos] == "<" and pos > last_end:  # no tag ends any more: the rest is text
+            token, m = page[pos:], None
+        else:
+            m = _TOKEN.match(page, pos)
+            token = m.group()
+        pos += len(token)
+        if m is None or token[0] != "<" or token == "<":
             if not parts:
                 at = paths[-1]
             parts.append(token)
             if links:
                 linked += len(token)
             continue
-        name = (m.group(3) or m.group(6) or "").lower()
+        name = (m.group(2) or m.group(5) or "").lower()
         if not name:
             continue
-        closing = bool(m.group(2) or m.group(5))
+        closing = bool(m.group(1) or m.group(4))
+        attributes = m.group(3) or m.group(6) or ""
+        if name in _CLOSING and not closing and not (name == "svg" and attributes.endswith("/")):
+            # What has no end once has none later on.
+            end = None if name in unclosed else _CLOSING[name].search(page, pos)
+            if end is not None:
+                pos = end.end()
+                continue
+            unclosed.add(name)
+            if name in _TO_THE_END:
+                break
         if name in BLOCK_TAGS:
             flush()
         elif name == "br":
@@ -119,7 +143,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     if stack.pop() == name:
                         break
             continue
-        if name in VOID_TAGS or (m.group(4) or m.group(7) or "").endswith("/"):
+        if name in VOID_TAGS or attributes.endswith("/"):
             continue
         # A block ends an open paragraph; items, rows and cells end their like.
         if name in BLOCK_TAGS and stack and (stack[-1] == "p" or stack[-1] == name and name in ("li", "dd", "dt", "tr", "td", "th", "option")):
@@ -132,7 +156,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name == "a":
             links += 1
         found = [name]
-        for a, b, c in _NAMES.findall(m.group(4) or m.group(7) or ""):
+        for a, b, c in _NAMES.findall(attributes):
             value = (a or b or c).lower()
             found.extend(_PART.findall(value))
             found.append("".join(_PART.findall(value)))
@@ -176,6 +200,8 @@ def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
         if words:
             row[PATH_DIMS:PATH_DIMS + WORD_DIMS] = np.sqrt(np.bincount(
                 [_bucket(w, WORD_DIMS) for w in words], minlength=WORD_DIMS) / len(words))
+        row[-8] = float("©" in text or "®" in text)
+        row[-7] = float("h1" in path or "h2" in path or "h3" in path)
         row[-6] = np.log1p(len(words)) / 5
         row[-5] = min(1.0, linked / len(text))
         row[-4] = (text.count(".") + text.count(",")) / (len(words) + 1)
@@ -329,13 +355,33 @@ def _reversed(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return x[np.arange(n)[:, None], np.where(at < lens, lens - 1 - at, at)]
 
 
+#: Marks of the texts of a new layout (private characters, which no label depends on).
+_IS_ARTICLE, _IS_OTHER = "\ue000", "\ue001"
+#: Names that do not tell what a container holds.
+_VAGUE = ("wrap", "wrapper", "container", "inner", "outer", "row", "col", "page", "box", "block", "module", "region", "grid",
+          "left", "right", "center", "has-share-button", "post-share", "with-sidebar", "no-comments", "menu-open", "td-ss-main")
+
+
 def laid_out(article: list[str], other: list[str], rng: np.random.Generator) -> str:
-    """A page with the given texts in another layout."""
+    """A page with the given texts in another layout, each text behind the mark of its label."""
     def pick(*names):
         return names[rng.integers(len(names))]
 
     def words(n):
-        return html_lib.escape(other[rng.integers(len(other))][:n]) if other else "More"
+        return _IS_OTHER + (html_lib.escape(other[rng.integers(len(other))][:n]) if other else "More")
+
+    def name(*usual):
+        """An attribute: one of the usual names, a vague or random one, or none."""
+        kind = rng.random()
+        if kind < 0.45 and usual:
+            value = pick(*usual)
+        elif kind < 0.6:
+            value = pick(*_VAGUE) + maybe(" " + pick(*_VAGUE))
+        elif kind < 0.8:
+            value = "".join(pick(*"abcdefghklmnoprstuvwxz") for _ in range(int(rng.integers(1, 5)))) + maybe(str(rng.integers(100)))
+        else:
+            return ""
+        return f' {pick("class", "id")}="{value}"'
 
     def box(names, n=1, tag=None):
         t = tag or pick("div", "section", "aside", "ul")
@@ -351,52 +397,85 @@ def laid_out(article: list[str], other: list[str], rng: np.random.Generator) ->
     talk = ("comments", "comment-list", "comment", "replies", "discussion", "respond", "reactions")
     body = []
     for k, text in enumerate(article):
-        t = html_lib.escape(text, quote=False)
+        t = _IS_ARTICLE + html_lib.escape(text, quote=False)
         if k == 0 and rng.random() < 0.6:
             body.append(f"<{pick('h1', 'h2')}>{t}</{pick('h1', 'h2')}>")
         else:
-            body.append(pick(f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t[:20]}</b>{t[20:]}</p>", f"<div>{t}</div>",
+            body.append(pick(f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t[:20]}</b>{t[20:]}</p>", f"<div>{t}</div>", f"<p{name()}>{t}</p>",
                              f"<blockquote>{t}</blockquote>", f"<ul><li>{t}</li></ul>"))
         body.append(maybe(box(ads), 0.08))
         body.append(maybe(box(sides), 0.04))
     inner = "".join(body) + maybe(box(talk, int(rng.integers(1, 4)), pick("div", "section")), 0.3)
-    main = pick("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="content">{}</div>',
-                '<div class="post">{}</div>', '<div class="entry-content">{}</div>', '<section class="story">{}</section>',
-                '<main><article class="post">{}</article></main>', '<div class="article-body">{}</div>')
+    usual = ("content", "post", "entry-content", "story", "article-body", "main-content")
+    main = pick("<article>{}</article>", "<main>{}</main>", f"<div{name(*usual)}>{{}}</div>", f"<div{name(*usual)}>{{}}</div>",
+                f"<section{name('story', 'post')}>{{}}</section>", f"<article{name('post')}>{{}}</article>",
+                f"<main{name()}><article{name('post')}>{{}}</article></main>", f"<div{name()}><div{name(*usual)}>{{}}</div></div>")
     menu = "".join(f"<li><a href=#>{words(20)}</a></li>" for _ in range(int(rng.integers(2, 9))))
-    before = [pick(f"<nav><ul>{menu}</ul></nav>", f'<div class="{pick("menu", "navbar", "navigation")}"><ul>{menu}</ul></div>',
-                   f"<header><ul>{menu}</ul></header>"), maybe(f"<header><div>{words(40)}</div></header>"),
+    flat = "".join(f"<a href=#>{words(16)}</a> " for _ in range(int(rng.integers(2, 7))))
+    before = [pick(f"<nav><ul>{menu}</ul></nav>", f"<div{name('menu', 'navbar', 'navigation')}><ul>{menu}</ul></div>",
+                   f"<header><ul>{menu}</ul></header>", f"<div{name()}>{flat}</div>", f"<ul{name()}>{menu}</ul>"),
+              maybe(f"<header><div>{words(40)}</div></header>"),
               maybe(box(ads)), maybe(box(notices, 1, "div")), maybe(box(("breadcrumb", "breadcrumbs", "topbar"))),
               maybe(f"<form><label>{words(30)}</label><button>{words(10)}</button></form>", 0.3), maybe(box(sides), 0.4)]
+    foot = f"&copy; {pick('2019', '2023', '')} {words(60)}".replace("&copy;", _IS_OTHER + "&copy;")
     after = [maybe(box(talk, int(rng.integers(1, 5)), pick("div", "section", "ul"))), maybe(box(sides, 2)), maybe(box(ads)),
              maybe(f"<aside><p>{words(120)}</p></aside>"), maybe(f"<form><p>{words(60)}</p><button>{words(10)}</button></form>", 0.3),
              maybe(box(notices, 1, "div"), 0.3),
-             pick(f"<footer>&copy; {words(80)}</footer>", f'<div class="footer"><p>{words(80)}</p></div>', "")]
+             pick(f"<footer>{foot}</footer>", f"<div{name('footer')}><p>{foot}</p></div>", f"<div{name('footer', 'bottom')}>{flat}</div>", "")]
     rng.shuffle(before)
-    return "<html><body>" + "".join(before) + main.replace("{}", inner) + "".join(after) + "</body></html>"
+    main = main.replace("{}", inner)
+    if rng.random() < 0.15:  # the page as a table
+        page = f"<table><tr><td>{''.join(before)}</td></tr><tr><td{name()}>{main}</td></tr><tr><td>{''.join(after)}</td></tr></table>"
+    else:
+        page = "".join(before) + main + "".join(after)
+    page = pick(page, page, page, f"<div{name()}>{page}</div>", f"<form method=post>{page}</form>")
+    return f"<html><body>{page}</body></html>"
+
+
+def known_labels(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], np.ndarray]:
+    """(blocks, labels) of a page whose texts stand behind their marks."""
+    blocks, labels, now = [], [], 0.0
+    for path, text, linked in blocks_of(page):
+        marks = [c for c in text if c in (_IS_ARTICLE, _IS_OTHER)]
+        now = float(marks[0] == _IS_ARTICLE) if marks else now
+        text = text.replace(_IS_ARTICLE, "").replace(_IS_OTHER, "").strip()
+        if text:
+            blocks.append((path, text, linked))
+            labels.append(now)
+    return blocks, np.array(labels, np.float32)
 
 
 def trained(pages: list[str], layouts: int = LAYOUTS, seed: int = SEED) -> Labeller:
     """A labeller from sampled pages and new layouts of their texts."""
     rng = np.random.default_rng(seed)
-    cut = [blocks_of(p) for p in pages]
-    other = [t for blocks in cut for path, t, _ in blocks if not named_label(path)]
-    for blocks in cut[:len(pages)]:
-        article = [t for path, t, _ in blocks if named_label(path)] or [t for _, t, _ in blocks]
-        cut.extend(blocks_of(laid_out(article, other, rng)) for _ in range(layouts if article else 0))
-    cut = [b for b in cut if b]
+    told = []
+    for page in pages:
+        blocks = blocks_of(page)
+        labels = np.array([named_label(path) for path, _, _ in blocks], np.float32)
+        if labels.any() and not labels.all():
+            told.append((blocks, labels))
+    other = [t for blocks, labels in told for (_, t, _), y in zip(blocks, labels) if not y]
+    examples = list(told)
+    for blocks, labels in told:
+        article = [t for (_, t, _), y in zip(blocks, labels) if y]
+        examples += [known_labels(laid_out(article, other, rng)) for _ in range(layouts)]
     out = Labeller(seed)
-    if cut:
-        out.fit([vectors(b) for b in cut], [np.array([named_label(path) for path, _, _ in b], np.float32) for b in cut])
+    if examples:
+        out.fit([vectors(b) for b, _ in examples], [y for _, y in examples])
     return out
 
 
 def sampled(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> list[str]:
-    """At most ``sample`` pages of bounded length, the ones with the smallest hashes."""
+    """At most ``sample`` different pages of bounded length, the ones with the smallest hashes."""
     text = F.col(html_col).cast("string")
-    rows = pages.select(text.alias("_html")).where(F.length("_html").between(1, SAMPLE_CHARS)) \
-        .select(F.xxhash64(F.substring("_html", 1, 512), F.length("_html")).alias("_order"), "_html")
-    return [r["_html"] for r in rows.orderBy("_order", "_html").limit(sample).collect()]
+    rows = pages.select(text.alias("_html")).where(F.length("_html").between(1, SAMPLE_CHARS)).select(
+        F.xxhash64(F.substring("_html", 1, 512), F.length("_html")).alias("_order"), "_html")
+    # Hashes alone first, so that no task sends pages that others displace.
+    least = rows.select("_order").distinct().orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
+    if least is None:
+        return []
+    chosen = rows.where(F.col("_order") <= least).groupBy("_order").agg(F.min("_html").alias("_html"))
+    return [r["_html"] for r in chosen.orderBy("_order").collect()]
 
 
 def main_text(pages: DataFrame, labeller: Labeller | None = None, id_col: str = "page_id", url_col: str = "url",
