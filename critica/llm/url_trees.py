@@ -4,18 +4,19 @@ Rules are written ``host/path-prefix``.  A rule fits its host and all
 subdomains if the URL's path starts with the rule's; the longest rule
 wins.  The rule list is a parameter and compiled into one CASE expression.
 
-The URLs that a rule fits are the labelled ones.  A bounded sample of them
-(``SAMPLE`` URLs, those with the smallest hashes, so the same ones each
-time) trains Spark ML's gradient-boosted trees on lexical features:
-lengths, depth, digit ratio, character entropy, parameter counts, marks,
-and block rates of the host's suffixes (one and two labels), alone and
-with the path's first segment.  The suffix statistics come from one half
-of the sample and the trees are trained on the other, so a URL's own label
-is not among its features.  All URLs are then scored in the JVM.
-
-Features are column expressions; nothing runs in Python.  One pass over
-the url column, no shuffle of the table: the suffix statistics are at most
-SAMPLE rows and are joined by broadcast.
+The URLs that a rule fits are the labelled ones.  They give block rates of
+the host's suffixes (one and two labels), alone and with the path's first
+segment, counted over all of them.  A bounded sample (``SAMPLE`` different
+URLs, those with the smallest hashes, so the same ones each time) trains
+Spark ML's gradient-boosted trees on lexical features: lengths, depth,
+digit ratio, character entropy, parameter counts, marks, and those rates.
+A sampled URL takes its rates from the half of the labelled URLs, by hash,
+that it is not in, so its own label is not among its features.  All URLs
+are then scored in the JVM.
+
+Features are column expressions; nothing runs in Python.  The table itself
+is read four times and not shuffled while the suffix statistics are at most
+``FEW`` rows, counted first; beyond that they are joined by a shuffle.
 
 Defined results.  A null URL, and one without ``://``, has an empty host
 and path; no rule fits it and the trees judge its (zero) features.  Where
@@ -35,12 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critica.llm.quality_rules import let
+from critica.llm.store import written
 
 #: The rules of the query.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
          ("net/fr/", "block"))
-#: Labelled URLs that train the trees and the suffix statistics.
+#: Different labelled URLs that train the trees (the suffix statistics are of all rows).
 SAMPLE = 20_000
+#: Rows of suffix statistics that are broadcast instead of moving the URLs, counted first.
+FEW = 200_000
 TREES, DEPTH, BINS, SEED = 10, 4, 32, 7
 #: Weight of the overall rate in a suffix's statistic, in URLs.
 PRIOR = 10.0
@@ -112,40 +116,52 @@ def described(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
                             "_suffix3": F.concat(F.substring_index("host", ".", -1), F.lit("/"), segment), "_suffix4": segment})
 
 
-def _with_suffix_rates(df: DataFrame, rates: DataFrame, overall: float) -> DataFrame:
-    # At most SAMPLE rows of statistics, whatever the table's size.
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(_level, _suffix, b0, n0, b1, n1): blocked and all URLs of each suffix over all labelled rows, by hash half of the URL."""
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), F.col(f"_suffix{k}").alias("_suffix")) for k in (1, 2, 3, 4)]))
+    rows = labelled.select("_half", "blocked", levels.alias("_s")).select("_half", "blocked", "_s._level", "_s._suffix")
+    first = F.col("_half") == 0
+    return written(rows.groupBy("_level", "_suffix").agg(
+        F.sum(F.when(first, F.col("blocked")).otherwise(0)).alias("b0"), F.count(F.when(first, 1)).alias("n0"),
+        F.sum(F.when(first, 0).otherwise(F.col("blocked"))).alias("b1"), F.count(F.when(~first, 1)).alias("n1")), "url-suffixes")
+
+
+def _with_suffix_rates(df: DataFrame, counts: DataFrame, overall: float, apart: bool) -> DataFrame:
+    """``df`` with its suffixes' rates; ``apart``: those of the other half only, as no row may tell its own label."""
+    few = counts.limit(FEW + 1).count() <= FEW
+    own = F.col("_half") == 0
     for k in ("1", "2", "3", "4"):
-        side = rates.where(F.col("_level") == int(k)).select(
-            F.col("_suffix").alias(f"_suffix{k}"), F.col("_blocked").alias(f"_b{k}"), F.col("_n").alias(f"_n{k}"))
-        df = df.join(F.broadcast(side), f"_suffix{k}", "left")
-        seen = F.coalesce(F.col(f"_n{k}"), F.lit(0)).cast("double")
-        df = df.withColumns({f"suffix{k}_rate": (F.coalesce(F.col(f"_b{k}"), F.lit(0)) + PRIOR * overall) / (seen + PRIOR),
-                             f"suffix{k}_seen": F.log1p(seen)}).drop(f"_b{k}", f"_n{k}")
+        side = counts.where(F.col("_level") == int(k)).select(F.col("_suffix").alias(f"_suffix{k}"), "b0", "n0", "b1", "n1")
+        df = df.join(F.broadcast(side) if few else side, f"_suffix{k}", "left")
+        b, n = (F.when(own, F.col(f"{c}1")).otherwise(F.col(f"{c}0")) if apart else F.col(f"{c}0") + F.col(f"{c}1") for c in "bn")
+        seen = F.coalesce(n, F.lit(0)).cast("double")
+        df = df.withColumns({f"suffix{k}_rate": (F.coalesce(b, F.lit(0)) + PRIOR * overall) / (seen + PRIOR),
+                             f"suffix{k}_seen": F.log1p(seen)}).drop("b0", "n0", "b1", "n1")
     return df
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE):
-    """(model, suffix rates, overall rate) from rows of ``described`` with a column ``blocked`` (0 or 1).
+    """(model, suffix counts, overall rate) from rows of ``described`` with a column ``blocked`` (0 or 1).
 
-    The model is None if the sample has not both labels.
+    Counts and the rate are of all rows; the trees are fitted on at most
+    ``sample`` different URLs, those with the smallest hashes.  The model
+    is None if they have not both labels.
     """
     order = F.xxhash64("host", "path", "url_chars")
-    few = labelled.withColumn("_order", order).orderBy("_order", "blocked").limit(sample) \
-        .withColumn("_half", F.pmod(F.xxhash64("_order"), F.lit(2))).cache()
-    n, blocked = few.agg(F.count("*"), F.sum("blocked")).first()
+    rows = labelled.withColumn("_order", order).withColumn("_half", F.pmod(F.xxhash64("_order"), F.lit(2)))
+    n, blocked = rows.agg(F.count("*"), F.sum("blocked")).first()
     overall = float(blocked or 0) / n if n else 0.0
-    first = few.where("_half = 0")
-    levels = [first.select(F.lit(k).alias("_level"), F.col(f"_suffix{k}").alias("_suffix"), "blocked") for k in (1, 2, 3, 4)]
-    rates = reduce(DataFrame.unionByName, levels).groupBy("_level", "_suffix").agg(
-        F.sum("blocked").alias("_blocked"), F.count("*").alias("_n"))
+    counts = suffix_counts(rows)
     model = None
-    second = few.where("_half = 1")
-    both = second.agg(F.min("blocked"), F.max("blocked")).first()
-    if both[0] == 0 and both[1] == 1:
-        data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-            _with_suffix_rates(second, rates, overall)).select("features", F.col("blocked").cast("double").alias("label"))
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=SEED, stepSize=0.3).fit(data)
-    return model, rates, overall
+    least = rows.select("_order").distinct().orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
+    if least is not None:
+        few = written(rows.where(F.col("_order") <= least).dropDuplicates(["_order"]), "url-sample")
+        both = few.agg(F.min("blocked"), F.max("blocked")).first()
+        if both[0] == 0 and both[1] == 1:
+            data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
+                _with_suffix_rates(few, counts, overall, True)).select("features", F.col("blocked").cast("double").alias("label"))
+            model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=SEED, stepSize=0.3).fit(data)
+    return model, counts, overall
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, sample: int = SAMPLE) -> DataFrame:
@@ -155,12 +171,12 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, sample: int = SAM
     rows = described(inner, names[url_col], rules)
     labelled = rows.where(F.col("rule").isNotNull()).withColumn(
         "blocked", (rule_verdict(F.col("rule"), rules) == "block").cast("int")).drop(*names.values())
-    model, rates, overall = train(labelled, sample)
+    model, counts, overall = train(labelled, sample)
     if model is None:
         rows = rows.withColumn("block_probability", F.lit(overall))
     else:
         rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-            _with_suffix_rates(rows, rates, overall))
+            _with_suffix_rates(rows.withColumn("_half", F.lit(0)), counts, overall, False))
         rows = model.transform(rows).withColumn("block_probability", F.get(vector_to_array("probability"), F.lit(1)))
     own = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
     kept = [F.col(v).alias(c) for c, v in names.items() if c not in ("host", "path", "rule", "verdict", "block_probability")]
