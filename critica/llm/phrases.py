@@ -56,7 +56,7 @@ PER_LANGUAGE = 2000
 SHARD_BYTES = 16 << 20
 #: Bytes of text of a task's shards, if there are more of them than cores, and rows that a task adds up before it lets go of them.
 TASK_BYTES = 128 << 20
-MERGED_ROWS = 1_000_000
+MERGED_ROWS = 600_000
 #: Bytes of text that are split into words at once.
 SLICE_BYTES = 2 << 20
 FILTER_BITS = 27
