@@ -56,7 +56,7 @@ PER_LANGUAGE = 2000
 SHARD_BYTES = 16 << 20
 #: Bytes of text of a task's shards, if there are more of them than cores, and rows that a task adds up before it lets go of them.
 TASK_BYTES = 128 << 20
-MERGED_ROWS = 600_000
+MERGED_ROWS = 1_000_000
 #: Bytes of text that are split into words at once.
 SLICE_BYTES = 2 << 20
 FILTER_BITS = 27
@@ -123,10 +123,13 @@ class Shard:
         self.bytes += other.bytes
 
     def levels(self, keep, most_words: int = MOST_WORDS):
-        """(names of the phrases' languages, word columns, counts, hashes) of the kept phrases, length by length.
+        """(before, last, counts, hashes) of the kept phrases, length by length.
 
         ``keep(counts, hashes)`` tells which of the distinct phrases of a
-        length stay; longer ones are only sought around those.
+        length stay; longer ones are only sought around those.  ``before``
+        and ``last``: the kept phrase that a phrase is without its last
+        word, and that word among the kept words; for words themselves the
+        numbers of their language and word.
         """
         n = sum(map(len, self.words))
         if not n:
@@ -136,14 +139,13 @@ class Shard:
         codes = np.concatenate([g.astype(np.int64) * len(texts) + w for g, w in zip(self.language, self.words)])
         self.words = self.language = self.starts = ()
         distinct, ids, counts = _numbered(codes)
-        names = np.array(list(self.languages), object)
         lang, word = distinct // len(texts), distinct % len(texts)
-        seeds = [xxhash.xxh64_intdigest(x.encode()) for x in names]
+        seeds = [xxhash.xxh64_intdigest(x.encode()) for x in self.languages]
         one = np.fromiter((xxhash.xxh64_intdigest(texts[w], seeds[g]) for w, g in zip(word.tolist(), lang.tolist())),
                           np.uint64, len(word))
-        self.texts = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        self.texts = texts
         del codes
-        columns, hashes = [word], one
+        hashes = one
         gram = ids  # the phrase at each place
         for length in range(1, most_words + 1):
             if length > 1:
@@ -169,14 +171,15 @@ class Shard:
                 distinct, counts = distinct[kept], counts[kept]
                 del number, kept, at
                 before, end = distinct // len(one), distinct % len(one)
-                columns = [c[before] for c in columns] + [word[end]]
-                lang, hashes = lang[before], _mixed(hashes[before], one[end])
+                hashes = _mixed(hashes[before], one[end])
                 if len(counts):
-                    yield names[lang], columns, counts, hashes
+                    # Numbers among the kept ones of the length before.
+                    yield before if length > 2 else kept_word[before], kept_word[end], counts, hashes
             else:
                 kept = keep(counts, hashes)
+                kept_word = np.cumsum(kept, dtype=np.int32) - 1
                 if kept.any():
-                    yield names[lang[kept]], [word[kept]], counts[kept], hashes[kept]
+                    yield lang[kept], word[kept], counts[kept], hashes[kept]
                 here = np.append(kept[ids], False)
             if not here.any():
                 return
@@ -187,6 +190,76 @@ class Shard:
         return list(zip(self.languages, counts.tolist()))
 
 
+class Tally:
+    """Counts of phrases over the shards of a task, in numbers: a phrase is the one before its last word, and that word."""
+
+    def __init__(self):
+        self.words: dict[tuple[str, bytes], int] = {}
+        self.word_counts: list[int] = []
+        self.totals: dict[str, int] = {}
+        # By length from 2 on: sorted codes with their numbers, and counts, shorter phrase and last word by number.
+        self.codes, self.numbers, self.counts, self.before, self.last = ({} for _ in range(5))
+
+    def __len__(self):
+        return len(self.words) + sum(map(len, self.counts.values()))
+
+    def add(self, shard: Shard, keep, most_words: int) -> None:
+        for name, n in shard.totals():
+            self.totals[name] = self.totals.get(name, 0) + n
+        names, of_word, of_before = list(shard.languages), None, None
+        for length, (before, last, counts, _) in enumerate(shard.levels(keep, most_words), 1):
+            if length == 1:
+                of_word = np.array([self.words.setdefault((names[g], shard.texts[w]), len(self.words))
+                                    for g, w in zip(before.tolist(), last.tolist())], np.int64)
+                self.word_counts += [0] * (len(self.words) - len(self.word_counts))
+                for i, c in zip(of_word.tolist(), counts.tolist()):
+                    self.word_counts[i] += c
+                of_before = of_word
+            else:
+                of_before = self._added(length, of_before[before], of_word[last], counts)
+
+    def _added(self, length: int, before: np.ndarray, last: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        codes = before << 32 | last
+        empty = np.zeros(0, np.int64)
+        known, numbers, totals = (x.get(length, empty) for x in (self.codes, self.numbers, self.counts))
+        at = np.searchsorted(known, codes)
+        found = np.zeros(len(codes), bool)
+        inside = at < len(known)
+        found[inside] = known[at[inside]] == codes[inside]
+        out = np.empty(len(codes), np.int64)
+        out[found] = numbers[at[found]]
+        new = ~found
+        out[new] = len(totals) + np.arange(int(new.sum()))
+        totals = np.concatenate([totals, np.zeros(int(new.sum()), np.int64)])
+        totals[out] += counts
+        merged = np.concatenate([known, codes[new]])
+        order = np.argsort(merged, kind="stable")
+        self.codes[length], self.numbers[length], self.counts[length] = merged[order], np.concatenate([numbers, out[new]])[order], totals
+        self.before[length] = np.concatenate([self.before.get(length, empty), before[new]])
+        self.last[length] = np.concatenate([self.last.get(length, empty), last[new]])
+        return out
+
+    def batches(self, rows: int = 1 << 16):
+        """(lang, phrase, n_words, f) of everything counted; a row with 0 words holds a language's number of words."""
+        def batch(languages, phrases, n, counts):
+            return pa.RecordBatch.from_arrays([
+                languages, phrases, pa.array(np.full(len(counts), n), pa.int32()), pa.array(counts, pa.int64())],
+                names=["lang", "phrase", "n_words", "f"])
+
+        if self.totals:
+            yield batch(pa.array(list(self.totals), pa.string()), pa.array([""] * len(self.totals), pa.string()), 0, list(self.totals.values()))
+        language = pa.array([g for g, _ in self.words], pa.string()).dictionary_encode()
+        word = pa.array([w for _, w in self.words], pa.binary()).cast(pa.string())
+        texts, lang = word, language
+        for length in range(1, 1 + max([1, *self.counts])):
+            if length > 1:
+                before, last = pa.array(self.before[length]), pa.array(self.last[length])
+                texts, lang = pc.binary_join_element_wise(texts.take(before), word.take(last), " "), lang.take(before)
+            counts = np.array(self.word_counts, np.int64) if length == 1 else self.counts[length]
+            for at in range(0, len(counts), rows):
+                yield batch(lang[at:at + rows].cast(pa.string()), texts[at:at + rows], length, counts[at:at + rows])
+
+
 def _shards(batches, size: int):
     """Shards of about ``size`` bytes; a small rest of a task goes to its last one."""
     ready, now = None, Shard()
@@ -288,25 +361,15 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             slot = _slots(hashes, bits)
             return (filled[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
-        def batch(languages, phrases, n, counts):
-            return pa.RecordBatch.from_arrays([
-                pa.array(languages, pa.string()), phrases.cast(pa.string()),
-                pa.array(np.full(len(counts), n), pa.int32()), pa.array(counts, pa.int64())],
-                names=["lang", "phrase", "n_words", "f"])
-
+        tally = Tally()
         for shard in _shards(batches, shard_bytes):
-            if totals := [(g, n) for g, n in shard.totals() if n]:
-                yield batch([g for g, _ in totals], pa.array([""] * len(totals)), 0, [n for _, n in totals])
-            for languages, columns, counts, _ in shard.levels(candidates, most_words):
-                for at in range(0, len(counts), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    words = [shard.texts.take(pa.array(c[part])) for c in columns]
-                    yield batch(languages[part], pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())), len(columns), counts[part])
-
-    def count_all(batches):
-        yield from _added_up(count(batches), ["lang", "phrase", "n_words"], MERGED_ROWS)
-
-    counted = rows.mapInArrow(count_all, "lang string, phrase string, n_words int, f long")
+            tally.add(shard, candidates, most_words)
+            if len(tally) > MERGED_ROWS:
+                yield from tally.batches()
+                tally = Tally()
+        yield from tally.batches()
+
+    counted = rows.mapInArrow(count, "lang string, phrase string, n_words int, f long")
     return counted.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where(
         (F.col("n_words") == 0) | (F.col("f") >= min_count))
 
