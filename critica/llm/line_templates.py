@@ -217,6 +217,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     text = F.col(text_col).cast("string")
     n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_doc")), "left").drop("_doc").withColumns({
+    # The same plan at every size: the list of a hot source's lines may be long.
+    return docs.join(dropped.hint("merge"), F.col(id_col).eqNullSafe(F.col("_doc")), "left").drop("_doc").withColumns({
         text_col: F.when(F.size(gone) == 0, text).otherwise(let(F.split(text, "\n", -1), without)),
         "n_lines": n_lines, "n_dropped": F.size(gone).cast("long")}).drop("_dropped")
