@@ -79,7 +79,8 @@ def similarity_to_reference(df: DataFrame, refs: DataFrame, keys, vec_col: str =
 def _points(points: DataFrame, keys, id_col: str, vec_col: str, *more):
     """(group keys, id, v, more columns), and the keys (a constant one where there is none)."""
     pts = points.select(*keys, F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *more)
-    return (pts, keys) if keys else (pts.withColumn("_g", F.lit(0)), ["_g"])
+    # One group: a key that the planner does not fold away, as it would turn its equi-joins into nested loops.
+    return (pts, keys) if keys else (pts.withColumn("_g", F.pmod(F.hash("id"), F.lit(1))), ["_g"])
 
 
 def epsilon_pairs(points: DataFrame, eps: float, keys=(), id_col: str = "review_id",

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critica.operators.features import document_frequency, term_counts
+from critica.operators.features import term_counts
 from critica.schema import LABELS
 from critica.session import cut_lineage
 
@@ -46,8 +46,9 @@ def fit(train: DataFrame, labels=LABELS, id_col: str = "review_id", text_col: st
         min_df: int = 3, max_df: float = 0.5) -> TermModel:
     """The model of the training rows; ``labels`` are 0/1 columns."""
     tf = term_counts(train, (), id_col, text_col, stop_words, materialize=True)
-    n_docs = train.agg(F.count(F.lit(1)).alias("n_docs"))
-    vocabulary = cut_lineage(document_frequency(tf, (), id_col, min_df, max_df, n_docs).select("term", "df", "n_docs"))
+    n = train.count()
+    vocabulary = cut_lineage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(
+        (F.col("df") >= min_df) & (F.col("df") <= float(max_df) * n)).withColumn("n_docs", F.lit(n).cast("long")))
     size = vocabulary.count()
     marks = F.array(*[F.struct(F.lit(label).alias("label"), F.col(label).cast("int").alias("y")) for label in labels])
     marked = train.select(id_col, F.explode(marks).alias("_m")).select(id_col, "_m.label", "_m.y")
