@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,29 @@ def pending(reviews: DataFrame, responses: DataFrame, model: str, key: str = "re
         done = done.where(F.col("error").isNull())
     done = done.select(key)
     return reviews.join(done, key, "left_anti")
+
+
+#: Share of the left rows from which a key is heavy.
+HEAVY = 1 / 256
+
+
+def heavy_join(left: DataFrame, right: DataFrame, keys, count_col: str, n_left: int, share: float = HEAVY) -> DataFrame:
+    """Inner join of ``left`` with one row per key of ``right``, the heaviest keys dealt over several tasks.
+
+    ``count_col`` of ``right`` counts the left rows of its key, ``n_left``
+    all of them.  A key with more than ``share`` of the rows is cut into
+    parts of at most that many, by a hash of the left row; only its right
+    row is repeated.  There are at most 1 / ``share`` such keys, so the list
+    that is broadcast is bounded whatever the data.  All other keys join as
+    they would anyway.  The count column is not part of the result.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    bar = max(1, math.ceil(share * n_left))
+    parts = F.ceil(F.col(count_col) / F.lit(bar)).cast("int")
+    heavy = F.broadcast(right.where(F.col(count_col) > bar).select(*keys, parts.alias("_parts")))
+    rest = [c for c in left.columns if c not in keys]
+    dealt = left.join(heavy, keys, "left").withColumn("_part", F.when(
+        F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col("_parts"))).cast("int")).drop("_parts")
+    repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(
+        F.col(count_col) > bar, parts - 1).otherwise(F.lit(0))))).drop(count_col)
+    return dealt.join(repeated, [*keys, "_part"]).drop("_part")

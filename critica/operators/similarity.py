@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from critica.functions import text as TX
 from critica.functions import vectors as V
 from critica.operators import blocks as B
+from critica.operators.joins import heavy_join
 from critica.session import cut_lineage
 
 
@@ -50,8 +51,9 @@ def sentence_centrality(sents: DataFrame, keys, id_cols=("review_id", "sent_id")
     # written once so that splitting and tokenising run once.
     sents = cut_lineage(sents)
     u = cut_lineage(sentence_vectors(sents, keys, ids, text_col))
-    total = u.groupBy(*keys, "term").agg(F.sum("u").alias("s"))
-    cent = u.join(total, keys + ["term"]).groupBy(*keys, *ids).agg(
+    total = cut_lineage(u.groupBy(*keys, "term").agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("_n")))
+    # A term that most sentences of a group have would be one task's work.
+    cent = heavy_join(u, total, keys + ["term"], "_n", u.count()).groupBy(*keys, *ids).agg(
         F.sum(F.col("u") * F.col("s")).alias("centrality"))
     return (sents.join(cent, keys + ids, "left")
             .withColumn("centrality", F.coalesce(F.col("centrality"), F.lit(0.0))))
