@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from critica.operators import classify as K
+from critica.operators import hinge as H
 from critica.operators import metrics as M
 from critica.operators import split as SP
 from critica.operators import term_classifier as TC
@@ -86,6 +87,18 @@ def q_svc_predict(spark, sf):
     return _report(spark, sf, "LinearSVC")
 
 
+@register("sgd_hinge_predict", None)
+def q_sgd_hinge_predict(spark, sf):
+    """Linear SVM by stochastic gradient descent, on the features of the other classifiers (K3, K9)."""
+    train, test = _split(spark, sf)
+    features = K.fit_features(train)
+    model = H.fit(features.transform(train), LABELS, "features", width=max(1, len(features.vocabulary)))
+    scored = test.join(H.predict(model, features.transform(test), "features"), "review_id")
+    rep = M.classification_report(scored, LABELS, ["ori_lang"])
+    return rep.select("ori_lang", "row_name", r6("precision").alias("precision"), r6("recall").alias("recall"),
+                      r6("f1").alias("f1"), "support")
+
+
 @register("kernel_svc_predict", None)
 def q_kernel_svc_predict(spark, sf):
     """Random Fourier features + linear SVM (K4 re-aimed, K9)."""
