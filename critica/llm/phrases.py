@@ -8,10 +8,12 @@ phrase can only be so if both its halves without the last and without the
 first word are.  A phrase that is frequent in the corpus is locally
 frequent in one shard at least, so the union of the shards' phrases holds
 all frequent ones.  A shard that does not name a phrase has it less often
-than its local support; phrases of the union that cannot reach
-``min_count`` with that much from every such shard are left out.  Pass two
-counts the others in every shard and adds the counts up exactly; a last
-step keeps those that reach ``min_count``, scores their cuts and ranks them.
+than its local support.  So the shards of a task, together a larger shard,
+give a bound for every phrase, and the task names those that can reach its
+own local support; phrases of the union that cannot reach ``min_count`` over
+all tasks in the same way are left out.  Pass two counts the others in every
+shard and adds the counts up exactly; a last step keeps those that reach
+``min_count``, scores their cuts and ranks them.
 
 The candidates travel as a bitmap of 2^FILTER_BITS phrase hashes (16 MB at
 any size of the corpus).  Equal hashes only mean that a phrase is counted
@@ -276,28 +278,12 @@ def _shards(batches, size: int):
     yield ready or now
 
 
-def _added_up(batches, keys: list[str], most: int):
-    """Batches of (keys, counts) whose rows of equal keys are added up, ``most`` rows or so at a time."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n > most:
-            table = _sums(held, keys)
-            if table.num_rows > most // 2:
-                yield from table.to_batches(max_chunksize=1 << 16)
-                held, n = [], 0
-            else:
-                held, n = [table.combine_chunks().to_batches()[0]], table.num_rows
-    if held:
-        yield from _sums(held, keys).to_batches(max_chunksize=1 << 16)
-
-
-def _sums(batches: list[pa.RecordBatch], keys: list[str]) -> pa.Table:
-    table = pa.Table.from_batches(batches)
-    counts = [c for c in table.column_names if c not in keys]
-    out = table.group_by(keys).aggregate([(c, "sum") for c in counts])
-    return out.rename_columns([c.removesuffix("_sum") for c in out.column_names]).select(table.column_names)
+def _summed(hashes: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """The different hashes, and the sums of the other columns over each."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    return [hashes[starts], *(np.add.reduceat(c[order], starts) if len(starts) else c for c in columns)]
 
 
 def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -308,25 +294,36 @@ def candidate_filter(rows: DataFrame, total: int, min_count: int, most_words: in
                      bits: int) -> np.ndarray:
     """Bitmap (bytes) over the hashes of the phrases that can be frequent.
 
-    A shard of least count t names its phrases with t occurrences or more;
-    any other one has t - 1 there at most.
+    A shard of least count t has a phrase that it does not name t - 1 times
+    at most.  So a task knows a bound for every phrase over its shards, and
+    names those whose bound reaches the task's own least count.
     """
-    def mine(batches):
-        def batch(hashes, counts, least):
-            return pa.RecordBatch.from_arrays([
-                pa.array(hashes, pa.int64()), pa.array(counts, pa.int64()), pa.array(np.full(len(counts), least - 1), pa.int64())],
-                names=["hash", "f", "slack"])
+    def least(size: int) -> int:
+        return max(1, -(-min_count * size // max(total, 1)))
 
+    def mine(batches):
+        found, size, slack = [np.zeros(0, np.int64)] * 3, 0, 0
         for shard in _shards(batches, shard_bytes):
-            least = max(1, -(-min_count * shard.bytes // max(total, 1)))
-            yield batch([None], [0], least)
-            for _, _, counts, hashes in shard.levels(lambda counts, _: counts >= least, most_words):
-                yield batch(hashes.view(np.int64), counts, least)
-
-    def mine_all(batches):
-        yield from _added_up(mine(batches), ["hash"], MERGED_ROWS)
-
-    named = written(rows.mapInArrow(mine_all, "hash long, f long, slack long").groupBy("hash").agg(
+            own = least(shard.bytes)
+            size, slack = size + shard.bytes, slack + own - 1
+            parts = [(h.view(np.int64), c.astype(np.int64)) for _, _, c, h in shard.levels(lambda counts, _: counts >= own, most_words)]
+            hashes, counts = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            found = _summed(*(np.concatenate([x, y]) for x, y in zip(found, (hashes, counts, np.full(len(hashes), own - 1)))))
+        hashes, counts, named = found
+        most = counts + slack - named
+        keep = most >= least(size)
+        hashes, most = hashes[keep], most[keep]
+        for at in range(-1, len(hashes), 1 << 16):
+            part = slice(max(at, 0), at + (1 << 16))
+            # First of all the task itself, as a row without a hash.
+            lead = [None] if at < 0 else []
+            n = len(lead) + len(hashes[part])
+            yield pa.RecordBatch.from_arrays([
+                pa.chunked_array([pa.array(lead, pa.int64()), pa.array(hashes[part])]).combine_chunks(),
+                pa.array(np.concatenate([np.zeros(len(lead), np.int64), most[part]])),
+                pa.array(np.full(n, least(size) - 1), pa.int64())], names=["hash", "f", "slack"])
+
+    named = written(rows.mapInArrow(mine, "hash long, f long, slack long").groupBy("hash").agg(
         F.sum("f").alias("f"), F.sum("slack").alias("slack")), "phrase-candidates")
     slack = named.where("hash is null").agg(F.sum("slack")).first()[0] or 0
     able = named.where(F.col("hash").isNotNull() & (F.col("f") + slack - F.col("slack") >= min_count))
