@@ -55,7 +55,7 @@ MIN_COUNT = 100
 MOST_WORDS = 5
 PER_LANGUAGE = 2000
 #: Bytes of text of a shard; the last of a task's shards takes along a rest of up to half as much.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
 #: Bytes of text of a task's shards, if there are more of them than cores, and rows that a task adds up before it lets go of them.
 TASK_BYTES = 128 << 20
 MERGED_ROWS = 1_000_000
@@ -283,7 +283,7 @@ def _summed(hashes: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     order = np.argsort(hashes)
     hashes = hashes[order]
     starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-    return [hashes[starts], *(np.add.reduceat(c[order], starts) if len(starts) else c for c in columns)]
+    return [hashes[starts], *(np.add.reduceat(c[order], starts, dtype=c.dtype) if len(starts) else c for c in columns)]
 
 
 def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -302,15 +302,17 @@ def candidate_filter(rows: DataFrame, total: int, min_count: int, most_words: in
         return max(1, -(-min_count * size // max(total, 1)))
 
     def mine(batches):
-        found, size, slack = [np.zeros(0, np.int64)] * 3, 0, 0
+        found, size, slack = [np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 2], 0, 0
         for shard in _shards(batches, shard_bytes):
-            own = least(shard.bytes)
-            size, slack = size + shard.bytes, slack + own - 1
-            parts = [(h.view(np.int64), c.astype(np.int64)) for _, _, c, h in shard.levels(lambda counts, _: counts >= own, most_words)]
-            hashes, counts = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
-            found = _summed(*(np.concatenate([x, y]) for x, y in zip(found, (hashes, counts, np.full(len(hashes), own - 1)))))
+            size += shard.bytes
+            # A task's small rest names no more than a full shard, as far as the task's own least count allows.
+            own = max(1, min(least(max(shard.bytes, shard_bytes)), least(size) - slack))
+            slack += own - 1
+            parts = [(h.view(np.int64), c) for _, _, c, h in shard.levels(lambda counts, _: counts >= own, most_words)]
+            hashes, counts = (np.concatenate([p[i] for p in parts] or [found[i][:0]]) for i in (0, 1))
+            found = _summed(*(np.concatenate([x, y]) for x, y in zip(found, (hashes, counts, np.full(len(hashes), own - 1, np.int32)))))
         hashes, counts, named = found
-        most = counts + slack - named
+        most = counts.astype(np.int64) + slack - named
         keep = most >= least(size)
         hashes, most = hashes[keep], most[keep]
         for at in range(-1, len(hashes), 1 << 16):
