@@ -45,9 +45,9 @@ from critica.llm import chunks as C
 
 SPACE = "▁"
 #: Bytes of text or of ids that are worked on together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Distinct chunks that a worker process remembers.
-CHUNKS = 450_000
+CHUNKS = 200_000
 
 
 class PieceModel:
