@@ -47,7 +47,23 @@ SPACE = "▁"
 #: Bytes of text or of ids that are worked on together.
 SLICE_BYTES = 1 << 20
 #: Distinct chunks that a worker process remembers.
-CHUNKS = 200_000
+CHUNKS = 300_000
+
+
+def _tree(pieces: dict) -> dict:
+    """(branches, score, ids) by character from the first one on; the score is None where no piece ends."""
+    tops, none = {}, {}
+    for piece, (score, ids) in sorted(pieces.items()):
+        branch = tops
+        for k, char in enumerate(piece, 1):
+            found = branch.get(char) or (none, None, ())
+            if k == len(piece):
+                found = (found[0], score, ids)
+            elif found[0] is none:
+                found = ({}, *found[1:])
+            branch[char] = found
+            branch = found[0]
+    return tops
 
 
 class PieceModel:
@@ -61,7 +77,7 @@ class PieceModel:
         self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i), (i,)) for i in normal}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        self.longest = max(map(len, self.pieces))
+        self.tree = _tree({p: found[1:] for p, found in self.pieces.items()})
         self.unknown_score = min(s for _, s, _ in self.pieces.values()) - 10
         #: What each id stands for in decoded text.
         self.spelling = [b""] * n
@@ -101,22 +117,28 @@ class PieceModel:
 
     def lattice(self, text: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """(edges, best): by end position, (start, score, ids) of every piece, and the best score of the prefix."""
-        get, longest, edges, best = self.pieces.get, self.longest, [[]], [0.0]
-        for end in range(1, len(text) + 1):
-            here, top, p = [], -np.inf, None
-            for start in range(end - longest if end > longest else 0, end):
-                p = get(text[start:end])
-                if p is not None:
-                    here.append((start, p[1], p[2]))
-                    total = best[start] + p[1]
-                    if total > top:
-                        top = total
-            if p is None:  # the last character alone is no piece
-                ids = tuple(self.bytes.get(x, self.unknown) for x in text[end - 1].encode())
-                here.append((end - 1, self.unknown_score, ids if self.unknown not in ids else (self.unknown,)))
-                top = max(top, best[-1] + self.unknown_score)
-            edges.append(here)
-            best.append(top)
+        tree, size = self.tree, len(text)
+        edges, best = [[] for _ in range(size + 1)], [0.0] + [-np.inf] * size
+        for start in range(size):
+            done, branch, end = best[start], tree, start
+            for char in text[start:]:
+                end += 1
+                found = branch.get(char)
+                if found is None:  # no piece begins so
+                    score = None
+                else:
+                    branch, score, ids = found
+                    if score is not None:
+                        edges[end].append((start, score, ids))
+                        total = done + score
+                        if total > best[end]:
+                            best[end] = total
+                if score is None and end == start + 1:  # the character alone is no piece
+                    ids = tuple(self.bytes.get(x, self.unknown) for x in char.encode())
+                    edges[end].append((start, self.unknown_score, ids if self.unknown not in ids else (self.unknown,)))
+                    best[end] = max(best[end], done + self.unknown_score)
+                if found is None:
+                    break
         return edges, best
 
     def nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -160,6 +182,7 @@ class _Choices:
     """N best by distinct chunk: slots of ids, and the scores of the choices.
 
     One dictionary entry per chunk; its n choices stand at n * number in the arrays.
+    A full store keeps the chunks that it met most often (half of its limit at most).
     """
 
     def __init__(self, path: str, n: int, limit: int = CHUNKS):
@@ -170,22 +193,38 @@ class _Choices:
         self.number: dict[bytes, int] = {}
         self.store = C.ChunkStore(None, np.int32)
         self.scores = np.full((1 << 12, self.n), -np.inf)
+        self.met = np.zeros(0, np.int64)
+
+    def _keep_known(self):
+        """Forget the chunks met once, or the least met ones; half of the others' counts is kept."""
+        met, n = self.met, self.n
+        kept = np.sort(np.argsort(-met, kind="stable")[:self.limit // 2])
+        kept = kept[met[kept] > 1]
+        words, scores = list(self.number), self.scores[kept]
+        slots = (kept[:, None] * n + np.arange(n)).ravel()
+        flat, ends = self.store.gather(slots)
+        self._clear()
+        self.number = {words[k]: i for i, k in enumerate(kept.tolist())}
+        self.store.extend(flat, np.diff(ends, prepend=0), 0)
+        self.scores, self.met = np.concatenate([scores, self.scores]), met[kept] // 2
 
     def slots(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(slots, scores of the first choice, losses) by word and choice; a missing choice loses infinity."""
         if len(self.number) > self.limit:
-            self._clear()
+            self._keep_known()
         n, base, new = self.n, len(self.number), [w for w in words if w not in self.number]
         values = []
         for k, w in enumerate(new, base):
             found = self.model.nbest(w.decode().replace(" ", SPACE), n)
-            if k >= len(self.scores):
+            while k >= len(self.scores):
                 self.scores = np.concatenate([self.scores, np.full_like(self.scores, -np.inf)])
             self.scores[k, :len(found)] = [s for s, _ in found]
             values.extend(found[c][1] if c < len(found) else () for c in range(n))
             self.number[w] = k
         self.store.append(values, base * n)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[at] += 1
         scores = self.scores[at]
         return at[:, None] * n + np.arange(n), scores[:, 0], scores[:, :1] - scores
 

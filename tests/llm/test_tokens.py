@@ -205,3 +205,20 @@ def test_document_combinations():
         losses[:, 0] = 0
         want = sorted(sum(c) for c in itertools.product(*losses))[:3]
         assert [x for x, _ in nbest._combinations(losses, 3)] == want
+
+
+def test_a_full_store_keeps_the_chunks_it_meets_often(monkeypatch):
+    searched = []
+    plain = nbest.PieceModel.nbest
+    monkeypatch.setattr(nbest.PieceModel, "nbest", lambda self, text, n: searched.append(text) or plain(self, text, n))
+    often, small, large = [b"the", b" and", b" of"], nbest._Choices(PIECE_BPE, 2, limit=20), nbest._Choices(PIECE_BPE, 2)
+    for k in range(12):
+        words = often + [f" w{k}x{j}".encode() for j in range(9)]
+        got = []
+        for store in (small, large):
+            slots, first, losses = store.slots(words)
+            values, ends = store.store.gather(slots.ravel())
+            got.append((values.tolist(), ends.tolist(), first.tolist(), losses.tolist()))
+        assert got[0] == got[1]
+    assert len(small.number) <= 20 + 12  # checked before a slice's chunks are added
+    assert sum(t == "the" for t in searched) == 2  # once in each store
