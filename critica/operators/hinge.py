@@ -27,6 +27,8 @@ from critica.schema import LABELS
 from critica.session import cut_lineage
 
 ALPHA, EPOCHS, BATCHES, RATE = 1e-3, 5, 8, 1.0
+#: Rows that are worked on together.
+ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -40,8 +42,9 @@ def entries(df: DataFrame, vec_col: str, *columns) -> DataFrame:
     """(columns, index, value): the non-zero entries of ML vectors as two arrays per row."""
     from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("struct<index: array<int>, value: array<double>>")
-    def taken(vectors: pa.Array) -> pa.Array:
+    kind = pa.struct([("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
+
+    def some(vectors: pa.Array) -> pa.Array:
         out = []
         for x in vectors:
             if not x.is_valid:
@@ -50,7 +53,11 @@ def entries(df: DataFrame, vec_col: str, *columns) -> DataFrame:
             w = x["values"].values.to_numpy(zero_copy_only=False)
             at = x["indices"].values.to_numpy(zero_copy_only=False) if x["type"].as_py() == 0 else np.arange(len(w))
             out.append({"index": at[w != 0].astype(np.int32), "value": w[w != 0]})
-        return pa.array(out, pa.struct([("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]))
+        return pa.array(out, kind)
+
+    @arrow_udf("struct<index: array<int>, value: array<double>>")
+    def taken(vectors: pa.Array) -> pa.Array:
+        return pa.concat_arrays([some(vectors.slice(a, ROWS)) for a in range(0, len(vectors), ROWS)] or [pa.array([], kind)])
 
     return df.where(F.col(vec_col).isNotNull()).withColumn("_e", taken(vec_col)).select(*columns, "_e.index", "_e.value")
 
@@ -60,6 +67,13 @@ def batch_of(id_col, epoch: int, batches: int):
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(epoch)), F.lit(batches))
 
 
+def _slices(parts):
+    """Batches in pieces of ``ROWS`` rows: what a worker holds does not grow with its batches."""
+    for part in parts:
+        for a in range(0, part.num_rows, ROWS):
+            yield part.slice(a, ROWS)
+
+
 def _scores(batch: pa.RecordBatch, weights: np.ndarray, intercepts: np.ndarray):
     """(rows x labels margins, row of each entry, index, value)."""
     lens = np.diff(batch.column("index").offsets.to_numpy())
@@ -86,24 +100,21 @@ def fit(train: DataFrame, labels=LABELS, vec_col: str = "embedding", id_col: str
 
             def gradient(parts):
                 w, c = shared.value
-                total, shift, n = {}, np.zeros(len(w)), 0
-                for part in parts:
+                total, shift, n = np.zeros_like(w), np.zeros(len(w)), 0
+                for part in _slices(parts):
                     margins, row, index, value = _scores(part, w, c)
-                    y = np.stack(part.column("y").to_numpy(zero_copy_only=False)) if part.num_rows else np.zeros((0, len(w)))
+                    y = part.column("y").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, len(w))
                     pull = np.where(y * margins < 1, y, 0.0)
                     n += part.num_rows
                     shift += pull.sum(axis=0)
                     for j in range(len(w)):
-                        own, at = np.unique(index, return_inverse=True)
-                        total.setdefault(j, []).append((own, np.bincount(at, pull[row, j] * value, len(own))))
+                        np.add.at(total[j], index, pull[row, j] * value)
                 for j in range(len(w)):
-                    own = np.concatenate([i for i, _ in total.get(j, [])] or [np.zeros(0, np.int64)])
-                    some, at = np.unique(own, return_inverse=True)
-                    sums = np.bincount(at, np.concatenate([g for _, g in total.get(j, [])] or [np.zeros(0)]), len(some))
+                    some = np.flatnonzero(total[j])
                     # Behind the terms: the intercept (-1) and the rows (-2).
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(some) + 2, j), pa.int32()), pa.array(np.concatenate([some, [-1, -2]]), pa.int32()),
-                        pa.array(np.concatenate([sums, [shift[j], n]]))], names=["label", "term", "g"])
+                        pa.array(np.concatenate([total[j, some], [shift[j], n]]))], names=["label", "term", "g"])
 
             found = rows.where(batch_of("id", epoch, batches) == b).mapInArrow(gradient, "label int, term int, g double") \
                 .groupBy("label", "term").agg(F.sum("g").alias("g")).where("g <> 0").toArrow()
@@ -128,7 +139,7 @@ def predict(model: HingeModel, df: DataFrame, vec_col: str = "embedding", id_col
 
     def score(parts):
         w, c = shared.value
-        for part in parts:
+        for part in _slices(parts):
             margins = _scores(part, w, c)[0]
             yield pa.RecordBatch.from_arrays([part.column("id")] + [
                 pa.array((margins[:, j] > 0).astype(np.int32)) for j in range(len(w))],

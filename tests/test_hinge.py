@@ -53,3 +53,14 @@ def test_rows_without_a_vector(spark):
     assert model.weights[:, :2].sum() == 0 and (model.weights[:, 2:] > 0).all()
     assert H.predict(model, df).count() == 2
     assert not H.fit(df.limit(0), LABELS, width=4, epochs=1, batches=1).weights.any()
+
+
+def test_batches_are_worked_on_in_bounded_pieces():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"id": list(range(2 * H.ROWS + 5)), "index": [[i % 7] for i in range(2 * H.ROWS + 5)]})
+    pieces = list(H._slices([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in pieces] == [H.ROWS, H.ROWS, 5]
+    assert [i for p in pieces for i in p.column("id").to_pylist()] == list(range(2 * H.ROWS + 5))
+    margins, row, index, _ = H._scores(pa.RecordBatch.from_pydict({
+        "index": pieces[2].column("index"), "value": pa.array([[2.0]] * 5)}), np.ones((1, 7)), np.zeros(1))
+    assert margins.tolist() == [[2.0]] * 5 and row.tolist() == list(range(5)) and index.tolist() == [i % 7 for i in range(2 * H.ROWS, 2 * H.ROWS + 5)]
