@@ -42,7 +42,8 @@ def pending(reviews: DataFrame, responses: DataFrame, model: str, key: str = "re
 HEAVY = 1 / 256
 
 
-def heavy_join(left: DataFrame, right: DataFrame, keys, count_col: str, n_left: int, share: float = HEAVY) -> DataFrame:
+def heavy_join(left: DataFrame, right: DataFrame, keys, count_col: str, n_left: int, share: float = HEAVY,
+               parts: int | None = None) -> DataFrame:
     """Inner join of ``left`` with one row per key of ``right``, the heaviest keys dealt over several tasks.
 
     ``count_col`` of ``right`` counts the left rows of its key, ``n_left``
@@ -51,14 +52,17 @@ def heavy_join(left: DataFrame, right: DataFrame, keys, count_col: str, n_left:
     row is repeated.  There are at most 1 / ``share`` such keys, so the list
     that is broadcast is bounded whatever the data.  All other keys join as
     they would anyway.  The count column is not part of the result.
+    ``parts``: number of partitions that the join is dealt over.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     bar = max(1, math.ceil(share * n_left))
-    parts = F.ceil(F.col(count_col) / F.lit(bar)).cast("int")
-    heavy = F.broadcast(right.where(F.col(count_col) > bar).select(*keys, parts.alias("_parts")))
+    cuts = F.ceil(F.col(count_col) / F.lit(bar)).cast("int")
+    heavy = F.broadcast(right.where(F.col(count_col) > bar).select(*keys, cuts.alias("_parts")))
     rest = [c for c in left.columns if c not in keys]
     dealt = left.join(heavy, keys, "left").withColumn("_part", F.when(
         F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col("_parts"))).cast("int")).drop("_parts")
     repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(
-        F.col(count_col) > bar, parts - 1).otherwise(F.lit(0))))).drop(count_col)
+        F.col(count_col) > bar, cuts - 1).otherwise(F.lit(0))))).drop(count_col)
+    if parts:
+        dealt, repeated = (x.repartition(parts, *keys, "_part") for x in (dealt, repeated))
     return dealt.join(repeated, [*keys, "_part"]).drop("_part")

@@ -38,3 +38,16 @@ def test_empty_and_single_key(spark):
     one = spark.range(1000).select(F.lit("x").alias("k"), "id")
     r = one.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
     assert heavy_join(one, r, "k", "n", 1000).agg(F.sum("m")).first()[0] == 999_000
+
+
+def test_parts_by_the_size_of_the_data(spark):
+    from critica.session import cut_lineage, pieces
+    small = cut_lineage(spark.range(1000).select("id", F.rand(1).alias("u")).repartition(4))
+    large = cut_lineage(spark.range(200_000).select("id", F.rand(1).alias("u")).repartition(4))
+    assert pieces(small, 1 << 20) == 2 and pieces(large, 1 << 17) > 4 * pieces(small, 1 << 17)
+    left = spark.range(5000).select((F.col("id") % 300).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
+    got = heavy_join(left, right, "k", "n", 5000, parts=37)
+    assert got.rdd.getNumPartitions() == 37
+    plain = left.join(right.drop("n"), "k")
+    assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0
