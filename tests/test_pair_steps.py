@@ -108,3 +108,12 @@ def test_a_task_moves_a_forest_of_its_edges(spark):
     assert {(r.id, r.component) for r in G.connected_components(nodes, edges, dense=True).collect()} == plain
     small = G._task_forests(edges, piece=20, late=10)
     assert {(r.id, r.component) for r in G.connected_components(nodes, small).collect()} == plain
+
+
+def test_units_with_null_vectors_keep_the_tree_of_all_their_rows(spark):
+    """Two points without a vector: the rows that are left are cut evenly, in every unit alike."""
+    rows = [("g", i, None if i < 2 else [float(i), 0.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>").withColumn("ba", F.lit(0)).withColumn("bb", F.lit(0)).withColumn("side", F.lit(0))
+    got = B.run_units(df.select("g", "ba", "bb", "side", "id", "v"), ["g"], B.unit_tree, C.T.StructType(
+        B.key_fields(df, ["g"]) + [C.T.StructField(n, t) for n, t in (("lo", C.T.LongType()), ("hi", C.T.LongType()), ("w", C.T.DoubleType()))])).collect()
+    assert sorted((r.lo, r.hi, r.w) for r in got) == [(0, 1, 2.0), (0, 2, 1.0), (1, 3, 0.0)] and B.unit_tree.with_nulls is B.spanning_edges
