@@ -10,7 +10,8 @@ frequent in one shard at least, so the union of the shards' phrases holds
 all frequent ones.  A shard that does not name a phrase has it less often
 than its local support.  So the shards of a task, together a larger shard,
 give a bound for every phrase, and the task names those that can reach its
-own local support; phrases of the union that cannot reach ``min_count`` over
+own local support (what its shards name is kept in bounded memory, the rest
+in a temporary file); phrases of the union that cannot reach ``min_count`` over
 all tasks in the same way are left out.  Pass two counts the others in every
 shard and adds the counts up exactly; a last step keeps those that reach
 ``min_count``, scores their cuts and ranks them.
@@ -39,6 +40,7 @@ of its own.
 from __future__ import annotations
 
 import math
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,8 @@ SHARD_BYTES = 12 << 20
 #: Bytes of text of a task's shards, if there are more of them than cores, and rows that a task adds up before it lets go of them.
 TASK_BYTES = 128 << 20
 MERGED_ROWS = 1_000_000
+#: Named phrases that a task holds before it writes them to its temporary file, and ranges of hashes (a power of two) it reads them in.
+HELD_ROWS, HASH_PARTS = 2_000_000, 64
 #: Bytes of text that are split into words at once.
 SLICE_BYTES = 2 << 20
 FILTER_BITS = 27
@@ -278,12 +282,83 @@ def _shards(batches, size: int):
     yield ready or now
 
 
-def _summed(hashes: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    """The different hashes, and the sums of the other columns over each."""
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-    return [hashes[starts], *(np.add.reduceat(c[order], starts, dtype=c.dtype) if len(starts) else c for c in columns)]
+class Named:
+    """(hash, count, slack) of the phrases that the shards of a task name, summed over each hash.
+
+    At a local support of one a task names about as many phrases as its text
+    has words of all lengths.  Beyond ``held`` rows they are summed, sorted
+    and written to a temporary file; ``parts`` reads them back by ranges of
+    the hash, so that memory is bounded at any number of shards.
+    """
+
+    KIND = np.dtype([("hash", np.int64), ("count", np.int32), ("slack", np.int32)])
+
+    def __init__(self, held: int):
+        self.held, self.rows, self.now, self.file, self.runs = held, 0, [], None, []
+        self.bounds = np.arange(1 - HASH_PARTS // 2, HASH_PARTS // 2, dtype=np.int64) * (1 << 64 - HASH_PARTS.bit_length() + 1)
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray, slack: int) -> None:
+        for at in range(0, len(hashes), self.held):
+            part = np.empty(len(hashes[at:at + self.held]), self.KIND)
+            part["hash"], part["count"], part["slack"] = hashes[at:at + self.held], counts[at:at + self.held], slack
+            self.now.append(part)
+            self.rows += len(part)
+            if self.rows > self.held:
+                self._spill()
+
+    def _summed(self, parts: list) -> np.ndarray:
+        rows = np.concatenate(parts or [np.empty(0, self.KIND)])
+        parts.clear()
+        order = np.argsort(rows["hash"])
+        rows = rows[order]
+        starts = np.flatnonzero(np.append(True, rows["hash"][1:] != rows["hash"][:-1])) if len(rows) else np.zeros(0, np.int64)
+        out = rows[starts]
+        for c in ("count", "slack") if len(starts) < len(rows) else ():
+            out[c] = np.add.reduceat(rows[c], starts, dtype=np.int32)
+        return out
+
+    def _spill(self) -> None:
+        rows = self._summed(self.now)
+        self.file = self.file or tempfile.TemporaryFile()
+        self.runs.append((self.file.seek(0, 2), np.concatenate([[0], np.searchsorted(rows["hash"], self.bounds), [len(rows)]])))
+        self.file.write(rows)
+        self.rows = 0
+
+    def parts(self):
+        """The rows, each hash once."""
+        if self.file is None:
+            yield self._summed(self.now)
+            return
+        self._spill()
+        for r in range(HASH_PARTS):
+            found = []
+            for at, cuts in self.runs:
+                self.file.seek(at + int(cuts[r]) * self.KIND.itemsize)
+                found.append(np.frombuffer(self.file.read(int(cuts[r + 1] - cuts[r]) * self.KIND.itemsize), self.KIND))
+            yield self._summed(found)
+        self.file.close()
+
+
+def _named(batches, least, most_words: int, shard_bytes: int):
+    """(hash, f, slack) of the phrases that a task names; first the task itself, as a row without a hash."""
+    found, size, slack = Named(HELD_ROWS), 0, 0
+    for shard in _shards(batches, shard_bytes):
+        size += shard.bytes
+        # A task's small rest names no more than a full shard, as far as the task's own least count allows.
+        own = max(1, min(least(max(shard.bytes, shard_bytes)), least(size) - slack))
+        slack += own - 1
+        for _, _, counts, hashes in shard.levels(lambda counts, _: counts >= own, most_words):
+            found.add(hashes.view(np.int64), counts, own - 1)
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([least(size) - 1], pa.int64())],
+                                     names=["hash", "f", "slack"])
+    for rows in found.parts():
+        most = rows["count"].astype(np.int64) + slack - rows["slack"]
+        keep = most >= least(size)
+        hashes, most = rows["hash"][keep], most[keep]
+        for at in range(0, len(hashes), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[part]), pa.array(most[part]),
+                                              pa.array(np.full(len(hashes[part]), least(size) - 1), pa.int64())], names=["hash", "f", "slack"])
 
 
 def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -302,28 +377,7 @@ def candidate_filter(rows: DataFrame, total: int, min_count: int, most_words: in
         return max(1, -(-min_count * size // max(total, 1)))
 
     def mine(batches):
-        found, size, slack = [np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 2], 0, 0
-        for shard in _shards(batches, shard_bytes):
-            size += shard.bytes
-            # A task's small rest names no more than a full shard, as far as the task's own least count allows.
-            own = max(1, min(least(max(shard.bytes, shard_bytes)), least(size) - slack))
-            slack += own - 1
-            parts = [(h.view(np.int64), c) for _, _, c, h in shard.levels(lambda counts, _: counts >= own, most_words)]
-            hashes, counts = (np.concatenate([p[i] for p in parts] or [found[i][:0]]) for i in (0, 1))
-            found = _summed(*(np.concatenate([x, y]) for x, y in zip(found, (hashes, counts, np.full(len(hashes), own - 1, np.int32)))))
-        hashes, counts, named = found
-        most = counts.astype(np.int64) + slack - named
-        keep = most >= least(size)
-        hashes, most = hashes[keep], most[keep]
-        for at in range(-1, len(hashes), 1 << 16):
-            part = slice(max(at, 0), at + (1 << 16))
-            # First of all the task itself, as a row without a hash.
-            lead = [None] if at < 0 else []
-            n = len(lead) + len(hashes[part])
-            yield pa.RecordBatch.from_arrays([
-                pa.chunked_array([pa.array(lead, pa.int64()), pa.array(hashes[part])]).combine_chunks(),
-                pa.array(np.concatenate([np.zeros(len(lead), np.int64), most[part]])),
-                pa.array(np.full(n, least(size) - 1), pa.int64())], names=["hash", "f", "slack"])
+        return _named(batches, least, most_words, shard_bytes)
 
     named = written(rows.mapInArrow(mine, "hash long, f long, slack long").groupBy("hash").agg(
         F.sum("f").alias("f"), F.sum("slack").alias("slack")), "phrase-candidates")

@@ -99,3 +99,32 @@ def test_split_words_over_slices():
     assert [x == y for x, y in zip(piece, piece[1:])] == [True, False, False, True, False]
     long = words(5000, 9)
     assert len(split_words(pa.array([long]), table)[0]) == 5000
+
+
+def test_named_phrases_leave_memory_and_come_back_summed(monkeypatch):
+    rng = np.random.default_rng(4)
+    kept, want = phrases.Named(100), {}
+    for shard in range(9):
+        hashes = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 300)[rng.integers(0, 300, 250)] >> rng.integers(0, 60))
+        hashes = np.append(hashes, [-(1 << 63), 0, (1 << 63) - 1])
+        hashes = np.unique(hashes)
+        counts = rng.integers(1, 50, len(hashes)).astype(np.int32)
+        kept.add(hashes, counts, shard % 3)
+        assert kept.rows <= 100 and sum(map(len, kept.now)) <= 100
+        for h, c in zip(hashes.tolist(), counts.tolist()):
+            old = want.get(h, (0, 0))
+            want[h] = (old[0] + c, old[1] + shard % 3)
+    parts = list(kept.parts())
+    assert len(parts) == phrases.HASH_PARTS
+    got = [tuple(r) for p in parts for r in p.tolist()]
+    assert len(got) == len(want) and {h: (c, s) for h, c, s in got} == want
+
+    text = [pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([t])], names=["lang", "_text"]) for t in _texts(5)]
+
+    def named():
+        rows = pa.Table.from_batches(phrases._named(iter(text), lambda size: max(1, size // 2000), 5, 500)).to_pylist()
+        return rows[0], sorted((r["hash"], r["f"], r["slack"]) for r in rows[1:])
+
+    whole = named()
+    monkeypatch.setattr(phrases, "HELD_ROWS", 64)
+    assert named() == whole and whole[0]["hash"] is None and whole[1]
